@@ -439,10 +439,9 @@ def pair_panels(df: DataFrame, max_columns: int = 4, bins: int = 20) -> DataFram
             ok = f"b{j} IS NOT NULL" if i == j else f"b{j} IS NOT NULL AND b{i} IS NOT NULL"
             structs.append(f"named_struct('i', {i}, 'j', {j}, 'x_bin', b{j}, 'y_bin', {y}, 'ok', {ok})")
     counts = inline_rows(binned, structs).where("ok").groupBy("i", "j", "x_bin", "y_bin").agg(F.count(F.lit(1)).alias("count"))
-    mirrored = counts.selectExpr(
-        "inline(CASE WHEN i = j THEN array(struct(i, j, x_bin, y_bin, count)) "
-        "ELSE array(struct(i, j, x_bin, y_bin, count), struct(j, i, y_bin, x_bin, count)) END) AS (i, j, x_bin, y_bin, count)"
-    )
+    cell = "named_struct('i', {0}, 'j', {1}, 'x_bin', {2}, 'y_bin', {3}, 'count', count)"
+    here, there = cell.format("i", "j", "CAST(x_bin AS INT)", "y_bin"), cell.format("j", "i", "y_bin", "x_bin")
+    mirrored = counts.selectExpr(f"inline(IF(i = j, array({here}), array({here}, {there})))")
     labels = F.array(*[F.lit(n) for n in names])
     return mirrored.select(
         F.element_at(labels, F.col("i") + 1).alias("row"), F.element_at(labels, F.col("j") + 1).alias("col"), "x_bin", "y_bin", "count"
