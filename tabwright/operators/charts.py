@@ -38,8 +38,10 @@ def _edges(b: Base) -> tuple[float, float]:
 
 
 def _bin_sql(x: str, lo: float, hi: float, bins: int) -> str:
-    """0-based equal-width bin, closed on the right for the last bin."""
-    return f"CAST(least(floor(({x} - {literal_sql(lo)}) / {literal_sql(hi - lo)} * {bins}D), {bins - 1}) AS INT)"
+    """0-based equal-width bin, closed on the right for the last bin; NULL stays NULL."""
+    at = f"floor(({x} - {literal_sql(lo)}) / {literal_sql(hi - lo)} * {bins}D)"
+    # ``least`` skips NULL, so missing values need their own branch.
+    return f"CAST(IF({x} IS NULL, NULL, least({at}, {bins - 1})) AS INT)"
 
 
 def auto_bins(n: int) -> int:
@@ -134,7 +136,8 @@ def _cut(df: DataFrame, x: str, bins: int) -> tuple[str, list[tuple[int, float,
     width = (hi - lo) / bins
     lowered = lo - (hi - lo) * 0.001 if b.low != b.high else lo
     edges = [(i, lowered if i == 1 else lo + (i - 1) * width, hi if i == bins else lo + i * width) for i in range(1, bins + 1)]
-    text = f"CAST(least(greatest(ceil(({double_sql(df, x)} - {literal_sql(lo)}) / {literal_sql(width)}), 1), {bins}) AS INT)"
+    v = double_sql(df, x)
+    text = f"CAST(IF({v} IS NULL, NULL, least(greatest(ceil(({v} - {literal_sql(lo)}) / {literal_sql(width)}), 1), {bins})) AS INT)"
     return text, edges
 
 

@@ -15,10 +15,11 @@ from ..functions.missing import literal_sql
 from .moments import aggregate
 from .quantiles import order_statistics
 
-# Modulus and multiplier of a full-period congruential step, distinct keys below the
-# modulus keep distinct hashes.
+# A prime modulus and a multiplier near its golden section. The fifth power is a permutation of the
+# residues (5 and the modulus minus 1 share no factor), so distinct keys below the modulus keep
+# distinct hashes, and neighbouring keys land far apart.
 HASH_MODULUS = 2147483647
-HASH_MULTIPLIER = 48271
+HASH_MULTIPLIER = 1327217885
 MAX_CLASSES = 1000
 
 
@@ -37,7 +38,10 @@ def key_sql(df: DataFrame, key: str) -> str:
 def hash_sql(df: DataFrame, key: str, seed: int) -> str:
     """A shuffling hash of the row key as BIGINT text."""
     if isinstance(df.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return f"pmod((pmod(CAST({quoted(key)} AS BIGINT), {HASH_MODULUS}L) + {seed}L) * {HASH_MULTIPLIER}L, {HASH_MODULUS}L)"
+        p = HASH_MODULUS
+        x = f"((pmod(CAST({quoted(key)} AS BIGINT), {p}L) + {seed % p}L) % {p}L * {HASH_MULTIPLIER}L % {p}L)"
+        square = f"({x} * {x} % {p}L)"
+        return f"({square} * {square} % {p}L * {x} % {p}L)"
     return f"xxhash64({quoted(key)}, {seed}L)"
 
 

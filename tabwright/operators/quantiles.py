@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.kinds import quoted
 from ..functions.missing import double_sql, literal_sql
@@ -23,7 +23,7 @@ RANKABLE = 1_000_000
 MIN_SAMPLE = 50_000
 MAX_SAMPLE = 10_000_000
 TARGETS_PER_JOB = 40
-MAX_ROUNDS = 60
+MAX_ROUNDS = 200
 
 
 @dataclass
@@ -49,31 +49,49 @@ def _batches(items: list, size: int):
         yield items[i : i + size]
 
 
-def _narrow(df: DataFrame, targets: list[_Target]) -> list[tuple]:
+def _narrow(df: DataFrame, targets: list[_Target], turn: int) -> list[tuple]:
     """Propose a tighter bracket per target from a sample of the rows inside the current one."""
     largest = max(t.inside for t in targets)
     size = min(MAX_SAMPLE, max(MIN_SAMPLE, largest // 50))
     fraction = min(1.0, size / largest)
-    source = df if fraction > 0.5 else df.sample(fraction=fraction, seed=11)
+    fraction = fraction if fraction <= 0.5 else 1.0
+    source = df if fraction == 1.0 else df.sample(fraction=fraction, seed=11 + turn)
     aggs, spans = [], []
     for i, t in enumerate(targets):
-        m = t.inside * (fraction if fraction <= 0.5 else 1.0)
+        m = max(t.inside * fraction, 1.0)
         p0, p1 = (t.first - t.under - 0.5) / t.inside, (t.last - t.under - 0.5) / t.inside
-        noise = 0.0 if fraction > 0.5 else 4.5 * math.sqrt(max(p0 * (1 - p0), 1.0 / m) / m)
-        slack = noise + 2.0 / SKETCH_ACCURACY + 2.0 / max(m, 1.0)
+        noise = 0.0 if fraction == 1.0 else 4.5 * math.sqrt(max(p0 * (1 - p0), 1.0 / m) / m)
+        slack = noise + 2.0 / SKETCH_ACCURACY + 2.0 / m
         spans.append((max(0.0, p0 - slack), min(1.0, p1 + slack)))
-        c, span = quoted(t.column), ", ".join(repr(p) for p in spans[-1])
-        within = f"CASE WHEN {c} BETWEEN {literal_sql(t.lo)} AND {literal_sql(t.hi)} THEN {c} END"
-        aggs.append(f"percentile_approx({within}, array({span}), {SKETCH_ACCURACY}) AS b{i}")
+        # The sketch works in DOUBLE: integers enter as distances from the bracket to stay exact.
+        value = f"CAST({quoted(t.column)} {_shift_sql(t)} AS DOUBLE)"
+        within = f"CASE WHEN {quoted(t.column)} BETWEEN {literal_sql(t.lo)} AND {literal_sql(t.hi)} THEN {value} END"
+        aggs.append(f"percentile_approx({within}, array({spans[-1][0]!r}D, {spans[-1][1]!r}D), {SKETCH_ACCURACY}) AS b{i}")
     row = aggregate(source, aggs).first()
     proposals = []
     for i, t in enumerate(targets):
-        b = row[f"b{i}"]
-        lo, hi = (t.lo, t.hi) if not b else (b[0], b[1])
-        proposals.append((t.lo if spans[i][0] <= 0 else max(lo, t.lo), t.hi if spans[i][1] >= 1 else min(hi, t.hi)))
+        lo, hi = row[f"b{i}"] or (None, None)
+        if lo is None:
+            lo, hi = t.lo, t.hi
+        elif isinstance(t.lo, int):
+            start = t.lo if _shift_sql(t) else 0
+            lo, hi = start + int(lo), start + int(hi)
+        lo = t.lo if spans[i][0] <= 0 else min(max(lo, t.lo), t.hi)
+        hi = t.hi if spans[i][1] >= 1 else max(min(hi, t.hi), lo)
+        proposals.append((lo, hi))
     return proposals
 
 
+def _shift_sql(t: _Target) -> str:
+    """Subtraction of the bracket start, where it cannot overflow."""
+    return f"- {literal_sql(t.lo)}" if isinstance(t.lo, int) and t.hi - t.lo < 2**62 else ""
+
+
+def _halves(targets: list[_Target]) -> list[tuple]:
+    """Cut brackets in the middle: slower than a sample, but certain to shrink them."""
+    return [(t.lo, (t.lo + t.hi) // 2 if isinstance(t.lo, int) else t.lo + (t.hi - t.lo) / 2) for t in targets]
+
+
 def _count(df: DataFrame, targets: list[_Target], proposals: list[tuple]) -> list[tuple]:
     """Rows (below lo, at lo, strictly inside, at hi) for each proposed bracket, in one aggregation."""
     # Brackets of one column share their thresholds: two plain counts per distinct threshold.
@@ -94,25 +112,43 @@ def _count(df: DataFrame, targets: list[_Target], proposals: list[tuple]) -> lis
     return out
 
 
-def _settle(t: _Target, lo, hi, counts: tuple) -> None:
-    """Resolve ranks that fall on a bracket end and keep the part of the bracket still open."""
+def _settle(t: _Target, lo, hi, counts: tuple):
+    """Resolve ranks that fall on a bracket end and keep the part of the bracket still open.
+
+    Returns a value that separates the two open ranks, if they lie on different sides of it.
+    """
     below, at_lo, between, at_hi = counts
+    upto_lo = below + at_lo
+    upto_mid = upto_lo + between
+    upto_hi = upto_mid + at_hi
     for r in (t.first, t.last):
-        if below < r <= below + at_lo:
+        if below < r <= upto_lo:
             t.found[r] = lo
-        elif below + at_lo + between < r <= below + at_lo + between + at_hi:
+        elif upto_mid < r <= upto_hi:
             t.found[r] = hi
     if t.done:
-        return
-    if t.first <= below:
-        # The sample misled the lower end: keep the old one.
-        t.hi = hi if t.last <= below + at_lo + between + at_hi else t.hi
-        t.inside = (below + at_lo + between + at_hi if t.hi == hi else t.under + t.inside) - t.under
-    elif t.last > below + at_lo + between + at_hi:
-        t.inside = t.under + t.inside - below
-        t.lo, t.under = lo, below
+        return None
+    pending = [r for r in (t.first, t.last) if r not in t.found]
+    a, b = pending[0], pending[-1]
+    end = t.under + t.inside
+    if b <= below:
+        t.hi, t.inside = lo, upto_lo - t.under
+    elif a > upto_hi:
+        t.lo, t.under = hi, upto_hi - (at_lo if lo == hi else at_hi)
+        t.inside = end - t.under
+    elif a > upto_lo and b <= upto_mid:
+        t.lo, t.hi, t.under, t.inside = lo, hi, below, upto_hi - below
     else:
-        t.lo, t.hi, t.under, t.inside = lo, hi, below, at_lo + between + at_hi
+        return lo if a <= below else hi
+    return None
+
+
+def _beside(df: DataFrame, t: _Target, value) -> None:
+    """The neighbours of a value that no row holds: the last rank below it, the first above it."""
+    c, v = quoted(t.column), literal_sql(value)
+    row = aggregate(df, [f"max(CASE WHEN {c} < {v} THEN {c} END) AS a", f"min(CASE WHEN {c} > {v} THEN {c} END) AS b"]).first()
+    t.found.setdefault(t.first, row["a"])
+    t.found.setdefault(t.last, row["b"])
 
 
 def _rank_interior(df: DataFrame, targets: list[_Target], bounds: dict[int, tuple]) -> None:
@@ -149,19 +185,25 @@ def _solve(df: DataFrame, targets: list[_Target]) -> None:
     for t in targets:
         if t.lo == t.hi:
             t.found = {t.first: t.lo, t.last: t.lo}
-    for _ in range(MAX_ROUNDS):
+    stalled = False
+    for turn in range(MAX_ROUNDS):
         pending = [t for t in targets if not t.done]
         if not pending:
             return
+        open_before = sum(t.inside for t in pending)
         ready: list[tuple[_Target, tuple]] = []
         for group in _batches(pending, TARGETS_PER_JOB):
-            proposals = _narrow(df, group)
+            proposals = _halves(group) if stalled else _narrow(df, group, turn)
             for t, (lo, hi), counts in zip(group, proposals, _count(df, group, proposals)):
-                _settle(t, lo, hi, counts)
+                split = _settle(t, lo, hi, counts)
+                if split is not None:
+                    _beside(df, t, split)
                 if not t.done and (t.lo, t.hi) == (lo, hi) and counts[2] <= RANKABLE:
                     ready.append((t, (lo, hi, counts[0] + counts[1])))
         for group in _batches(ready, TARGETS_PER_JOB):
             _rank_interior(df, [t for t, _ in group], {i: b for i, (_, b) in enumerate(group)})
+        still = [t for t in pending if not t.done]
+        stalled = bool(still) and len(still) == len(pending) and sum(t.inside for t in still) >= open_before
     raise RuntimeError("order statistics did not converge")
 
 
@@ -233,11 +275,3 @@ def quantile_rows(df: DataFrame, names: list[str], probabilities: list[float], e
     found = quantiles(df, {n: probabilities for n in names}, exact=exact)
     rows = [(n, float(p), v) for n in names for p, v in zip(probabilities, found[n])]
     return df.sparkSession.createDataFrame(rows, "column string, probability double, value double")
-
-
-def fold_bounds(column: Column, cuts: list) -> Column:
-    """How many of the ascending cut values lie below the column's value."""
-    out = F.lit(0)
-    for c in cuts:
-        out = out + F.when(column > F.lit(c), 1).otherwise(0)
-    return out

@@ -37,9 +37,15 @@ def route_counts(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def _as_object(text: Column) -> Column:
-    """The text if it is one valid JSON object, else NULL."""
-    parsed = F.try_parse_json(text)
-    return F.when(parsed.isNotNull() & F.schema_of_variant(parsed).startswith("OBJECT"), text)
+    """The text if it is exactly one JSON object, else NULL.
+
+    The parser stops after the first complete value, so the text is checked inside an array and
+    inside an object: anything after the first value breaks one of the two.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    nested = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    only = F.try_variant_get(listed, "$[1]", "variant").isNull() & F.schema_of_variant(F.try_variant_get(listed, "$[0]", "variant")).startswith("OBJECT")
+    return F.when(nested.isNotNull() & only, text)
 
 
 def recover_json(df: DataFrame, text_col: str, out: str = "json") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("profiles", "cleaning", "features", "charts", "models")
+MODULES = ("profiles", "cleaning", "features", "charts", "models", "sources")
 
 
 def all_queries() -> dict:

@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 from ..operators import charts, folds, knn, metrics, models as ops
 from .base import Query, rounded, sql_top, table, union_all
 
-HASH = f"((o_orderkey % {folds.HASH_MODULUS} + 42) * {folds.HASH_MULTIPLIER} % {folds.HASH_MODULUS})"
-SPLIT = f"SELECT *, row_number() OVER (ORDER BY {HASH}) <= ceil((SELECT count(*) FROM orders)*0.2) AS is_test FROM orders"
+
+
+def _split_sql(src, key):
+    p = folds.HASH_MODULUS
+    x = f"(({key} % {p} + 42) % {p} * {folds.HASH_MULTIPLIER} % {p})"
+    h = f"(({x} * {x} % {p}) * ({x} * {x} % {p}) % {p} * {x} % {p})"
+    return f"SELECT *, row_number() OVER (ORDER BY {h}) <= ceil((SELECT count(*) FROM {src})*0.2) AS is_test FROM {src}"
+
+
+SPLIT = _split_sql("orders", "o_orderkey")
 
 STRAT = """WITH c AS (SELECT o_orderstatus AS s, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY 1),
 p AS (SELECT s, n, sum(n) OVER (ORDER BY f) - n AS a, sum(n) OVER (ORDER BY f) AS b FROM c),
@@ -20,33 +28,34 @@ SELECT o_orderkey, (SELECT count(*) FROM e WHERE e.s=r.o_orderstatus AND e.i<4 A
 # A rule that predicts the order status from the price, and a line for the part price.
 GUESS = "CASE WHEN o_totalprice > 200000 THEN 'O' WHEN o_totalprice > 50000 THEN 'F' ELSE 'P' END"
 
-_KNN_PAIRS = """SELECT a.event_id AS query_id, b.event_id AS train_id, b.{label} AS label, {d2} AS d2,
-row_number() OVER (PARTITION BY a.event_id ORDER BY {d2}, b.event_id) AS rank
-FROM events a JOIN events b ON a.event_id % 5 = 0 AND b.event_id % 5 <> 0"""
+_KIND = "list_position(['click','error','purchase','signup','view'], b.event_type)::DOUBLE"
 _D2 = "(a.user_id-b.user_id)::DOUBLE*(a.user_id-b.user_id)::DOUBLE+(a.value-b.value)*(a.value-b.value)"
 _D1 = "(a.user_id-b.user_id)::DOUBLE*(a.user_id-b.user_id)::DOUBLE"
 
 
+def _near_sql(label, d2):
+    """The five nearest training rows of every test row, by comparing all pairs."""
+    return f"""WITH s AS ({_split_sql("events", "event_id")}), n AS (SELECT a.event_id AS query_id, b.event_id AS train_id, {label} AS label, {d2} AS d2,
+row_number() OVER (PARTITION BY a.event_id ORDER BY {d2}, b.event_id) AS rank FROM s a JOIN s b ON a.is_test AND NOT b.is_test)"""
+
+
 def _events(spark, sf):
     types = "array('click','error','purchase','signup','view')"
     return table(spark, sf, "events").selectExpr("event_id", "user_id", "value", f"CAST(array_position({types}, event_type) AS DOUBLE) AS kind")
 
 
 def _neighbours(spark, sf):
-    e = _events(spark, sf)
-    near = knn.nearest(e.where("event_id % 5 <> 0"), e.where("event_id % 5 = 0"), ["user_id", "value"], "event_id", "event_id", "kind")
+    train, test = folds.train_test_split(_events(spark, sf), "event_id")
+    near = knn.nearest(train, test, ["user_id", "value"], "event_id", "event_id", "kind")
     return rounded(near.select("query_id", "rank", "train_id", "distance2"), 6)
 
 
 def _knn(spark, sf, features, label, task):
-    e = _events(spark, sf)
-    return rounded(knn.knn_predict(e.where("event_id % 5 <> 0"), e.where("event_id % 5 = 0"), features, "event_id", "event_id", label, task), 6)
+    train, test = folds.train_test_split(_events(spark, sf), "event_id")
+    return rounded(knn.knn_predict(train, test, features, "event_id", "event_id", label, task), 6)
 
 
-_KIND = "(list_position(['click','error','purchase','signup','view'], b.event_type))"
-_VOTES = f"""WITH n AS (SELECT a.event_id AS query_id, {_KIND}::DOUBLE AS label,
-row_number() OVER (PARTITION BY a.event_id ORDER BY {_D2}, b.event_id) AS rank FROM events a JOIN events b ON a.event_id % 5 = 0 AND b.event_id % 5 <> 0),
-v AS (SELECT query_id, label, count(*) AS c FROM n WHERE rank<=5 GROUP BY 1,2)
+_VOTES = f"""{_near_sql(_KIND, _D2)}, v AS (SELECT query_id, label, count(*) AS c FROM n WHERE rank<=5 GROUP BY 1,2)
 SELECT query_id, label AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, label) AS r FROM v) WHERE r=1"""
 
 
@@ -123,12 +132,12 @@ FROM (SELECT p_retailprice AS y, 900+p_partkey*0.05 AS p FROM part)""",
     ),
     "nearest_neighbours": Query(
         _neighbours,
-        f"SELECT query_id, rank::INTEGER AS rank, train_id, round(d2,6) AS distance2 FROM ({_KNN_PAIRS.format(label='value', d2=_D2)}) WHERE rank<=5",
+        f"{_near_sql('b.value', _D2)} SELECT query_id, rank::INTEGER AS rank, train_id, round(d2,6) AS distance2 FROM n WHERE rank<=5",
     ),
     "knn_classify": Query(lambda s, d: _knn(s, d, ["user_id", "value"], "kind", "classification"), _VOTES),
     "knn_regress": Query(
         lambda s, d: _knn(s, d, ["user_id"], "value", "regression"),
-        f"SELECT query_id, round(avg(label),6) AS prediction FROM ({_KNN_PAIRS.format(label='value', d2=_D1)}) WHERE rank<=5 GROUP BY 1",
+        f"{_near_sql('b.value', _D1)} SELECT query_id, round(avg(label),6) AS prediction FROM n WHERE rank<=5 GROUP BY 1",
     ),
     "linear_fit": Query(
         lambda s, d: rounded(ops.linear_coefficients(_lines(s, d).select("p_partkey", "p_size", "p_retailprice"), "p_retailprice", "p_partkey"), 5),
