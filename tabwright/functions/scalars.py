@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .missing import literal_sql
+
 # What counts as a number in text, and the words read as infinity or missing.
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 INTEGER_PATTERN = r"^\s*[+-]?[0-9]{1,18}\s*$"
@@ -29,38 +31,46 @@ DATE_FORMATS = (
 )
 
 
+# Every accepted date shape holds a four-digit year.
+YEAR_PATTERN = r"[0-9]{4}"
+
+
 def strip(c: Column) -> Column:
     """Remove all leading and trailing whitespace (SQL ``trim`` removes spaces only)."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def parse_number(text: Column) -> Column:
+def strip_sql(c: str) -> str:
+    return f"regexp_replace({c}, {literal_sql(r'^\s+|\s+$')}, '')"
+
+
+def number_sql(c: str) -> str:
     """Text to DOUBLE; anything pandas would not read as a number becomes NULL (so does 'nan')."""
-    bare = F.trim(strip(text))
+    bare = strip_sql(c)
     return (
-        F.when(text.rlike(NUMBER_PATTERN), bare.try_cast("double"))
-        .when(bare.rlike(INFINITY_PATTERN), F.when(bare.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
+        f"CASE WHEN {c} RLIKE {literal_sql(NUMBER_PATTERN)} THEN try_cast({bare} AS DOUBLE) "
+        f"WHEN {bare} RLIKE {literal_sql(INFINITY_PATTERN)} THEN IF(startswith({bare}, '-'), double('-Infinity'), double('Infinity')) END"
     )
 
 
-def is_missing_number(text: Column) -> Column:
+def missing_number_sql(c: str) -> str:
     """Blank and NaN words: not a number, yet no obstacle to reading the column as numbers."""
-    return text.rlike(MISSING_NUMBER_PATTERN)
+    return f"({strip_sql(c)} RLIKE {literal_sql(MISSING_NUMBER_PATTERN)})"
 
 
-def is_integer_text(text: Column) -> Column:
-    return text.rlike(INTEGER_PATTERN)
+def integer_sql(c: str) -> str:
+    return f"({c} RLIKE {literal_sql(INTEGER_PATTERN)})"
 
 
-def parse_datetime(text: Column) -> Column:
+def datetime_sql(c: str) -> str:
     """Text to TIMESTAMP_NTZ by the first accepted shape; independent of row order."""
-    bare = F.regexp_replace(strip(text), "T", " ")
-    out = F.lit(None).cast("timestamp_ntz")
-    for pattern, fmt in reversed(DATE_FORMATS):
-        subject = bare if ":" in fmt else strip(text)
-        parsed = F.try_to_timestamp(subject, F.lit(fmt)).cast("timestamp_ntz")
-        out = F.when(strip(text).rlike(pattern), parsed).otherwise(out)
-    return out
+    bare = strip_sql(c)
+    cases = []
+    for pattern, fmt in DATE_FORMATS:
+        subject = f"replace({bare}, 'T', ' ')" if ":" in fmt or fmt.endswith("H:m") else bare
+        cases.append(f"WHEN {bare} RLIKE {literal_sql(pattern)} THEN CAST(try_to_timestamp({subject}, {literal_sql(fmt)}) AS TIMESTAMP_NTZ)")
+    # One cheap look settles most text before the shapes are tried.
+    return f"CASE WHEN NOT ({c} RLIKE {literal_sql(YEAR_PATTERN)}) THEN NULL {' '.join(cases)} END"
 
 
 def clip(c: Column, lower, upper) -> Column:
@@ -68,10 +78,6 @@ def clip(c: Column, lower, upper) -> Column:
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(lower)), F.lit(upper)))
 
 
-def round_half_up(c: Column, digits: int) -> Column:
-    return F.round(c, digits)
-
-
 def finite(c: Column) -> Column:
     """True for a present, finite number."""
     inf = F.lit(float("inf"))

@@ -104,9 +104,9 @@ class CastText(Plan):
             if target == "bigint":
                 fixed[name] = F.trim(scalars.strip(col(name))).try_cast("bigint")
             elif target == "double":
-                fixed[name] = scalars.parse_number(col(name))
+                fixed[name] = F.expr(scalars.number_sql(quoted(name)))
             else:
-                fixed[name] = scalars.parse_datetime(col(name))
+                fixed[name] = F.expr(scalars.datetime_sql(quoted(name)))
         return df.withColumns(fixed) if fixed else df
 
 
@@ -241,14 +241,14 @@ def fit_fix_dtypes(df: DataFrame, strict: bool = False) -> CastText:
 
     aggs = []
     for i, n in enumerate(names):
-        c = col(n)
+        c = quoted(n)
         aggs += [
-            F.count(c).alias(f"n{i}"),
-            F.count(scalars.parse_number(c)).alias(f"num{i}"),
-            F.count_if(scalars.is_missing_number(scalars.strip(c))).alias(f"blank{i}"),
-            F.count_if(scalars.is_integer_text(c)).alias(f"int{i}"),
+            f"count({c}) AS n{i}",
+            f"count({scalars.number_sql(c)}) AS num{i}",
+            f"count_if({scalars.missing_number_sql(c)}) AS blank{i}",
+            f"count_if({scalars.integer_sql(c)}) AS int{i}",
         ]
-    row = df.agg(*aggs).first()
+    row = aggregate(df, aggs).first()
     casts, rest = {}, []
     for i, n in enumerate(names):
         total, numbers, blanks, whole = row[f"n{i}"], row[f"num{i}"], row[f"blank{i}"], row[f"int{i}"]
@@ -257,7 +257,7 @@ def fit_fix_dtypes(df: DataFrame, strict: bool = False) -> CastText:
         else:
             rest.append((n, total))
     if rest:
-        dates = df.agg(*[F.count(scalars.parse_datetime(col(n))).alias(f"d{i}") for i, (n, _) in enumerate(rest)]).first()
+        dates = aggregate(df, [f"count({scalars.datetime_sql(quoted(n))}) AS d{i}" for i, (n, _) in enumerate(rest)]).first()
         for i, (n, total) in enumerate(rest):
             if total and enough(dates[f"d{i}"], total):
                 casts[n] = "timestamp"

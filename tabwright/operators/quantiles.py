@@ -55,7 +55,8 @@ def _narrow(df: DataFrame, targets: list[_Target], turn: int) -> list[tuple]:
     size = min(MAX_SAMPLE, max(MIN_SAMPLE, largest // 50))
     fraction = min(1.0, size / largest)
     fraction = fraction if fraction <= 0.5 else 1.0
-    source = df if fraction == 1.0 else df.sample(fraction=fraction, seed=11 + turn)
+    source = _only_open(df, targets, turn)
+    source = source if fraction == 1.0 else source.sample(fraction=fraction, seed=11 + turn)
     aggs, spans = [], []
     for i, t in enumerate(targets):
         m = max(t.inside * fraction, 1.0)
@@ -65,7 +66,7 @@ def _narrow(df: DataFrame, targets: list[_Target], turn: int) -> list[tuple]:
         spans.append((max(0.0, p0 - slack), min(1.0, p1 + slack)))
         # The sketch works in DOUBLE: integers enter as distances from the bracket to stay exact.
         value = f"CAST({quoted(t.column)} {_shift_sql(t)} AS DOUBLE)"
-        within = f"CASE WHEN {quoted(t.column)} BETWEEN {literal_sql(t.lo)} AND {literal_sql(t.hi)} THEN {value} END"
+        within = f"CASE WHEN {_inside_sql(t)} THEN {value} END"
         aggs.append(f"percentile_approx({within}, array({spans[-1][0]!r}D, {spans[-1][1]!r}D), {SKETCH_ACCURACY}) AS b{i}")
     row = aggregate(source, aggs).first()
     proposals = []
@@ -92,23 +93,36 @@ def _halves(targets: list[_Target]) -> list[tuple]:
     return [(t.lo, (t.lo + t.hi) // 2 if isinstance(t.lo, int) else t.lo + (t.hi - t.lo) / 2) for t in targets]
 
 
-def _count(df: DataFrame, targets: list[_Target], proposals: list[tuple]) -> list[tuple]:
+def _inside_sql(t: _Target) -> str:
+    return f"({quoted(t.column)} BETWEEN {literal_sql(t.lo)} AND {literal_sql(t.hi)})"
+
+
+def _only_open(df: DataFrame, targets: list[_Target], turn: int) -> DataFrame:
+    """After the first round only rows inside a bracket matter: the filter reaches the scan."""
+    return df.where(" OR ".join(dict.fromkeys(_inside_sql(t) for t in targets))) if turn else df
+
+
+def _count(df: DataFrame, targets: list[_Target], proposals: list[tuple], turn: int) -> list[tuple]:
     """Rows (below lo, at lo, strictly inside, at hi) for each proposed bracket, in one aggregation."""
-    # Brackets of one column share their thresholds: two plain counts per distinct threshold.
-    points = {}
+    # Targets in the same bracket share their thresholds: two plain counts per distinct threshold.
+    points: dict[tuple, int] = {}
+    aggs = []
     for t, ends in zip(targets, proposals):
         for v in ends:
-            points.setdefault((t.column, v), len(points))
-    aggs = []
-    for (c, v), i in points.items():
-        aggs += [f"count_if({quoted(c)} < {literal_sql(v)}) AS a{i}", f"count_if({quoted(c)} <= {literal_sql(v)}) AS b{i}"]
-    row = aggregate(df, aggs).first()
+            key = (t.column, t.lo, t.hi, v)
+            if key in points:
+                continue
+            i = points[key] = len(points)
+            c = quoted(t.column)
+            here = f"{_inside_sql(t)} AND " if turn else ""
+            aggs += [f"count_if({here}{c} < {literal_sql(v)}) AS a{i}", f"count_if({here}{c} <= {literal_sql(v)}) AS b{i}"]
+    row = aggregate(_only_open(df, targets, turn), aggs).first()
     out = []
     for t, (lo, hi) in zip(targets, proposals):
-        i, j = points[(t.column, lo)], points[(t.column, hi)]
+        i, j = points[(t.column, t.lo, t.hi, lo)], points[(t.column, t.lo, t.hi, hi)]
         between = 0 if lo == hi else row[f"a{j}"] - row[f"b{i}"]
         at_hi = 0 if lo == hi else row[f"b{j}"] - row[f"a{j}"]
-        out.append((row[f"a{i}"], row[f"b{i}"] - row[f"a{i}"], between, at_hi))
+        out.append((t.under + row[f"a{i}"], row[f"b{i}"] - row[f"a{i}"], between, at_hi))
     return out
 
 
@@ -194,7 +208,7 @@ def _solve(df: DataFrame, targets: list[_Target]) -> None:
         ready: list[tuple[_Target, tuple]] = []
         for group in _batches(pending, TARGETS_PER_JOB):
             proposals = _halves(group) if stalled else _narrow(df, group, turn)
-            for t, (lo, hi), counts in zip(group, proposals, _count(df, group, proposals)):
+            for t, (lo, hi), counts in zip(group, proposals, _count(df, group, proposals, turn)):
                 split = _settle(t, lo, hi, counts)
                 if split is not None:
                     _beside(df, t, split)

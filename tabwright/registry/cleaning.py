@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import parse_datetime
+from ..functions.scalars import datetime_sql
 from ..operators import clean as ops
 from ..plans.recipes import clean
 from .base import DIRTY_COLUMNS, DIRTY_NUMERIC, DIRTY_TEXT, Query, dirty, rounded, union_all, with_d
@@ -155,7 +155,7 @@ QUERIES = {
         with_d("SELECT id, priority, num_text, clean_num_text::BIGINT AS clean_num_text, CAST(date_text AS TIMESTAMP) AS date_text FROM d"),
     ),
     "parse_dates": Query(
-        lambda s, d: s.sql(DATE_SHAPES, d=dirty(s, d)).select("id", parse_datetime(F.col("text")).alias("parsed")),
+        lambda s, d: s.sql(DATE_SHAPES, d=dirty(s, d)).select("id", F.expr(datetime_sql("text")).alias("parsed")),
         with_d("SELECT id, CASE WHEN id % 7 = 6 THEN NULL ELSE order_ts END AS parsed FROM d"),
     ),
     "clean_agent": Query(lambda s, d: _recipe(s, d, "agent", ["id", "price", "num_text", "clean_num_text"]), _agent_sql()),

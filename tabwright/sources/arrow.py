@@ -38,8 +38,23 @@ def _open(path: str):
     return pa.ipc.open_file(system.open_input_file(base))
 
 
+def _plain(field):
+    """The field as Spark knows it: decoded dictionaries, plain strings, microseconds."""
+    import pyarrow as pa
+
+    kind = field.type.value_type if pa.types.is_dictionary(field.type) else field.type
+    if pa.types.is_large_string(kind):
+        kind = pa.string()
+    return pa.field(field.name, pa.timestamp("us", kind.tz) if pa.types.is_timestamp(kind) else kind)
+
+
+# Up to this many files the driver reads footers to split files into batches; beyond it every file is
+# one partition and its footer is read by the task.
+SPLIT_FILES = 256
+
+
 class BatchPartition(InputPartition):
-    def __init__(self, path: str, batch: int):
+    def __init__(self, path: str, batch: int | None):
         self.path = path
         self.batch = batch
 
@@ -50,22 +65,22 @@ class FeatherReader(DataSourceReader):
         self.columns = columns
 
     def partitions(self):
+        files = _files(self.path)
+        if len(files) > SPLIT_FILES:
+            return [BatchPartition(f, None) for f in files]
         # Footers only: the data stays where it is.
-        return [BatchPartition(f, i) for f in _files(self.path) for i in range(_open(f).num_record_batches)]
+        return [BatchPartition(f, i) for f in files for i in range(_open(f).num_record_batches)]
 
     def read(self, partition):
         import pyarrow as pa
 
         if partition is None or not hasattr(partition, "path"):
             return
-        batch = _open(partition.path).get_batch(partition.batch)
-        table = pa.Table.from_batches([batch]).select(self.columns)
-        fields = []
-        for f in table.schema:
-            kind = f.type.value_type if pa.types.is_dictionary(f.type) else f.type
-            # Spark keeps microseconds.
-            fields.append(pa.field(f.name, pa.timestamp("us", kind.tz) if pa.types.is_timestamp(kind) else kind))
-        yield from table.cast(pa.schema(fields), safe=False).to_batches()
+        source = _open(partition.path)
+        numbers = range(source.num_record_batches) if partition.batch is None else [partition.batch]
+        for i in numbers:
+            table = pa.Table.from_batches([source.get_batch(i)]).select(self.columns)
+            yield from table.cast(pa.schema([_plain(f) for f in table.schema]), safe=False).to_batches()
 
 
 class FeatherSource(DataSource):
@@ -86,12 +101,7 @@ class FeatherSource(DataSource):
         if not files:
             raise FileNotFoundError(f"no .feather or .arrow file under {self.options['path']}")
         found = _open(files[0]).schema
-        fields = []
-        for f in found:
-            kind = f.type.value_type if pa.types.is_dictionary(f.type) else f.type
-            if pa.types.is_large_string(kind):
-                kind = pa.string()
-            fields.append(pa.field(f.name, pa.timestamp("us", kind.tz) if pa.types.is_timestamp(kind) else kind))
+        fields = [_plain(f) for f in found]
         wanted = self._columns()
         if wanted:
             fields = [f for name in wanted for f in fields if f.name == name]

@@ -41,7 +41,7 @@ NUMBER_TEXT = ["1e5", " 12 ", ".5", "1.", "1d", "1,000", "0x10", "", "nan", "inf
 
 def test_parse_number_agrees_with_pandas(frame):
     df = frame("s string", *NUMBER_TEXT)
-    got = values(df, scalars.parse_number(F.col("s")))
+    got = values(df, F.expr(scalars.number_sql("s")))
     want = [pd.to_numeric(pd.Series([t]), errors="coerce").iloc[0] for t in NUMBER_TEXT]
     for text, g, w in zip(NUMBER_TEXT, got, want):
         if text == "0x10":  # pandas reads hexadecimal; a table column of it is an identifier
@@ -51,7 +51,7 @@ def test_parse_number_agrees_with_pandas(frame):
 
 def test_blank_and_nan_words(frame):
     df = frame("s string", "", "nan", "NaN", "x", None)
-    assert values(df, scalars.is_missing_number(F.col("s"))) == [True, True, True, False, None]
+    assert values(df, F.expr(scalars.missing_number_sql("s"))) == [True, True, True, False, None]
 
 
 @pytest.mark.parametrize(
@@ -75,7 +75,7 @@ def test_blank_and_nan_words(frame):
     ],
 )
 def test_parse_datetime(frame, text, want):
-    assert values(frame("s string", text), scalars.parse_datetime(F.col("s"))) == [want]
+    assert values(frame("s string", text), F.expr(scalars.datetime_sql("s"))) == [want]
 
 
 def test_strip_takes_all_whitespace(frame):
