@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.kinds import DATETIME, NUMERIC, categorical_columns, col, kind_of, numeric_columns, quoted, require_columns
 from ..functions.missing import as_double, double_sql, literal_sql, present
+from ..session import ship_package
 from .correlation import collect_pairs, correlation_matrix
 from .filters import finite_rows, rows_of_top_groups
 from .frequencies import freq_table, top_values, value_counts
@@ -243,6 +244,7 @@ def densities(df: DataFrame, names: list[str], points: int = 300, base: BaseStat
             [pa.array(c.ravel().astype("int32")), pa.array(j.ravel().astype("int32")), pa.array(total.ravel())], names=["c", "point", "s"]
         )
 
+    ship_package(df.sparkSession)
     narrow = df.selectExpr(*[f"{double_sql(df, n)} AS x{i}" for i, n in enumerate(names)])
     partial = narrow.mapInArrow(kernel_sums, "c int, point int, s double").groupBy("c", "point").agg(F.sum("s").alias("s"))
     labels = F.array(*[F.lit(n) for n in names])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.kinds import col
 from ..functions.missing import as_double
-from ..session import materialize
+from ..session import materialize, ship_package
 
 CELL_ROWS = 4_000
 QUERY_ROWS = 20_000
@@ -135,6 +135,7 @@ def nearest(train: DataFrame, test: DataFrame, features: list[str], train_id: st
 
     Ties go to the smaller training id. Ids must be unique; rows need all features present.
     """
+    ship_package(train.sparkSession)
     dims = [f"x{i}" for i in range(len(features))]
     vec = [as_double(train, f).alias(d) for f, d in zip(features, dims)]
     points = train.select(col(train_id).cast("bigint").alias("train_id"), col(label).cast("double").alias("label"), *vec)

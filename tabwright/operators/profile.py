@@ -22,6 +22,12 @@ def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).cast("int").alias("columns"))
 
 
+def estimated_mb(df: DataFrame) -> float:
+    """The optimizer's size estimate of the table in MB, without running a job."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return round(int(str(size)) / 1e6, 2)
+
+
 def dtype_profile(df: DataFrame) -> DataFrame:
     """Type, kind and number of present values of every column."""
     aggs = [f"count_if(NOT {missing_sql(df, c)}) AS p{i}" for i, c in enumerate(df.columns)]

@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
 
+from ..session import ship_package
+
 FORMAT = "feather"
 
 
@@ -112,4 +114,5 @@ class FeatherSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship_package(spark)
     spark.dataSource.register(FeatherSource)

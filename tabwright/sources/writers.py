@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators.models import export_results
+from ..session import ship_package
 
 
 def _shaped(df: DataFrame, single_file: bool) -> DataFrame:
@@ -34,6 +35,8 @@ def write_feather(df: DataFrame, path: str) -> int:
     A retried task overwrites its own file.
     """
 
+    ship_package(df.sparkSession)
+
     def write_part(batches):
         import pyarrow as pa
         from pyspark import TaskContext
