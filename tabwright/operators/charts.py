@@ -20,7 +20,7 @@ from .moments import Base, BaseStats, aggregate, base_stats, inline_rows, power_
 from .ordering import with_position
 from .quantiles import quantiles
 
-KDE_REACH = 39.0  # exp(-0.5 * 39**2) is 0 in double precision
+KDE_REACH = 12.0  # bandwidths; a kernel farther out adds less than 1e-31
 
 
 def _need_numeric(df: DataFrame, names: list[str]) -> None:
@@ -208,7 +208,7 @@ def densities(df: DataFrame, names: list[str], points: int = 300, base: BaseStat
     """Gaussian kernel densities with Scott bandwidth: ``(column, point, x, density)``.
 
     Each task adds up its rows' kernels on the grid and emits grid-sized partial sums, so the
-    shuffle carries columns x points rows per task. Kernels that underflow to zero are skipped.
+    shuffle carries columns x points rows per task. Kernels too far away to show in a sum are skipped.
     """
     _need_numeric(df, names)
     base = base or base_stats(df, names)

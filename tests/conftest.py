@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "tests", master="local[8]", spark__sql__shuffle__partitions=4, spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="8g"
+        "tests", master="local[4]", spark__sql__shuffle__partitions=2, spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="8g"
     )
     session.sparkContext.setLogLevel("OFF")
     yield session
