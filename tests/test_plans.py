@@ -45,7 +45,7 @@ def test_top_k_is_limited_below_the_shuffle(orders):
 
 def test_frequencies_combine_before_the_shuffle(orders):
     assert "partial_count" in plan(frequencies.freq_table(orders, ["o_orderstatus"]))
-    assert "keys=[o_orderkey" in plan(clean.remove_duplicates(orders)) and plan(clean.remove_duplicates(orders)).count("HashAggregate") >= 2
+    assert plan(clean.remove_duplicates(orders)).count("HashAggregate(keys=") == 2
 
 
 def test_fitted_steps_do_not_shuffle(orders):
