@@ -48,8 +48,10 @@ def write_shard(path: str, name: str, shard: int, *arrays: np.ndarray) -> None:
     fs.move(f"{root}/{part}", f"{root}/{final}")
 
 
-def read_shard(path: str, name: str, shard: int, types: tuple) -> list[np.ndarray]:
-    """The arrays of a shard: mapped where the shared folder is mounted, else read; a shard without keys has no file."""
+def read_shard(path: str, name: str, shard: int, types: tuple, rest=None) -> list[np.ndarray]:
+    """The arrays of a shard: mapped where the shared folder is mounted, else read; a shard without keys has no file.
+
+    ``rest``: type of one more array of any length behind the others."""
     key = (path, name, shard)
     if key not in _OPEN:
         if (root := _local(path)) is not None:
@@ -65,6 +67,8 @@ def read_shard(path: str, name: str, shard: int, types: tuple) -> list[np.ndarra
             size = n * np.dtype(t).itemsize
             out.append(data[at : at + size].view(t) if n else np.zeros(0, t))
             at += size
+        if rest is not None:
+            out.append(data[at:].view(rest) if n else np.zeros(0, rest))
         if len(_OPEN) > 4096 or root is None:
             _OPEN.clear()
         _OPEN[key] = out
@@ -78,7 +82,9 @@ def by_range(keys: np.ndarray, shards: int) -> np.ndarray:
 
 def find(path: str, name: str, shard_of: np.ndarray, keys: np.ndarray, types: tuple) -> tuple[np.ndarray, list[np.ndarray]]:
     """(position in its shard or -1, value arrays) for each key. ``types``: of the keys, then of each value column."""
-    order = np.lexsort((keys, shard_of))
+    order = np.argsort(keys)
+    if (np.diff(shard_of[order]) < 0).any():  # shards that are no ranges of keys
+        order = np.lexsort((keys, shard_of))
     place = np.full(len(keys), -1, np.int64)
     values = [np.zeros(len(keys), t) for t in types[1:]]
     s = shard_of[order]

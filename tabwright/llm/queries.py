@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..registry.base import Query, table
-from . import bpe, mixing, quality, token_counts
+from . import bpe, jaccard_join, mixing, ngram_lm, quality, token_counts
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -33,6 +33,18 @@ def count_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def language_model(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = ngram_lm.fit(docs.where(ngram_lm.learned("doc_id")))
+    docs = docs.withColumn("held_out", ~ngram_lm.learned("doc_id"))
+    scored = ngram_lm.score(docs, model, keep=["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+def jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.join_similar(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     judged = quality.judge(table(spark, sf, "documents"), keep=["doc_id"])
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
@@ -82,9 +94,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+#: Shingles joined with themselves, then the least id that links lead to, step by step.
+JACCARD_SQL = """
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT rid, doc_id, hash(array_to_string(ws[i:i+3], ' ')) AS h FROM (SELECT rid, doc_id, ws, unnest(range(1, greatest(len(ws)-3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT rid, count(*) AS s FROM g GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS common FROM g a JOIN g b ON a.h = b.h AND a.rid <> b.rid GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100*common >= 85*(x.s + y.s - common)),
+r AS (SELECT rid AS a, rid AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT r.a AS rid, min(w.doc_id) AS component_id FROM r JOIN w ON w.rid = r.b GROUP BY r.a)
+SELECT w.doc_id, coalesce(n.s, 0)::BIGINT AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id FROM w LEFT JOIN n USING (rid) LEFT JOIN c USING (rid)
+"""
+
 QUERIES: dict[str, Query] = {
+    "op2_language_model": Query(language_model),
     "op4_mix_sources": Query(mix_sources, MIX_SQL),
     "op5_bpe_round_trip": Query(bpe_round_trip),
+    "op8_ngram_jaccard_join": Query(jaccard, JACCARD_SQL),
     "op9_token_counts": Query(count_tokens),
     "op10_quality_rules": Query(quality_rules, _quality_sql()),
 }
