@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..registry.base import Query, table
-from . import bpe, jaccard_join, mixing, ngram_lm, quality, token_counts
+from . import bpe, embedding_dedup, jaccard_join, mixing, ngram_lm, quality, token_counts
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -33,6 +33,10 @@ def count_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf, "embeddings"))
+
+
 def language_model(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     model = ngram_lm.fit(docs.where(ngram_lm.learned("doc_id")))
@@ -106,7 +110,19 @@ c AS (SELECT r.a AS rid, min(w.doc_id) AS component_id FROM r JOIN w ON w.rid =
 SELECT w.doc_id, coalesce(n.s, 0)::BIGINT AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id FROM w LEFT JOIN n USING (rid) LEFT JOIN c USING (rid)
 """
 
+EMBEDDING_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL),
+u AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0
+  WHERE list_dot_product(a.e, b.e) >= {embedding_dedup.LIMIT}::DOUBLE*a.n*b.n),
+r AS (SELECT DISTINCT a AS a, a AS b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS m FROM r GROUP BY a), n AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.k,0)::BIGINT AS n_links, coalesce(c.m, e.vec_id) AS component_id, coalesce(c.m, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
+"""
+
 QUERIES: dict[str, Query] = {
+    "op1_embedding_near_dedup": Query(embedding_near_dedup, EMBEDDING_SQL),
     "op2_language_model": Query(language_model),
     "op4_mix_sources": Query(mix_sources, MIX_SQL),
     "op5_bpe_round_trip": Query(bpe_round_trip),
