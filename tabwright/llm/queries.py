@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..registry.base import Query, table
-from . import bpe, embedding_dedup, jaccard_join, mixing, ngram_lm, quality, token_counts
+from . import bpe, embedding_dedup, jaccard_join, mixing, ngram_lm, pii, quality, token_counts
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -45,6 +45,12 @@ def language_model(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
+def personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = pii.find_spans(docs, pii.fit(docs), keep=["doc_id"])
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.join_similar(table(spark, sf, "documents").select("doc_id", "text"))
 
@@ -124,6 +130,7 @@ FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
 QUERIES: dict[str, Query] = {
     "op1_embedding_near_dedup": Query(embedding_near_dedup, EMBEDDING_SQL),
     "op2_language_model": Query(language_model),
+    "op3_personal_data": Query(personal_data),
     "op4_mix_sources": Query(mix_sources, MIX_SQL),
     "op5_bpe_round_trip": Query(bpe_round_trip),
     "op8_ngram_jaccard_join": Query(jaccard, JACCARD_SQL),

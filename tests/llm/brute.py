@@ -60,3 +60,29 @@ def language_model(rows):
             score += math.log10(p)
         out[i, t] = (len(d), sum(one[w] > 0 for w in d), base, score)
     return out, n
+
+
+def luhn(d):
+    s = 0
+    for k, c in enumerate(d[::-1]):
+        v = int(c) * (2 if k % 2 else 1)
+        s += v // 10 + v % 10
+    return s % 10 == 0
+
+
+def personal_data(text):
+    """[(kind, start, end)] of the base patterns, straight from their definition."""
+    t, out = text or "", []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
+        out.append(("email", *m.span()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
+        if all(int(p) <= 255 for p in m.group().split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m.group())
+        if 13 <= len(d) <= 19 and luhn(d):
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+        if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15:
+            out.append(("phone", *m.span()))
+    return out
