@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
 
+SPACES = r"[\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
@@ -34,7 +35,7 @@ OUT = ("size", "source_size", "target", "taken")
 
 
 def word_count(text_col: str) -> Column:
-    return F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("bigint")
+    return F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), SPACES), "")).cast("bigint")
 
 
 def key_of(id_col: str, seed: str) -> Column:
@@ -124,8 +125,8 @@ def mix(
 
 
 def write_out(mixed: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row for each time a document is taken; the last one is cut behind the words that are missing (no row without words)."""
-    words_of = F.col("taken") - F.col("__copy") * F.col("size")
+    """One row for each time a document is taken. The one on the border holds only the words that are missing, joined by spaces."""
+    words_of = (F.col("taken") - F.col("__copy") * F.col("size")).cast("int")
     copies = mixed.where(F.col("taken") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(0), F.expr("CAST(ceil(taken / size) AS INT) - 1"))))
-    cut = F.regexp_extract(F.col(text_col), F.concat(F.lit(r"\A([\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*+){"), words_of.cast("string"), F.lit("})")), 1)
+    cut = F.array_join(F.slice(F.array_remove(F.split(F.col(text_col), SPACES), ""), F.lit(1), words_of), " ")
     return copies.withColumn(text_col, F.when(words_of < F.col("size"), cut).otherwise(F.col(text_col))).drop("__copy")

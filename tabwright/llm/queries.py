@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..registry.base import Query, table
-from . import bpe, embedding_dedup, jaccard_join, mixing, ngram_lm, pii, quality, token_counts
+from . import bpe, embedding_dedup, html_extract, jaccard_join, mixing, ngram_lm, pii, quality, token_counts
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -51,6 +51,11 @@ def personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def main_text(spark: SparkSession, sf: str) -> DataFrame:
+    pages = html_extract.extract(table(spark, sf, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+    return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.join_similar(table(spark, sf, "documents").select("doc_id", "text"))
 
@@ -133,6 +138,7 @@ QUERIES: dict[str, Query] = {
     "op3_personal_data": Query(personal_data),
     "op4_mix_sources": Query(mix_sources, MIX_SQL),
     "op5_bpe_round_trip": Query(bpe_round_trip),
+    "op7_main_text": Query(main_text),
     "op8_ngram_jaccard_join": Query(jaccard, JACCARD_SQL),
     "op9_token_counts": Query(count_tokens),
     "op10_quality_rules": Query(quality_rules, _quality_sql()),
