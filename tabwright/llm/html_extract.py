@@ -53,7 +53,7 @@ AGAINST_WORDS = re.compile(
 HEADER_WORDS = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 #: What readers wrote: content inside of it is not the page's own.
 COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|reply|replies|respond|responses|discussion|disqus|reviews?|guestbook)(?:$|[\s_-])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|</?\Z", re.S)
 ATTRIBUTES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
 ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in INVISIBLE}
@@ -214,7 +214,7 @@ def count_features(df: DataFrame, html_col: str) -> list[tuple[tuple[int, ...],
 
 #: Examples that hold without any page: prose is content, short linked text is not, and surroundings decide.
 PRIOR = (
-    ((0, 0, 0, 0, 3, 2), 0.9), ((0, 0, 0, 0, 2, 2), 0.8), ((0, 0, 1, 0, 0, 0), 0.6), ((0, 0, 0, 2, 0, 0), 0.1), ((0, 0, 2, 2, 0, 0), 0.1), ((1, 0, 0, 0, 2, 2), 0.98), ((0, 1, 0, 0, 1, 1), 0.02), ((0, 1, 0, 0, 3, 2), 0.02),
+    ((0, 0, 0, 0, 3, 2), 0.9), ((0, 0, 0, 0, 2, 2), 0.8), ((0, 0, 0, 0, 1, 2), 0.7), ((0, 0, 0, 0, 1, 1), 0.6), ((0, 0, 1, 0, 0, 0), 0.6), ((0, 0, 0, 2, 0, 0), 0.1), ((0, 0, 2, 2, 0, 0), 0.1), ((1, 0, 0, 0, 2, 2), 0.98), ((0, 1, 0, 0, 1, 1), 0.02), ((0, 1, 0, 0, 3, 2), 0.02),
 )
 
 

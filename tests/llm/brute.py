@@ -86,3 +86,46 @@ def personal_data(text):
         if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15:
             out.append(("phone", *m.span()))
     return out
+
+
+def mask(text):
+    """Base spans replaced; overlapping ones become one, named after the first."""
+    merged = []
+    for k, a, b in sorted(personal_data(text), key=lambda s: (s[1], -s[2])):
+        if merged and a < merged[-1][2]:
+            merged[-1][2] = max(merged[-1][2], b)
+        else:
+            merged.append([k, a, b])
+    for k, a, b in reversed(merged):
+        text = text[:a] + f"[{k.upper()}]" + text[b:]
+    return text
+
+
+def shingles(text, n):
+    w = words(text)
+    return {tuple(w[i : i + n]) for i in range(max(len(w) - n + 1, 1))} if w else set()
+
+
+def components(sets, percent):
+    """{id: least id reachable} over links of similar sets."""
+    ids = sorted(sets)
+    least = {i: i for i in ids}
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(least[a], least[b])
+            changed |= (least[a], least[b]) != (m, m)
+            least[a] = least[b] = m
+    return least
+
+
+def article(page):
+    """Headings and paragraphs of the article of a page of the test tables."""
+    import html
+
+    m = re.search(r"<article>(.*?)(</article>|\Z)", page, re.S)
+    parts = re.split(r"</?(?:p|h1)>", m.group(1)) if m else []
+    out = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in parts]
+    return "\n\n".join(x for x in out if x)
