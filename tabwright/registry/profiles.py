@@ -120,6 +120,16 @@ def _kinds(spark, sf):
     return listed.join(profile.dtype_profile(df).select("column", "present"), "column").select("kind", "position", "column", "present")
 
 
+# More columns than one generated method would hold, all correlated to some degree.
+WIDE_NAMES = [f"c{i}" for i in range(24)]
+WIDE = "SELECT " + ", ".join(f"l_quantity * {i % 7 + 1} + l_discount * {100 * (i % 5)} + l_extendedprice / {1000 + 400 * i} AS c{i}" for i in range(24)) + " FROM {line}"
+WIDE_SQL = WIDE.format(line="lineitem")
+# A large offset with a tiny spread, and a column with infinite values, which has no correlations.
+OFFSET = "SELECT CAST(o_orderkey AS DOUBLE) AS x, CAST(1000000000 + o_orderkey % 2 AS DOUBLE) AS y, CAST(1000000 + o_custkey % 3 AS DOUBLE) AS z FROM {o}"
+OFFSET_SQL = OFFSET.format(o="orders")
+INFINITE = "SELECT o_totalprice AS x, CASE WHEN o_orderkey % 100 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE o_totalprice END AS w, CAST(o_custkey AS DOUBLE) AS y FROM {o}"
+INFINITE_SQL = INFINITE.format(o="orders")
+
 QUERIES = {
     "numeric_stats": Query(lambda s, d: profile.numeric_stats(table(s, d, "lineitem")), sql_numeric_stats("lineitem", LINE_NUMERIC)),
     "numeric_stats_with_gaps": Query(lambda s, d: profile.numeric_stats(dirty(s, d)), with_d(sql_numeric_stats("d", DIRTY_NUMERIC))),
@@ -177,6 +187,18 @@ FROM ({sql_freq("d", DIRTY_TEXT)})) WHERE rank<=5"""
         f"""SELECT CAST(row_number() OVER (ORDER BY abs(round(r,4)) DESC, ord_a, ord_b) AS INTEGER) AS rank, col_a, col_b, round(r,4) AS correlation
 FROM ({sql_pairs(PART_SQL, PART_PLUS)}) ORDER BY 1 LIMIT 10""",
     ),
+    "correlation_wide": Query(
+        lambda s, d: rounded(corr.correlation_pairs(s.sql(WIDE, line=table(s, d, "lineitem")))).select("col_a", "col_b", "r"),
+        f"SELECT col_a, col_b, round(r,6) AS r FROM ({sql_pairs(f'({WIDE_SQL})', WIDE_NAMES)})",
+    ),
+    "correlation_offset": Query(
+        lambda s, d: rounded(corr.correlation_pairs(s.sql(OFFSET, o=table(s, d, "orders")))).select("col_a", "col_b", "r"),
+        f"SELECT col_a, col_b, round(r,6) AS r FROM ({sql_pairs(f'({OFFSET_SQL})', ['x', 'y', 'z'])})",
+    ),
+    "correlation_infinite": Query(
+        lambda s, d: rounded(corr.correlation_pairs(s.sql(INFINITE, o=table(s, d, "orders")))).select("col_a", "col_b", "r"),
+        f"SELECT col_a, col_b, round(r,6) AS r FROM ({sql_pairs(f'({INFINITE_SQL})', ['x', 'y'])})",
+    ),
     "correlation_matrix": Query(
         lambda s, d: rounded(corr.correlation_matrix(table(s, d, "lineitem"))),
         f"""WITH c AS ({sql_pairs("lineitem", LINE_NUMERIC)}) SELECT col_a AS "row", col_b AS col, round(r,6) AS r FROM c

@@ -41,6 +41,35 @@ def _json(spark, sf):
     return readers.load(spark, path).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 
 
+def _documents(suffix, write):
+    """Texts with line breaks, quotes and separators."""
+
+    def run(spark, sf):
+        path = _path(spark, suffix)
+        quoted = table(spark, sf, "documents").withColumn("text", F.concat(F.lit('say "'), F.col("text"), F.lit('",\tend\nof it')))
+        write(quoted, path)
+        return readers.load(spark, path)
+
+    return run
+
+
+_DOCUMENTS = """SELECT doc_id, 'say "' || text || '",' || chr(9) || 'end' || chr(10) || 'of it' AS text, lang, source, n_chars FROM documents"""
+
+
+def _feather_overwrite(spark, sf):
+    path = _path(spark, ".feather")
+    orders = table(spark, sf, "orders")
+    writers.write_feather(orders.repartition(4), path)
+    writers.write_feather(orders.where("o_orderkey % 3 = 0").coalesce(1), path, mode="overwrite")
+    return readers.load(spark, path)
+
+
+def _feather_empty(spark, sf):
+    path = _path(spark, ".feather")
+    writers.write_feather(table(spark, sf, "orders").where("o_orderkey IS NULL"), path)
+    return readers.load(spark, path)
+
+
 def _feather_pruned(spark, sf):
     path = _path(spark, ".feather")
     writers.write_feather(table(spark, sf, "lineitem").repartition(4), path)
@@ -107,6 +136,10 @@ QUERIES = {
     "json_round_trip": Query(_json, ORDERS_TEXT_DATE),
     "parquet_round_trip": Query(_round_trip(".parquet", writers.write_parquet), ORDERS),
     "feather_round_trip": Query(_round_trip(".feather", writers.write_feather), ORDERS),
+    "csv_multiline_round_trip": Query(_documents(".csv", writers.write_csv), _DOCUMENTS),
+    "tsv_multiline_round_trip": Query(_documents(".tsv", writers.write_tsv), _DOCUMENTS),
+    "feather_overwrite": Query(_feather_overwrite, "SELECT * FROM orders WHERE o_orderkey % 3 = 0"),
+    "feather_empty": Query(_feather_empty, "SELECT * FROM orders WHERE o_orderkey IS NULL"),
     "feather_pruned": Query(
         _feather_pruned, "SELECT l_returnflag, count(*) AS rows, round(sum(l_quantity),2) AS quantity FROM lineitem GROUP BY 1"
     ),

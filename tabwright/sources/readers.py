@@ -49,13 +49,24 @@ def _typed(raw: DataFrame) -> DataFrame:
     return cells.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None, multiline: bool = False) -> DataFrame:
+def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell goes on in the next line: then some line has an odd number of quotes (doubled ones are even).
+
+    One pass over the lines that stops early in each task; it decides how the file is read, whatever its size.
+    """
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    return bool(spark.read.text(path).where(quotes % 2 == 1).head(1))
+
+
+def read_csv(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None, multiline: bool | None = None) -> DataFrame:
     """A delimited file with a header row.
 
-    With a schema nothing is read ahead. Otherwise types are inferred in one aggregation and the
-    usual texts for missing count as missing. ``multiline`` allows line breaks inside quotes but
-    reads each file in one task.
+    Types are inferred in one aggregation unless a schema is given, and the usual texts for missing
+    count as missing. Line breaks inside quotes are read as part of their cell: files that have any are
+    read whole by one task each, all others are split. ``multiline`` says so without looking.
     """
+    if multiline is None:
+        multiline = has_quoted_breaks(spark, path)
     reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multiline)
     if schema is not None:
         return reader.schema(schema).csv(path)
@@ -91,7 +102,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def read_feather(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     arrow.register(spark)
     reader = spark.read.format(arrow.FORMAT)
-    return (reader.option("columns", ",".join(columns)) if columns else reader).load(path)
+    return (reader.option("columns", ",".join(columns)) if columns else reader).load(arrow.qualified(spark, path))
 
 
 READERS = {".csv": read_csv, ".tsv": read_tsv, ".json": read_json, ".parquet": read_parquet, ".feather": read_feather}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators.models import export_results
-from ..session import ship_package
+from . import arrow
 
 
 def _shaped(df: DataFrame, single_file: bool) -> DataFrame:
@@ -29,35 +29,22 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     df.write.mode(mode).parquet(path)
 
 
-def write_feather(df: DataFrame, path: str) -> int:
-    """One Feather file per partition, written by the tasks; returns the number of files.
+def write_feather(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Feather files, one for each partition that has rows; an empty table leaves one file with its schema.
 
-    A retried task overwrites its own file.
+    Tasks write under names of their own attempt; the files appear when the job commits, and those of
+    failed or repeated attempts never do. Modes: errorifexists, overwrite, append, ignore.
     """
-
-    ship_package(df.sparkSession)
-
-    def write_part(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        from .arrow import _filesystem
-
-        system, base = _filesystem(path)
-        system.create_dir(base, recursive=True)
-        part = TaskContext.get().partitionId()
-        writer, sink = None, None
-        for batch in batches:
-            if writer is None:
-                sink = system.open_output_stream(f"{base}/part-{part:05d}.feather")
-                writer = pa.ipc.new_file(sink, batch.schema)
-            writer.write_batch(batch)
-        if writer is not None:
-            writer.close()
-            sink.close()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32())], names=["part"])
-
-    return df.mapInArrow(write_part, "part int").count()
+    if mode not in ("errorifexists", "error", "overwrite", "append", "ignore"):
+        raise ValueError(f"unknown mode {mode!r}")
+    spark = df.sparkSession
+    arrow.register(spark)
+    place = arrow.qualified(spark, path)
+    if mode in ("errorifexists", "error", "ignore") and arrow.exists(place):
+        if mode == "ignore":
+            return
+        raise FileExistsError(path)
+    df.write.format(arrow.FORMAT).mode("overwrite" if mode == "overwrite" else "append").save(place)
 
 
 def write_model_results(results: DataFrame, path: str, **options) -> None:

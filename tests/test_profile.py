@@ -66,13 +66,17 @@ def test_duplicates_treat_null_and_nan_as_equal(frame):
 def test_correlations_are_pairwise_complete(mixed):
     pdf, df = mixed
     want = pdf[["a", "b", "c", "d"]].corr()
-    for narrow in (16, 1):
-        correlation.NARROW_COLUMNS = narrow
-        pairs = correlation.collect_pairs(df)
-        assert len(pairs) == 6
-        for a, b, r in pairs:
-            assert r == pytest.approx(want.loc[a, b], abs=1e-10)
-    correlation.NARROW_COLUMNS = 16
+    pairs = correlation.collect_pairs(df)
+    assert len(pairs) == 6
+    for a, b, r in pairs:
+        assert r == pytest.approx(want.loc[a, b], abs=1e-10)
+
+
+def test_correlations_of_large_offsets_and_infinite_values(spark):
+    df = spark.range(1000).selectExpr("CAST(id AS DOUBLE) AS x", "1e9D + (id % 2) AS y", "IF(id = 7, double('Infinity'), CAST(id AS DOUBLE)) AS z")
+    pdf = df.toPandas()
+    assert [(a, b) for a, b, _ in correlation.collect_pairs(df)] == [("x", "y")]
+    assert correlation.collect_pairs(df)[0][2] == pytest.approx(pdf["x"].corr(pdf["y"] - 1e9), abs=1e-12)
 
 
 def test_constant_column_has_no_correlation(frame):

@@ -30,7 +30,8 @@ def test_csv_types_and_missing_texts(spark, tmp_path):
 def test_csv_with_schema_and_line_breaks(spark, tmp_path):
     p = tmp_path / "a.csv"
     p.write_text('k,t\n1,"two\nlines"\n')
-    assert rows(readers.load(spark, str(p), multiline=True)) == [(1, "two\nlines")]
+    assert rows(readers.load(spark, str(p), multiline=True)) == rows(readers.load(spark, str(p))) == [(1, "two\nlines")]
+    assert rows(readers.read_csv(spark, str(p), schema="k int, t string")) == [(1, "two\nlines")]
     assert readers.read_csv(spark, str(p), schema="k string, t string", multiline=True).dtypes[0] == ("k", "string")
 
 
@@ -62,6 +63,26 @@ def test_feather_file_from_pandas(spark, tmp_path):
     assert readers.read_feather(spark, path, ["s"]).columns == ["s"]
 
 
+def test_feather_writes_are_committed_whole(spark, frame, tmp_path):
+    out = str(tmp_path / "o.feather")
+    df = spark.range(100).repartition(4)
+    writers.write_feather(df, out)
+    with pytest.raises(FileExistsError):
+        writers.write_feather(df, out)
+    writers.write_feather(df, out, mode="ignore")
+    assert readers.load(spark, out).count() == 100
+    writers.write_feather(df, out, mode="append")
+    assert readers.load(spark, "file://" + out).count() == 200
+    writers.write_feather(spark.range(10).coalesce(1), out, mode="overwrite")
+    assert sorted(r.id for r in readers.load(spark, out).collect()) == list(range(10))
+    with pytest.raises(Exception):
+        writers.write_feather(spark.range(10).selectExpr("IF(id = 7, raise_error('no'), id) AS id"), out, mode="overwrite")
+    assert readers.load(spark, out).count() == 10
+    assert not [p for p in (tmp_path / "o.feather").iterdir() if p.name.startswith("_")]
+    writers.write_feather(frame("a int, s string"), out, mode="overwrite")
+    assert readers.load(spark, out).dtypes == [("a", "int"), ("s", "string")] and readers.load(spark, out).count() == 0
+
+
 def test_write_single_file(spark, frame, tmp_path):
     out = str(tmp_path / "o.csv")
     writers.write_csv(frame("a int, s string", (1, 'q"x'), (2, None)), out, single_file=True)
