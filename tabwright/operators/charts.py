@@ -20,7 +20,6 @@ from .moments import Base, BaseStats, aggregate, base_stats, inline_rows, power_
 from .ordering import with_position
 from .quantiles import quantiles
 
-KDE_REACH = 12.0  # bandwidths; a kernel farther out adds less than 1e-31
 
 
 def _need_numeric(df: DataFrame, names: list[str]) -> None:
@@ -38,6 +37,20 @@ def _edges(b: Base) -> tuple[float, float]:
     return (b.low, b.high) if b.low != b.high else (b.low - 0.5, b.high + 0.5)
 
 
+def _finite(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns with infinite values as NULL."""
+    inf = "CAST('Infinity' AS DOUBLE)"
+    return df.selectExpr(*[f"IF(abs({double_sql(df, n)}) = {inf}, CAST(NULL AS DOUBLE), {double_sql(df, n)}) AS {quoted(n)}" for n in names])
+
+
+def _finite_base(df: DataFrame, names: list[str], base: BaseStats | None) -> BaseStats:
+    """Bounds and means of the finite values; ``base`` serves as it is unless a column holds infinite ones."""
+    base = base or base_stats(df, names)
+    if all(math.isfinite(v) for n in names for v in (base[n].low, base[n].high) if v is not None):
+        return base
+    return base_stats(_finite(df, names), names)
+
+
 def _bin_sql(x: str, lo: float, hi: float, bins: int) -> str:
     """0-based equal-width bin, closed on the right for the last bin; NULL stays NULL."""
     at = f"floor(({x} - {literal_sql(lo)}) / {literal_sql(hi - lo)} * {bins}D)"
@@ -52,10 +65,11 @@ def auto_bins(n: int) -> int:
 def histograms(df: DataFrame, names: list[str], bins: int | None = 30, base: BaseStats | None = None) -> DataFrame:
     """Equal-width counts of several columns in one pass: ``(column, bin, bin_start, bin_end, count)``.
 
-    ``bins=None`` picks the number of bins from the row count. Empty bins are listed with 0.
+    ``bins=None`` picks the number of bins from the row count. Empty bins are listed with 0. Infinite
+    values lie in no bin: a column that has any gets one more row, without bin and bounds, for them.
     """
     _need_numeric(df, names)
-    base = base or base_stats(df, names)
+    base = _finite_base(df, names, base)
     spark = df.sparkSession
     spine, structs = [], []
     for i, n in enumerate(names):
@@ -66,14 +80,16 @@ def histograms(df: DataFrame, names: list[str], bins: int | None = 30, base: Bas
         k = bins or auto_bins(b.n)
         width = (hi - lo) / k
         spine += [(n, j, lo + j * width, hi if j == k - 1 else lo + (j + 1) * width) for j in range(k)]
-        structs.append(f"named_struct('column', {literal_sql(n)}, 'bin', {_bin_sql(double_sql(df, n), lo, hi, k)})")
+        x = double_sql(df, n)
+        at = f"IF(abs({x}) = CAST('Infinity' AS DOUBLE), -1, {_bin_sql(x, lo, hi, k)})"
+        structs.append(f"named_struct('column', {literal_sql(n)}, 'bin', {at})")
     frame = spark.createDataFrame(spine, "column string, bin int, bin_start double, bin_end double")
     if not structs:
         return frame.withColumn("count", F.lit(0).cast("bigint"))
     counts = inline_rows(df, structs).where("bin IS NOT NULL").groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count"))
-    # Both sides hold at most columns x bins rows.
-    return frame.join(F.broadcast(counts), ["column", "bin"], "left").select(
-        "column", "bin", "bin_start", "bin_end", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")
+    # Both sides hold at most columns x (bins + 1) rows.
+    return frame.join(F.broadcast(counts), ["column", "bin"], "full").select(
+        "column", F.expr("nullif(bin, -1)").alias("bin"), "bin_start", "bin_end", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")
     )
 
 
@@ -204,14 +220,16 @@ def radar(df: DataFrame, max_columns: int = 8) -> DataFrame:
     return inline_rows(means, structs)
 
 
-def densities(df: DataFrame, names: list[str], points: int = 300, base: BaseStats | None = None) -> DataFrame:
-    """Gaussian kernel densities with Scott bandwidth: ``(column, point, x, density)``.
+def densities(df: DataFrame, names: list[str], points: int = 300, base: BaseStats | None = None, reach: float = 12.0) -> DataFrame:
+    """Gaussian kernel densities of the finite values with Scott bandwidth: ``(column, point, x, density)``.
 
     Each task adds up its rows' kernels on the grid and emits grid-sized partial sums, so the
-    shuffle carries columns x points rows per task. Kernels too far away to show in a sum are skipped.
+    shuffle carries columns x points rows per task. Kernels farther than ``reach`` bandwidths from a
+    grid point, which add less than 1e-31 to it by default, are left out there.
     """
     _need_numeric(df, names)
-    base = base or base_stats(df, names)
+    base = _finite_base(df, names, base)
+    df = _finite(df, names)
     names = [n for n in names if base[n].n > 1 and not base[n].constant]
     empty = df.sparkSession.createDataFrame([], "column string, point int, x double, density double")
     if not names:
@@ -234,8 +252,8 @@ def densities(df: DataFrame, names: list[str], points: int = 300, base: BaseStat
                 x = batch.column(c).to_numpy(zero_copy_only=False).astype(float)
                 values, weights = np.unique(x[~np.isnan(x)], return_counts=True)
                 at = np.asarray(grid)
-                first = np.searchsorted(values, at - KDE_REACH * h)
-                last = np.searchsorted(values, at + KDE_REACH * h, side="right")
+                first = np.searchsorted(values, at - reach * h)
+                last = np.searchsorted(values, at + reach * h, side="right")
                 for j in range(points):
                     z = (at[j] - values[first[j] : last[j]]) / h
                     total[c, j] += float(np.dot(weights[first[j] : last[j]], np.exp(-0.5 * z * z)))

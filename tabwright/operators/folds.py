@@ -1,17 +1,19 @@
-"""Train/test split and cross-validation folds, decided by key order statistics.
+"""Train/test split and cross-validation folds.
 
-A fold is a range of the order key, so assigning it is a comparison with a few literal cut values:
-no sort, no window and no shuffle of the table. The cut values are exact order statistics.
+A split or a block fold is a range of the order key, so assigning it is a comparison with a few literal
+cut values: no sort, no window and no shuffle of the table. The cut values are exact order statistics.
+Stratified folds rank the rows of each class by one range partitioning of the table.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.kinds import DATETIME, NUMERIC, kind_of, quoted, require_columns
 from ..functions.missing import literal_sql
+from ..session import materialize
 from .moments import aggregate
 from .quantiles import order_statistics
 
@@ -20,7 +22,6 @@ from .quantiles import order_statistics
 # distinct hashes, and neighbouring keys land far apart.
 HASH_MODULUS = 2147483647
 HASH_MULTIPLIER = 1327217885
-MAX_CLASSES = 1000
 
 
 def key_sql(df: DataFrame, key: str) -> str:
@@ -41,7 +42,8 @@ def hash_sql(df: DataFrame, key: str, seed: int) -> str:
         p = HASH_MODULUS
         x = f"((pmod(CAST({quoted(key)} AS BIGINT), {p}L) + {seed % p}L) % {p}L * {HASH_MULTIPLIER}L % {p}L)"
         square = f"({x} * {x} % {p}L)"
-        return f"({square} * {square} % {p}L * {x} % {p}L)"
+        # Keys beyond the modulus can share a residue; their low 32 bits then order them.
+        return f"({square} * {square} % {p}L * {x} % {p}L * 4294967296L + pmod(CAST({quoted(key)} AS BIGINT), 4294967296L))"
     return f"xxhash64({quoted(key)}, {seed}L)"
 
 
@@ -91,51 +93,47 @@ def with_block_folds(df: DataFrame, key: str, folds: int = 5, name: str = "fold"
     return df.withColumn(name, F.expr(_fold_sql(k, [found[e] if e > 0 else None for e in ends])))
 
 
-def class_table(df: DataFrame, label: str, key: str | None = None) -> list:
-    """``(label, rows, first key)`` per class, in order of first key; one row per class."""
-    first = f"min({key_sql(df, key)})" if key else "min(1)"
-    rows = (
-        df.groupBy(F.col(quoted(label)).alias("label"))
-        .agg(F.count(F.lit(1)).alias("n"), F.expr(first).alias("first"))
-        .limit(MAX_CLASSES + 1)
-        .collect()
-    )
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {label!r}")
-    return sorted(rows, key=lambda r: (r["first"] is None, r["first"]))
-
-
 def with_stratified_folds(df: DataFrame, label: str, key: str, folds: int = 5, name: str = "fold") -> DataFrame:
     """Unshuffled stratified folds: each class is cut into blocks along the key order.
 
     Classes are laid end to end in order of first appearance; fold i of a class gets as many rows
     as that class has positions congruent to i modulo the fold count.
+
+    One range partitioning by (class, key) for any number of classes, so a large class lies in many
+    partitions; a row's rank in its class is its place in its partition plus the rows of the class before
+    it, which are known from one small row for each class and partition. Rows of one class and key are
+    in any order.
     """
     require_columns(df, [label, key])
-    classes = class_table(df, label, key)
-    k = key_sql(df, key)
-    wanted, bounds, counts, columns, ends_of = {}, {}, {}, [], []
-    start = 0
-    for c, row in enumerate(classes):
-        stop = start + row["n"]
-        sizes = [(stop + folds - 1 - i) // folds - (start + folds - 1 - i) // folds for i in range(folds)]
-        ends = [sum(sizes[: i + 1]) for i in range(folds - 1)]
-        start = stop
-        ends_of.append(ends)
-        columns.append(f"CASE WHEN {quoted(label)} <=> {literal_sql(row["label"])} THEN {k} END AS c{c}")
-        wanted[f"c{c}"] = sorted({min(e, row["n"]) for e in ends if e > 0})
-        counts[f"c{c}"] = row["n"]
-    if not classes:
-        return df.withColumn(name, F.lit(0))
-    keyed = df.selectExpr(*columns)
-    extent = aggregate(keyed, [f"{fn}(c{c}) AS {fn}{c}" for c in range(len(classes)) for fn in ("min", "max")]).first()
-    for c in range(len(classes)):
-        bounds[f"c{c}"] = (extent[f"min{c}"], extent[f"max{c}"])
-    found = order_statistics(keyed, wanted, bounds, counts)
-    cases = []
-    for c, row in enumerate(classes):
-        starts = [found[f"c{c}"][min(e, row["n"])] if e > 0 else None for e in ends_of[c]]
-        cases.append(f"WHEN {quoted(label)} <=> {literal_sql(row["label"])} THEN {_fold_sql(k, starts)}")
-    return df.withColumn(name, F.expr(f"CAST(CASE {' '.join(cases)} END AS INT)"))
-
-
+    kept = df.columns
+    rows = df.select("*", F.col(quoted(label)).alias("__class"), F.expr(key_sql(df, key)).alias("__order"))
+    by = ["__class", "__order"]
+    ranged = rows.repartitionByRange(*by, F.xxhash64(*[F.col(quoted(c)) for c in kept if not isinstance(df.schema[c].dataType, T.MapType)])).sortWithinPartitions(*by)
+    saved = materialize(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__slot", F.monotonically_increasing_id()), "folds")
+    pieces = saved.groupBy("__class", "__part").agg(F.count(F.lit(1)).alias("n"), F.min("__slot").alias("slot"), F.min("__order").alias("first"))
+    pieces = materialize(pieces, "fold-pieces")
+    # One row for each class goes through one task.
+    classes = pieces.groupBy("__class").agg(F.sum("n").alias("size"), F.min("first").alias("first"))
+    laid = Window.orderBy(F.col("first").asc_nulls_last(), F.col("__class").asc_nulls_last())
+    classes = classes.withColumn("begin", F.sum("size").over(laid.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    before = F.sum("n").over(Window.partitionBy("__class").orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    classes = classes.select(F.col("__class").alias("c"), "size", "begin")
+    found = pieces.withColumn("before", before).join(classes, F.col("__class").eqNullSafe(F.col("c")))
+    found = found.select(F.col("__class").alias("__c"), F.col("__part").alias("__p"), "slot", "before", "begin", (F.col("begin") + F.col("size")).alias("stop"))
+    placed = saved.join(found, F.col("__class").eqNullSafe(F.col("__c")) & (F.col("__part") == F.col("__p")))
+    rank = F.col("before") + F.col("__slot") - F.col("slot")
+    ends, upto = [], "0L"
+    for i in range(folds - 1):
+        upto += f" + (stop + {folds - 1 - i}) div {folds} - (begin + {folds - 1 - i}) div {folds}"
+        ends.append(F.when(rank >= F.expr(upto), 1).otherwise(0))
+    fold = F.lit(0)
+    for e in ends:
+        fold = fold + e
+    return placed.select(*[F.col(quoted(c)) for c in kept if c != name], fold.cast("int").alias(name))
+
+
+def class_index(df: DataFrame, label: str) -> DataFrame:
+    """``(class, index)`` of every class that is present, in order of its value; one row for each class."""
+    classes = df.select(F.col(quoted(label)).alias("class")).where("class IS NOT NULL").distinct()
+    # One row for each class goes through one task.
+    return classes.withColumn("index", (F.row_number().over(Window.orderBy("class")) - 1).cast("double"))

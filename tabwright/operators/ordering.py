@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.kinds import col, require_columns
 from ..session import materialize
@@ -14,13 +14,15 @@ def with_position(df: DataFrame, order_by: list[str], name: str = "position", ke
     """0-based global row positions without a single-task window.
 
     Rows are range-partitioned and sorted, the partition sizes (one row per partition) give each
-    partition its offset. The sorted table is written once so that sizes and rows agree.
+    partition its offset. A hash of the row splits equal keys over partitions: positions among rows that
+    ``order_by`` does not tell apart are free. The sorted table is written once so that sizes and rows agree.
     """
     require_columns(df, order_by)
     keep = df.columns if keep is None else list(dict.fromkeys(keep))
     needed = list(dict.fromkeys([*keep, *order_by]))
     keys = [col(c) for c in order_by]
-    ranged = df.select(*[col(c) for c in needed]).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    spread = F.xxhash64(*[col(c) for c in needed if not isinstance(df.schema[c].dataType, T.MapType)])
+    ranged = df.select(*[col(c) for c in needed]).repartitionByRange(*keys, spread).sortWithinPartitions(*keys, spread)
     saved = materialize(ranged.withColumn("__slot", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("__slot", SLOT_BITS)
     sizes = saved.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import charts, folds, knn, metrics, models as ops
+from ..operators.ordering import with_position
 from .base import Query, rounded, sql_top, table, union_all
 
 
@@ -18,12 +19,15 @@ def _split_sql(src, key):
 
 SPLIT = _split_sql("orders", "o_orderkey")
 
-STRAT = """WITH c AS (SELECT o_orderstatus AS s, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY 1),
+def _strat_sql(label):
+    return f"""WITH c AS (SELECT {label} AS s, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY 1),
 p AS (SELECT s, n, sum(n) OVER (ORDER BY f) - n AS a, sum(n) OVER (ORDER BY f) AS b FROM c),
 z AS (SELECT s, i, (b+4-i)//5-(a+4-i)//5 AS sz FROM p CROSS JOIN range(5) t(i)),
 e AS (SELECT s, i, sum(sz) OVER (PARTITION BY s ORDER BY i) AS upto FROM z),
-r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey)-1 AS k FROM orders)
-SELECT o_orderkey, (SELECT count(*) FROM e WHERE e.s=r.o_orderstatus AND e.i<4 AND e.upto<=r.k)::INTEGER AS fold FROM r"""
+r AS (SELECT o_orderkey, {label} AS s, row_number() OVER (PARTITION BY {label} ORDER BY o_orderkey)-1 AS k FROM orders)
+SELECT o_orderkey, count(*) FILTER (WHERE e.upto<=r.k)::INTEGER AS fold FROM r JOIN e ON e.s=r.s AND e.i<4 GROUP BY o_orderkey"""
+
+
 
 # A rule that predicts the order status from the price, and a line for the part price.
 GUESS = "CASE WHEN o_totalprice > 200000 THEN 'O' WHEN o_totalprice > 50000 THEN 'F' ELSE 'P' END"
@@ -117,7 +121,15 @@ UNION ALL SELECT 'min', round(min(value),4), NULL FROM events UNION ALL SELECT '
         lambda s, d: folds.with_block_folds(table(s, d, "events"), "ts", 5).groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("first_ts")),
         "SELECT fold, count(*) AS rows, min(ts) AS first_ts FROM (SELECT ts, (ntile(5) OVER (ORDER BY ts)-1)::INTEGER AS fold FROM events) GROUP BY 1",
     ),
-    "stratified_folds": Query(lambda s, d: folds.with_stratified_folds(table(s, d, "orders"), "o_orderstatus", "o_orderkey", 5).select("o_orderkey", "fold"), STRAT),
+    "stratified_folds": Query(lambda s, d: folds.with_stratified_folds(table(s, d, "orders"), "o_orderstatus", "o_orderkey", 5).select("o_orderkey", "fold"), _strat_sql("o_orderstatus")),
+    "stratified_folds_many_classes": Query(
+        lambda s, d: folds.with_stratified_folds(table(s, d, "orders").withColumn("c", F.col("o_custkey") % 1500), "c", "o_orderkey", 5).select("o_orderkey", "fold"),
+        _strat_sql("(o_custkey % 1500)"),
+    ),
+    "positions_with_ties": Query(
+        lambda s, d: with_position(table(s, d, "orders"), ["o_orderstatus"]).groupBy("o_orderstatus").agg(F.count_distinct("position").alias("rows"), F.min("position").alias("first"), F.max("position").alias("last")),
+        """SELECT o_orderstatus, count(*) AS rows, (sum(count(*)) OVER (ORDER BY o_orderstatus) - count(*))::BIGINT AS first, (sum(count(*)) OVER (ORDER BY o_orderstatus) - 1)::BIGINT AS last FROM orders GROUP BY 1""",
+    ),
     "classification_metrics": Query(
         lambda s, d: rounded(metrics.classification_metrics(table(s, d, "orders").selectExpr("o_orderstatus AS label", f"{GUESS} AS prediction"))), _WF1
     ),

@@ -48,6 +48,25 @@ def test_stratified_folds_balance_classes(spark):
     assert got.groupby("fold")["count"].sum().tolist() == [26, 26, 26, 25]
 
 
+def test_stratified_folds_with_repeated_keys_nulls_and_many_classes(spark):
+    df = spark.range(6000).selectExpr("id DIV 3 AS k", "IF(id % 4000 = 7, NULL, id % 2500) AS y", "'x' AS fold")
+    got = folds.with_stratified_folds(df, "y", "k", 3)
+    assert got.columns == ["k", "y", "fold"] and got.count() == 6000
+    sizes = got.groupBy("fold").count().toPandas()["count"]
+    assert len(sizes) == 3 and sizes.max() - sizes.min() <= 1
+
+
+def test_more_classes_than_any_literal_list_would_hold(spark):
+    df = spark.range(13200).selectExpr("id", "CAST(id % 1100 AS STRING) AS y", "CAST(id % 1100 AS DOUBLE) AS x")
+    row = models.train_models(df, "y", "id", ["knn"], folds=2).first()
+    assert row["error"] is None and row["mean_score"] > 0.9
+
+
+def test_split_of_keys_beyond_the_modulus(spark):
+    df = spark.range(10).selectExpr("id % 2 + 2147483647 * (id DIV 2) AS k")
+    assert folds.with_split(df, "k", 0.5).where("is_test").count() == 5
+
+
 def test_classification_metrics_by_hand(frame):
     df = frame("label string, prediction string", ("a", "a"), ("a", "b"), ("b", "b"), ("c", "a"))
     m = metrics.classification_metrics(df).first()
@@ -138,7 +157,7 @@ def test_importance(linear):
     assert [r["feature"] for r in got][0] in ("a", "b") and sum(r["importance"] for r in got) == pytest.approx(1.0, abs=1e-3)
     logistic = models.feature_importance(df.drop("y"), "cls", "id", "logistic_regression").collect()
     assert {r["feature"] for r in logistic} == {"a", "b", "c"}
-    with pytest.raises(ValueError, match="support"):
+    with pytest.raises(ValueError, match="neither importances"):
         models.feature_importance(df.drop("cls"), "y", "id", "svr")
 
 
