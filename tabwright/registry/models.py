@@ -93,6 +93,38 @@ _WF1 = f"""SELECT accuracy, f1_weighted, rows FROM (WITH g AS (SELECT o_ordersta
 c AS (SELECT c, sum(s) AS s, sum(q) AS q, sum(tp) AS tp FROM (SELECT y AS c, 1 AS s, 0 AS q, CASE WHEN y=p THEN 1 ELSE 0 END AS tp FROM g UNION ALL SELECT p, 0, 1, 0 FROM g) GROUP BY 1)
 SELECT round(sum(tp)::DOUBLE/sum(s),6) AS accuracy, round(sum(s*2.0*tp::DOUBLE/(s+q))/sum(s),6) AS f1_weighted, sum(s)::BIGINT AS rows FROM c)"""
 
+def _plane(src, x, y, z, penalty=0.0, where="true"):
+    """Intercept a and slopes b1, b2 of z over x and y with a ridge penalty on the summed squares, from covariances."""
+    return f"""(SELECT mz - b1*mx - b2*my AS a, b1, b2 FROM (SELECT (cxz*vyy - cyz*vxy)/(vxx*vyy - vxy*vxy) AS b1, (cyz*vxx - cxz*vxy)/(vxx*vyy - vxy*vxy) AS b2, mx, my, mz
+FROM (SELECT var_pop({x})*count(*)+{penalty} AS vxx, var_pop({y})*count(*)+{penalty} AS vyy, covar_pop({x},{y})*count(*) AS vxy, covar_pop({x},{z})*count(*) AS cxz, covar_pop({y},{z})*count(*) AS cyz,
+avg({x}) AS mx, avg({y}) AS my, avg({z}) AS mz FROM {src} WHERE {where})))"""
+
+
+_TWO = "(SELECT event_id, user_id::DOUBLE AS x, extract(hour FROM ts)::DOUBLE AS y, value AS z, (ntile({k}) OVER (ORDER BY event_id)-1)::INTEGER AS fold FROM events)"
+
+
+def _cv_sql(model, k, penalty=0.0):
+    """One result row of a linear model of two features, cross-validated in k blocks."""
+    t = _TWO.format(k=k)
+    folds_sql = union_all(
+        f"""SELECT {i} AS fold, 1 - sum(pow(z - p.a - p.b1*x - p.b2*y, 2))/(var_pop(z)*count(*)) AS r2 FROM {t}, {_plane(t, "x", "y", "z", penalty, f"fold <> {i}")} p WHERE fold = {i}"""
+        for i in range(k)
+    )
+    return f"""SELECT '{model}' AS model, 'regression' AS task_type, 'r2' AS metric, {', '.join(f'max(round(r2,4)) FILTER (WHERE fold = {i}) AS fold{i}' for i in range(k))}, round(avg(r2),4) AS mean_score, round(stddev_pop(r2),4) AS std_score,
+2::INTEGER AS features_used, (SELECT count(*) FROM events)::BIGINT AS samples_used FROM ({folds_sql})"""
+
+
+def _scores(results, k):
+    """Result rows with one column for each fold's score."""
+    each = [F.col("cv_scores")[i].alias(f"fold{i}") for i in range(k)]
+    return results.select("model", "task_type", "metric", *each, "mean_score", "std_score", "features_used", "samples_used")
+
+
+def _two_features(spark, sf, names, k):
+    df = table(spark, sf, "events").selectExpr("event_id", "CAST(user_id AS DOUBLE) AS user_id", "CAST(hour(ts) AS DOUBLE) AS hour", "value")
+    return ops.train_models(df, "value", "event_id", names, k)
+
+
 QUERIES = {
     "detect_task": Query(
         lambda s, d: ops.detect_task(table(s, d, "orders"), "o_orderstatus"),
@@ -152,34 +184,45 @@ FROM (SELECT p_retailprice AS y, 900+p_partkey*0.05 AS p FROM part)""",
         f"{_near_sql('b.value', _D1)} SELECT query_id, round(avg(label),6) AS prediction FROM n WHERE rank<=5 GROUP BY 1",
     ),
     "linear_fit": Query(
-        lambda s, d: rounded(ops.linear_coefficients(_lines(s, d).select("p_partkey", "p_size", "p_retailprice"), "p_retailprice", "p_partkey"), 5),
-        """SELECT 'intercept' AS term, round(regr_intercept(p_retailprice,p_size),5) AS value FROM part UNION ALL SELECT 'p_size', round(regr_slope(p_retailprice,p_size),5) FROM part""",
+        lambda s, d: rounded(ops.linear_coefficients(_lines(s, d), "p_retailprice", "p_partkey"), 5),
+        f"""WITH p AS {_plane("part", "p_size", "length(p_name)", "p_retailprice")}
+SELECT 'intercept' AS term, round(a,5) AS value FROM p UNION ALL SELECT 'p_size', round(b1,5) FROM p UNION ALL SELECT 'name_length', round(b2,5) FROM p""",
     ),
     "ridge": Query(
-        lambda s, d: rounded(ops.linear_coefficients(_lines(s, d).select("p_partkey", "p_size", "p_retailprice"), "p_retailprice", "p_partkey", "ridge"), 4),
-        """WITH b AS (SELECT covar_pop(p_retailprice,p_size)*count(*)/(var_pop(p_size)*count(*)+1.0) AS w, avg(p_retailprice) AS my, avg(p_size) AS mx FROM part)
-SELECT 'p_size' AS term, round(w,4) AS value FROM b UNION ALL SELECT 'intercept', round(my-w*mx,4) FROM b""",
+        lambda s, d: rounded(ops.linear_coefficients(_lines(s, d), "p_retailprice", "p_partkey", "ridge"), 4),
+        f"""WITH p AS {_plane("part", "p_size", "length(p_name)", "p_retailprice", 1.0)}
+SELECT 'intercept' AS term, round(a,4) AS value FROM p UNION ALL SELECT 'p_size', round(b1,4) FROM p UNION ALL SELECT 'name_length', round(b2,4) FROM p""",
     ),
     "lasso": Query(
         lambda s, d: rounded(ops.linear_coefficients(_lines(s, d).selectExpr("p_partkey AS id", "CAST(p_partkey AS DOUBLE) AS x", "p_partkey*2.0D + p_size AS y"), "y", "id", "lasso"), 3),
         """WITH m AS (SELECT p_partkey::DOUBLE AS x, p_partkey*2.0+p_size AS y FROM part), b AS (SELECT sign(covar_pop(y,x))*greatest(abs(covar_pop(y,x))-1.0,0)/var_pop(x) AS w, avg(y) AS my, avg(x) AS mx FROM m)
 SELECT 'x' AS term, round(w,3) AS value FROM b UNION ALL SELECT 'intercept', round(my-w*mx,3) FROM b""",
     ),
-    "cross_validate": Query(lambda s, d: _reg(s, d, ["linear_regression"], 5)),
-    "logistic": Query(lambda s, d: _page(s, d, ["logistic_regression"], 3)),
-    "random_forest": Query(lambda s, d: _page(s, d, ["random_forest"], trees=20, depth=6)),
-    "random_forest_regression": Query(lambda s, d: _reg(s, d, ["random_forest"], 2, trees=20, depth=6)),
-    "extra_trees": Query(lambda s, d: _page(s, d, ["extra_trees"], trees=20, depth=6)),
-    "gbt": Query(lambda s, d: _reg(s, d, ["xgboost", "lightgbm"], 2, rounds=5)),
-    "gbt_classify": Query(lambda s, d: _page(s, d, ["xgboost"], rounds=3)),
+    "cross_validate": Query(lambda s, d: _scores(_two_features(s, d, ["linear_regression", "ridge"], 5), 5), f"{_cv_sql('linear_regression', 5)} UNION ALL {_cv_sql('ridge', 5, 1.0)}"),
+    "cross_validate_three_features": Query(lambda s, d: _reg(s, d, ["linear_regression"], 5)),
+    "logistic": Query(lambda s, d: _page(s, d, ["logistic_regression"], 5)),
+    "random_forest": Query(lambda s, d: _page(s, d, ["random_forest"], 5)),
+    "random_forest_regression": Query(lambda s, d: _reg(s, d, ["random_forest"], 5)),
+    "extra_trees": Query(lambda s, d: _page(s, d, ["extra_trees"])),
+    "gbt": Query(lambda s, d: ops.train_on_split(_events_xy(s, d), "value", "event_id", ["xgboost", "lightgbm"], folds=0).drop("train_time")),
+    "gbt_classify": Query(lambda s, d: _page(s, d, ["xgboost"])),
     "svm": Query(lambda s, d: _page(s, d, ["svm"])),
-    "svr": Query(lambda s, d: _reg(s, d, ["svr"], 2)),
+    "svr": Query(lambda s, d: _reg(s, d, ["svr"], 5)),
     "mlp": Query(lambda s, d: _page(s, d, ["mlp"])),
-    "knn_cross_validated": Query(lambda s, d: _reg(s, d, ["knn"], 2)),
-    "model_ranking": Query(lambda s, d: ops.compare_models(_reg(s, d, ["linear_regression", "ridge", "lasso", "no_such_model"], 3))),
+    "knn_cross_validated": Query(lambda s, d: _reg(s, d, ["knn"], 5)),
+    "model_ranking": Query(
+        lambda s, d: ops.compare_models(_two_features(s, d, ["linear_regression", "ridge", "no_such_model"], 5)).select("rank", "model", "mean_score"),
+        f"""SELECT (row_number() OVER (ORDER BY coalesce(mean_score, 0) DESC, model))::INTEGER AS rank, model, mean_score
+FROM (SELECT model, mean_score FROM ({_cv_sql('linear_regression', 5)}) UNION ALL SELECT model, mean_score FROM ({_cv_sql('ridge', 5, 1.0)}) UNION ALL SELECT 'no_such_model', NULL)""",
+    ),
+    "model_ranking_all_linear": Query(lambda s, d: ops.compare_models(_reg(s, d, ["linear_regression", "ridge", "lasso", "no_such_model"], 5))),
     "model_comparison": Query(lambda s, d: charts.model_comparison(_page(s, d, ["logistic_regression", "no_such_model"]), "accuracy")),
     "model_results_export": Query(lambda s, d: ops.export_results(_page(s, d, ["logistic_regression", "no_such_model"]))),
-    "feature_importance": Query(lambda s, d: ops.feature_importance(_lines(s, d), "p_retailprice", "p_partkey", trees=20, depth=6)),
-    "feature_importance_linear": Query(lambda s, d: ops.feature_importance(_lines(s, d), "p_retailprice", "p_partkey", "linear_regression")),
-    "explain_last_numeric": Query(lambda s, d: ops.explain_last_numeric(table(s, d, "lineitem"), depth=5)),
+    "feature_importance": Query(lambda s, d: ops.feature_importance(_lines(s, d), "p_retailprice", "p_partkey")),
+    "feature_importance_linear": Query(
+        lambda s, d: ops.feature_importance(_lines(s, d), "p_retailprice", "p_partkey", "linear_regression"),
+        f"""WITH p AS {_plane("part", "p_size", "length(p_name)", "p_retailprice")}
+SELECT 'linear_regression' AS model, 'p_size' AS feature, round(abs(b1),4) AS importance FROM p UNION ALL SELECT 'linear_regression', 'name_length', round(abs(b2),4) FROM p""",
+    ),
+    "explain_last_numeric": Query(lambda s, d: ops.explain_last_numeric(table(s, d, "lineitem"))),
 }
