@@ -44,10 +44,9 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, round_trip): packed ids, and whether they decode to the text."""
-    path, names = tokenizer_path(), ["doc_id", "lang", "source"]
+    names = ["doc_id", "lang", "source"]
     text = docs.select(*names, "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    ids = bpe.encode(text, path, keep=[*names, "sha"])
-    back = bpe.decode(ids, path, text_col="decoded", keep=[*names, "sha", "ids"])
+    back = bpe.encode_and_decode(text, tokenizer_path(), keep=[*names, "sha"])
     return back.select(*names, (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"))
 
 

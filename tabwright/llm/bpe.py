@@ -19,7 +19,7 @@ import json
 import os
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,9 @@ from .arrowmap import add_columns
 #: Fixed value: how byte-level pre-tokenization splits a text.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens a worker remembers before it starts afresh; bounds memory, not results.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+#: Bytes of text (or ids) that a task handles at once.
+BATCH = 1 << 21
 
 
 def byte_characters() -> list[str]:
@@ -63,10 +65,6 @@ class ByteBPE:
     """A vocabulary file of the tokenizers library, ready to split, encode and decode."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"] or {}
@@ -87,15 +85,29 @@ class ByteBPE:
             self.bytes_of[i] = text.encode()
         self.joined = joined.tobytes()
         self.pretoken = regex.compile(PRETOKEN)
-        self.library = ByteLevel(add_prefix_space=False)
-        self.odd = later_characters()
         self.at_special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.model = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []}))
+        self.path = path
         self.known: dict[str, bytes] = {}
         self.known_fragments: dict[bytes, bytes] = {}
 
+    @cached_property
+    def model(self):
+        """The library's merges without its pre-tokenizer; only workers that encode load it."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        with open(self.path, encoding="utf-8") as f:
+            spec = json.load(f)
+        return Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []}))
+
+    @cached_property
+    def library(self):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        return ByteLevel(add_prefix_space=False)
+
     def _plain(self, text: str) -> list[str]:
-        if text.isascii() or not BEYOND_LATIN.search(text) or not self.odd.search(text):
+        if text.isascii() or not BEYOND_LATIN.search(text) or not later_characters().search(text):
             return self.pretoken.findall(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
@@ -128,8 +140,10 @@ class ByteBPE:
         cut = [self.fragments(p.encode()) if p not in self.special else None for p in new]
         unmet = list({f for fs in cut if fs for f in fs if f not in self.known_fragments})
         chars = self.to_chars
-        for f, e in zip(unmet, self.model.encode_batch_fast(["".join([chars[b] for b in f]) for f in unmet], add_special_tokens=False)):
-            self.known_fragments[f] = np.array(e.ids, "<u4").tobytes()
+        for at in range(0, len(unmet), 4096):  # the library's results are large for a while
+            some = unmet[at : at + 4096]
+            for f, e in zip(some, self.model.encode_batch_fast(["".join([chars[b] for b in f]) for f in some], add_special_tokens=False)):
+                self.known_fragments[f] = np.array(e.ids, "<u4").tobytes()
         for p, fs in zip(new, cut):
             self.known[p] = np.array([self.special[p]], "<u4").tobytes() if fs is None else b"".join([self.known_fragments[f] for f in fs])
 
@@ -157,7 +171,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
         texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
         return [pa.array(load(path).encode(texts), pa.binary())]
 
-    return add_columns(df, {ids_col: "binary"}, run, text_col, keep)
+    return add_columns(df, {ids_col: "binary"}, run, text_col, keep, BATCH)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -167,4 +181,15 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text
         packed = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
         return [pa.array([load(path).decode(i or b"") for i in packed], pa.string())]
 
-    return add_columns(df, {text_col: "string"}, run, ids_col, keep)
+    return add_columns(df, {text_col: "string"}, run, ids_col, keep, BATCH)
+
+
+def encode_and_decode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """``encode`` and ``decode`` of its ids in one pass: one worker for each task instead of two."""
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        tokenizer = load(path)
+        ids = tokenizer.encode([t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()])
+        return [pa.array(ids, pa.binary()), pa.array([tokenizer.decode(i) for i in ids], pa.string())]
+
+    return add_columns(df, {ids_col: "binary", decoded_col: "string"}, run, text_col, keep, BATCH)

@@ -21,11 +21,9 @@ def mix_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    path = tokenizer_path()
-    ids = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), path, keep=["doc_id"])
-    ids = ids.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
-    back = bpe.decode(ids, path, keep=["doc_id", "n_tokens", "ids_sha256"])
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = bpe.encode_and_decode(docs, tokenizer_path(), keep=["doc_id"])
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def count_tokens(spark: SparkSession, sf: str) -> DataFrame:
