@@ -15,7 +15,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tabwright.operators import charts, clean, correlation, features, frequencies, models, profile  # noqa: E402
+from tabwright.operators import charts, clean, correlation, features, folds, frequencies, knn, models, ordering, profile  # noqa: E402
 from tabwright.plans.recipes import clean as run_recipe  # noqa: E402
 from tabwright.registry.base import dirty, table  # noqa: E402
 from tabwright.session import build_session  # noqa: E402
@@ -39,6 +39,17 @@ def _forest(s):
     return models.train_on_split(df, "o_orderstatus", "o_orderkey", ["random_forest"], folds=0, trees=20, depth=8)
 
 
+def _knn(s):
+    df = table(s, SF, "events").selectExpr("event_id", "CAST(user_id AS DOUBLE) AS user_id", "value", "CAST(hour(ts) AS DOUBLE) AS hour")
+    train, test = folds.train_test_split(df, "event_id")
+    return knn.nearest(train, test, ["user_id", "hour"], "event_id", "event_id", "value")
+
+
+def _label_encode(s):
+    df = table(s, SF, "customer")
+    return features.fit_label_encode(df).transform(df)
+
+
 QUERIES = {
     "numeric_stats": lambda s: profile.numeric_stats(table(s, SF, "lineitem")),
     "missing_profile": lambda s: profile.missing_profile(dirty(s, SF)),
@@ -57,8 +68,12 @@ QUERIES = {
     "local_report": lambda s: profile.local_report(table(s, SF, "lineitem")),
     "linear_fit": lambda s: models.linear_coefficients(table(s, SF, "part").select("p_partkey", "p_size", "p_retailprice"), "p_retailprice", "p_partkey"),
     "random_forest": _forest,
+    "knn": _knn,
+    "stratified_folds": lambda s: folds.with_stratified_folds(table(s, SF, "orders"), "o_orderstatus", "o_orderkey"),
+    "positions": lambda s: ordering.with_position(table(s, SF, "lineitem"), ["l_shipdate"]),
+    "label_encode": _label_encode,
 }
-ONCE = {"random_forest", "clean_agent"}
+ONCE = {"random_forest", "clean_agent", "knn"}
 
 
 def main() -> None:

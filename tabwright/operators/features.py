@@ -16,7 +16,7 @@ from .moments import aggregate, base_stats, power_sums
 from .ordering import with_position
 
 INLINE_LABELS = 64
-BROADCAST_LABELS = 100_000
+BROADCAST_BYTES = 64 << 20
 MISSING_LABEL = "nan"
 
 
@@ -122,8 +122,9 @@ def fit_label_encode(df: DataFrame, names: list[str] | None = None) -> LabelEnco
             entries.append(("label_encode", n, "classes", float(len(seen[n])), None))
             continue
         ranked = with_position(_labels(df, n), ["label"], "code")
-        classes = ranked.count()
-        tables.append((n, ranked, classes <= BROADCAST_LABELS))
+        size = ranked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("label")).alias("bytes")).first()
+        classes = size["n"]
+        tables.append((n, ranked, (size["bytes"] or 0) + 16 * classes <= BROADCAST_BYTES))
         entries.append(("label_encode", n, "classes", float(classes), None))
     return LabelEncode(tuple(inline), tuple(tables), entries=tuple(entries))
 

@@ -158,8 +158,9 @@ def nearest(train: DataFrame, test: DataFrame, features: list[str], train_id: st
     def home_bound(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         x = q[dims].to_numpy(float)
         bound = np.full(len(x), np.inf)
-        if len(p) >= k:
-            near = p[dims].to_numpy(float)
+        # Where a cell holds too few points, the sampled points (which are training points) give a bound.
+        near = p[dims].to_numpy(float) if len(p) >= k else sample
+        if len(near) >= k:
             step = max(1, BLOCK // len(near))
             for s in range(0, len(x), step):
                 bound[s : s + step] = np.partition(_squared(x[s : s + step], near), k - 1, axis=1)[:, k - 1]

@@ -1,7 +1,8 @@
 """Fitted plans on streams.
 
 Cleaning and feature plans are row-wise projections once fitted, so a plan fitted on a batch table
-cleans a stream unchanged. Steps that compare rows with each other do not apply.
+cleans a stream unchanged; large label tables are joined to each micro-batch by shuffle. Steps that compare
+rows with each other do not apply.
 """
 
 from __future__ import annotations
@@ -9,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators.clean import Deduplicate, Plan
-from ..operators.features import LabelEncode
 
 
 def apply_plans(stream: DataFrame, plans: list[Plan]) -> DataFrame:
@@ -17,7 +17,5 @@ def apply_plans(stream: DataFrame, plans: list[Plan]) -> DataFrame:
     for plan in plans:
         if stream.isStreaming and isinstance(plan, Deduplicate):
             raise ValueError("whole-row deduplication needs unbounded state on a stream; leave it out")
-        if stream.isStreaming and isinstance(plan, LabelEncode) and any(not small for _, _, small in plan.tables):
-            raise ValueError("label tables too large to broadcast are not joined to a stream")
         stream = plan.transform(stream)
     return stream

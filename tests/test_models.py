@@ -185,7 +185,9 @@ def brute(train, test, dims, k):
     return out
 
 
-def test_knn_is_exact_with_hot_points(spark, small_cells):
+@pytest.mark.parametrize("cell_rows", [40, 3])
+def test_knn_is_exact_with_hot_points(spark, small_cells, cell_rows):
+    knn.CELL_ROWS = cell_rows  # 3: fewer points in a cell than neighbours wanted
     rng = np.random.default_rng(0)
     pdf = pd.DataFrame(np.round(rng.normal(size=(900, 2)), 1), columns=["a", "b"])
     pdf.loc[:300, ["a", "b"]] = [0.5, 0.5]

@@ -3,7 +3,7 @@ import json
 import pandas as pd
 import pytest
 
-from tabwright.operators import filters, textops
+from tabwright.operators import features, filters, textops
 from tabwright.operators.clean import Deduplicate, fit_impute_numeric
 from tabwright.plans import workflow
 from tabwright.session import materialize, shared_dir
@@ -199,6 +199,23 @@ def test_single_stage_returns_the_table(wide):
     assert workflow.run_stage("clean", wide, "y", "id").data.where("b IS NULL").count() == 0
 
 
+def test_stream_with_a_large_label_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(features, "BROADCAST_BYTES", 100)
+    df = spark.range(200).selectExpr("id", "concat('v', lpad(id, 4, '0')) AS s")
+    writers.write_parquet(df, str(tmp_path / "in"))
+    stream = apply_plans(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), [features.fit_label_encode(df)])
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert all(r.id == r.s for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+
+def test_workflow_names_the_trained_model_after_a_failed_one(spark):
+    df = spark.range(60).selectExpr("id", "CAST(hash(id) AS DOUBLE) AS a", "CAST(hash(id, 7) AS DOUBLE) / 1e9 AS y")
+    done = workflow.run_stage("model_select", df, "y", "id", models=["no_such_model", "ridge"], folds=3)
+    assert done.error is None and done.best_model == "ridge"
+    assert done.report.where("model = 'ridge'").first()["mean_score"] < 0
+
+
 def test_stream_refuses_dedup(spark, frame, tmp_path):
     df = frame("x double", 1.0, None)
     df.write.parquet(str(tmp_path / "in"))
