@@ -26,7 +26,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 MIN_WORDS, MAX_REPEAT_PCT = 20, 30
 IQRS = 6
 #: Measures under adaptive thresholds, with the least distance from the quartiles that counts as far.
-SLACK = {"symbol_permille": 30, "dup_line_permille": 350, "repeat_permille": 200, "word_length_x100": 150}
+SLACK = {"symbol_permille": 30, "dup_line_permille": 350, "repeat_permille": 280, "word_length_x100": 150}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Groups (language and source) whose thresholds are broadcast: under 100 bytes each, 10 MB at most; beyond it they are joined by shuffle.
 BROADCAST_GROUPS = 100_000
