@@ -100,7 +100,7 @@ QUERIES = {
     "histogram_with_gaps": Query(lambda s, d: rounded(ops.histogram(dirty(s, d), "price", 20)), with_d(sql_hist("d", "price", 20))),
     "binned_mean_with_gaps": Query(lambda s, d: rounded(ops.binned_mean(dirty(s, d), "price", "id"), 3), with_d("SELECT bin, round(bin_start,3) AS bin_start, round(bin_end,3) AS bin_end, round(mean,3) AS mean, count FROM (" + _cut_sql("d", "price", "id", 10) + ")")),
     "density_with_gaps": Query(lambda s, d: rounded(ops.density(dirty(s, d), "sparse80", 100)), with_d(_kde("d", "sparse80", 100))),
-    "scatter_grid_with_gaps": Query(lambda s, d: rounded(ops.scatter_grid(dirty(s, d).where("price IS NOT NULL AND sparse80 IS NOT NULL"), "sparse80", "price"), 4), with_d("WITH k AS (SELECT * FROM d WHERE price IS NOT NULL AND sparse80 IS NOT NULL) SELECT x_bin, y_bin, round(x,4) AS x, round(y,4) AS y, count FROM (" + _scatter_grid_sql("k", "sparse80", "price", 50) + ")")),
+    "scatter_grid_with_gaps": Query(lambda s, d: rounded(ops.scatter_grid(dirty(s, d), "sparse80", "price"), 4), with_d("WITH k AS (SELECT * FROM d WHERE price IS NOT NULL AND sparse80 IS NOT NULL) SELECT x_bin, y_bin, round(x,4) AS x, round(y,4) AS y, count FROM (" + _scatter_grid_sql("k", "sparse80", "price", 50) + ")")),
     "categorical_histogram": Query(
         lambda s, d: ops.categorical_histogram(table(s, d, "orders"), "o_orderpriority"),
         f"SELECT rank, value, left(value,15) AS label, count FROM ({sql_top('orders', 'o_orderpriority', 20)})",

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as ops
-from .base import DIRTY_NUMERIC, Query, dirty, rounded, sql_pairs, table, with_d
+from .base import DIRTY_NUMERIC, DIRTY_TEXT, LINE_NUMERIC, Query, dirty, rounded, sql_pairs, table, with_d
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-FLOATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _apply(plans, df):
@@ -43,8 +42,8 @@ TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 QUERIES = {
     "label_encode": Query(
-        lambda s, d: ops.fit_label_encode(dirty(s, d), ["priority", "const_col", "status"]).transform(dirty(s, d)).select("id", "priority", "const_col", "status"),
-        with_d(f"SELECT id, {_label('priority')}, {_label('const_col')}, {_label('status')} FROM d"),
+        lambda s, d: ops.fit_label_encode(dirty(s, d)).transform(dirty(s, d)).select("id", *DIRTY_TEXT),
+        with_d(f"SELECT id, {', '.join(_label(c) for c in DIRTY_TEXT)} FROM d"),
     ),
     "label_encode_many": Query(
         lambda s, d: ops.fit_label_encode(table(s, d, "customer")).transform(table(s, d, "customer")).select("c_custkey", "c_name", "c_mktsegment"),
@@ -97,9 +96,9 @@ CAST(month(o_orderdate) AS INTEGER) AS o_orderdate_month, CAST(isodow(o_orderdat
         f"""SELECT col_b AS "column", col_a AS text, round(r,4) AS value FROM ({sql_pairs("(SELECT *, p_retailprice*1.1 AS gross FROM part)", ["p_size", "p_retailprice", "gross"])}) WHERE abs(r)>0.95""",
     ),
     "standard_scale": Query(
-        lambda s, d: rounded(ops.fit_standard_scale(table(s, d, "lineitem"), FLOATS).transform(table(s, d, "lineitem")).select("l_orderkey", "l_linenumber", *FLOATS), 5),
-        "SELECT l_orderkey, l_linenumber, "
-        + ", ".join(f"round(({c}-(SELECT avg({c}) FROM lineitem))/(SELECT stddev_pop({c}) FROM lineitem),5) AS {c}" for c in FLOATS)
+        lambda s, d: rounded(ops.fit_standard_scale(table(s, d, "lineitem")).transform(table(s, d, "lineitem")).select(*LINE_NUMERIC), 5),
+        "SELECT "
+        + ", ".join(f"round(({c}-(SELECT avg({c}) FROM lineitem))/(SELECT stddev_pop({c}) FROM lineitem),5) AS {c}" for c in LINE_NUMERIC)
         + " FROM lineitem",
     ),
     "zero_fill": Query(
