@@ -3,6 +3,7 @@
 import pytest
 
 from tabwright.operators import charts, clean, correlation, features, filters, folds, frequencies, profile
+from tabwright.operators.ordering import with_position
 from tabwright.registry.base import table
 
 
@@ -57,7 +58,7 @@ def test_fitted_steps_do_not_shuffle(orders):
     for s in steps:
         df = s.transform(df)
     assert "Exchange" not in plan(df)
-    for marked in (folds.with_split(orders, "o_orderkey"), folds.with_block_folds(orders, "o_orderkey"), folds.with_stratified_folds(orders, "o_orderstatus", "o_orderkey")):
+    for marked in (folds.with_split(orders, "o_orderkey"), folds.with_block_folds(orders, "o_orderkey")):
         assert "Exchange" not in plan(marked)
 
 
@@ -67,3 +68,20 @@ def test_no_pairwise_joins(lines):
         charts.pair_panels(lines), charts.scatter_grid(lines, "l_tax", "l_discount"),
     ):
         assert "NestedLoop" not in plan(df) and "Cartesian" not in plan(df)
+
+
+def test_a_constant_order_key_spreads_over_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = with_position(spark.range(20_000).selectExpr("id", "1 AS same"), ["same"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert placed.select("position").distinct().count() == 20_000
+    assert len(placed.inputFiles()) > 1  # one file for each partition of the sorted copy
+
+
+def test_stratified_folds_take_as_many_shuffles_for_any_number_of_classes(spark):
+    def exchanges(classes):
+        return plan(folds.with_stratified_folds(spark.range(3000).selectExpr("id", f"id % {classes} AS y"), "y", "id")).count("Exchange")
+
+    assert exchanges(2) == exchanges(1500)
