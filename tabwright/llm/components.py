@@ -26,16 +26,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return lower.unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every node has one lower neighbour at most and no lower neighbour has one itself."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionAll(edges.select(F.col("b"), F.lit(0)))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return not seen.where("ups > 1 OR (ups = 1 AND least = 0)").head(1)
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every linked node; the component is its least node. Links with a null end are no links."""
     big, small = F.greatest(a, b), F.least(a, b)
     edges = materialize(links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(big.alias("a"), small.alias("b")).distinct(), "links")
-    seen = None
-    while True:
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            break
-        seen = state
+    while not _is_forest_of_stars(edges):
         # Written between the two steps: each reads its input twice.
         edges = materialize(_small_star(materialize(_large_star(edges), "links")), "links")
     roots = edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))

@@ -21,14 +21,13 @@ an empty table gives an empty result; further input columns are left out.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize, ship_package
 from . import hashstore
+from .blocks import block_pairs, runs, sorted_groups
 from .components import components
 from .jaccard_join import node_shard
 from .words import mix
@@ -115,34 +114,6 @@ def write_vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str, s
     return picked.mapInArrow(run, "shard long, node long, label long, body binary").groupBy("shard").applyInArrow(write, "node long, bucket long, tab int")
 
 
-def block_pairs(buckets: DataFrame, weights: DataFrame) -> DataFrame:
-    """(bucket, lo, hi, tab, block, node, w): every node in each pair of blocks of its buckets that it belongs to."""
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = buckets.join(sizes, "bucket").join(weights, "node").withColumn("block", F.pmod(F.xxhash64("node", "tab"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    return placed.select("bucket", "tab", "block", "node", "w", other).select("bucket", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "tab", "block", "node", "w")
-
-
-def _runs(batches) -> Iterator[pa.Table]:
-    """Rows of equal (bucket, lo, hi), which follow each other."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])
-        edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(edges, edges[1:]):
-            own = tuple(key[:, a].tolist())
-            if held and own != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = own
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _read(store: str, parts: int, tables: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     vectors, signs = [None] * len(nodes), np.zeros((len(nodes), tables), np.int64)
     shard = node_shard(nodes, parts)
@@ -161,8 +132,8 @@ def count_links(pairs: DataFrame, store: str, parts: int, tables: int, limit: fl
     """(node, links, other): links first met in a pair of blocks, and one linked node of it."""
 
     def one(run: pa.Table) -> pa.RecordBatch | None:
-        lo, hi, tab = (run.column(i)[0].as_py() for i in (1, 2, 3))
-        block, nodes, w = (run.column(i).to_numpy() for i in (4, 5, 6))
+        lo, hi, tab = (run.column(c)[0].as_py() for c in ("lo", "hi", "tab"))
+        block, nodes, w = (run.column(c).to_numpy() for c in ("block", "node", "w"))
         left = np.flatnonzero(block == lo)
         right = left if lo == hi else np.flatnonzero(block == hi)
         if len(left) * len(right) < 1 + (lo == hi):
@@ -187,12 +158,11 @@ def count_links(pairs: DataFrame, store: str, parts: int, tables: int, limit: fl
         return pa.record_batch([pa.array(nodes[own]), pa.array(links[own].astype(np.int64)), pa.array(root[own])], names=["node", "links", "other"])
 
     def run(batches):
-        for table in _runs(batches):
+        for table in runs(batches):
             if (out := one(table)) is not None and out.num_rows:
                 yield out
 
-    keys = ["bucket", "lo", "hi"]
-    return pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "node long, links long, other long")
+    return sorted_groups(pairs, "bucket").mapInArrow(run, "node long, links long, other long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", limit: float = LIMIT) -> DataFrame:
@@ -206,7 +176,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     tables, bits = tables_and_bits(n, limit)
     store, parts = hashstore.new_store(spark, "vectors"), 1 + n // NODES_A_SHARD
     buckets = materialize(write_vectors(df, id_col, vector_col, label_col, store, parts, tables, bits), "buckets")
-    found = materialize(count_links(block_pairs(buckets, nodes.select("node", "w")), store, parts, tables, limit), "met")
+    found = materialize(count_links(block_pairs(buckets.join(nodes.select("node", "w"), "node"), "bucket", "node", BLOCK), store, parts, tables, limit), "met")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found, "node", "other")
     placed = nodes.join(links, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -243,8 +243,9 @@ def test_jaccard(spark, docs, empty):
     assert jaccard_join.join_similar(empty).count() == 0
 
 
-def test_jaccard_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "FREQUENT", 4)
+@pytest.mark.parametrize("block", [2048, 3])
+def test_jaccard_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK_NODES", block)
     random.seed(6)
     passage = [f"p{k}" for k in range(60)]
     rows = []
