@@ -7,6 +7,7 @@ cost is a few array passes and there is no Python work for a word or a text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled at once: bounds memory at about 40 bytes for each of them. No word is ever cut.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Bytes of text for which a caller holds the words at once (a longer single text is a slice of its own).
-SLICE = 1 << 23
+SLICE = 1 << 22
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -26,6 +27,10 @@ _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _RAW = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE = _RAW[_LOWER]
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _libc = None
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -94,8 +99,16 @@ def _cut(data: np.ndarray, edges: np.ndarray, at: int, stop: int, n: int) -> int
     return nxt
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the system: workers live on after a task and share a machine."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of a text column, about ``limit`` bytes at a time; null counts as empty."""
+    release()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
