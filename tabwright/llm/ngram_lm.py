@@ -36,7 +36,7 @@ from .arrowmap import add_columns
 from .words import mix, slices, words
 
 #: Tokens a task counts before it passes its counts on.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: Tokens that go to one shard of pairs, and tokens of a first word beyond which it is spread.
 SHARD_TOKENS, SPLIT = 1 << 22, 1 << 18
 END = np.uint64(0x9AE16A3B2F90404F)
