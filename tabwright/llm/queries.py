@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..registry.base import Query, table
-from . import bpe, embedding_dedup, html_extract, jaccard_join, mixing, ngram_lm, pii, quality, token_counts
+from . import bpe, embedding_dedup, html_extract, jaccard_join, mixing, ngram_lm, pii, preference_format, quality, token_counts
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -49,6 +49,11 @@ def personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def preference_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return preference_format.format_pairs(turns, preference_format.halved_answers(turns))
+
+
 def main_text(spark: SparkSession, sf: str) -> DataFrame:
     pages = html_extract.extract(table(spark, sf, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
     return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
@@ -130,12 +135,25 @@ SELECT e.vec_id, coalesce(n.k,0)::BIGINT AS n_links, coalesce(c.m, e.vec_id) AS
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
 """
 
+PREFERENCE_SQL = """
+WITH l AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY 1),
+h AS (SELECT c.conv_id, turn, role, CASE WHEN turn = last AND role = 'assistant' THEN substring(text, 1, length(text)//2) ELSE text END AS text FROM conversations c LEFT JOIN l USING (conv_id)),
+o AS (SELECT 'a' AS side, conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations UNION ALL SELECT 'b', conv_id, turn, coalesce(role,''), coalesce(text,'') FROM h),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY side, conv_id, turn ORDER BY role, text) AS r FROM o WHERE conv_id IS NOT NULL AND turn IS NOT NULL) WHERE r = 1),
+d AS (SELECT conv_id, turn, count(DISTINCT (role, text)) > 1 OR count(*) < 2 AS differs FROM t GROUP BY 1, 2),
+f AS (SELECT conv_id, min(turn) FILTER (WHERE differs) AS first FROM d GROUP BY 1),
+p AS (SELECT t.*, CASE WHEN coalesce(turn < first, true) THEN 'prompt' WHEN side = 'a' THEN 'chosen' ELSE 'rejected' END AS part FROM t JOIN f USING (conv_id))
+SELECT conv_id, part, turn, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS rendered, part <> 'prompt' AND role = 'assistant' AS target
+FROM p WHERE part <> 'prompt' OR side = 'a'
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_embedding_near_dedup": Query(embedding_near_dedup, EMBEDDING_SQL),
     "op2_language_model": Query(language_model),
     "op3_personal_data": Query(personal_data),
     "op4_mix_sources": Query(mix_sources, MIX_SQL),
     "op5_bpe_round_trip": Query(bpe_round_trip),
+    "op6_preference_format": Query(preference_pairs, PREFERENCE_SQL),
     "op7_main_text": Query(main_text),
     "op8_ngram_jaccard_join": Query(jaccard, JACCARD_SQL),
     "op9_token_counts": Query(count_tokens),

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabwright.llm import bpe, components, embedding_dedup, html_extract, jaccard_join, mixing, ngram_lm, pii, quality, token_counts, words
+from tabwright.llm import bpe, components, embedding_dedup, html_extract, jaccard_join, mixing, ngram_lm, pii, preference_format, quality, token_counts, words
 from tabwright.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -293,3 +293,14 @@ def test_quality_sketches_merge(spark):
     for r in quality.thresholds(whole, ["lang", "source"]).collect():
         q1 = (r.low_symbol_permille * 7 + r.high_symbol_permille * 6) / 13  # low = q1 - 6 iqr, high = q3 + 6 iqr
         assert abs(q1 - 750) <= 750 / 32 + 3
+
+
+def test_preference_pairs(spark):
+    schema = "conv_id long, turn long, role string, text string, part string"
+    a = [(1, 0, "user", "q", "x"), (1, 1, "assistant", "good", "x"), (1, 2, "user", None, "x"), (2, 0, None, "same", "x"), (2, 0, None, "same", "x"), (None, 0, "user", "q", "x"), (3, None, "user", "q", "x"), (4, 0, "user", "q", "x")]
+    b = [(1, 0, "user", "q", "x"), (1, 1, "assistant", "bad", "x"), (2, 0, None, "same", "x"), (4, 0, "user", "q", "x"), (4, 1, "assistant", "more", "x")]
+    out = preference_format.format_pairs(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).collect()
+    got = sorted((r.conv_id, r.part, r.turn, r.target) for r in out)
+    assert got == [(1, "chosen", 1, True), (1, "chosen", 2, False), (1, "prompt", 0, False), (1, "rejected", 1, True), (2, "prompt", 0, False), (4, "prompt", 0, False), (4, "rejected", 1, True)]
+    none = spark.createDataFrame([], schema)
+    assert preference_format.format_pairs(none, none).count() == 0
