@@ -245,7 +245,7 @@ def write_sets(docs: DataFrame, n: int, percent: int, store: str, shards: int, p
 def _load(store: str, parts: int, node: int, remembered: dict) -> list:
     """[size of the set, prefixes under all orders..., its shingles that others have] of a node."""
     if node not in remembered:
-        if len(remembered) > 4096:
+        if len(remembered) > 3 * BLOCK_NODES:
             remembered.clear()
         nodes, size, ends, blob = hashstore.read_shard(store, "sets", int(node_shard(np.array([node]), parts)[0]), SET_TYPES, np.uint64)
         k = int(np.searchsorted(nodes, node))
@@ -322,15 +322,25 @@ def verify_rest(lists: DataFrame, store: str, parts: int, percent: int) -> DataF
                 root[c] = c = root[root[c]]
             return c
 
+        right = np.flatnonzero(block == hi)
+        if not len(right):
+            return
+        prefixes = [_load(store, parts, int(nodes[j]), remembered)[1] for j in right.tolist()]
+        shingles, owner = np.concatenate(prefixes), np.repeat(right, [len(p) for p in prefixes])
         for i in np.flatnonzero(block == lo).tolist():
-            other = np.flatnonzero((block == hi) & (of != of[i]) & (np.minimum(sizes, sizes[i]) * 100 >= np.maximum(sizes, sizes[i]) * percent))
+            n, own, *p, s = _load(store, parts, int(nodes[i]), remembered)
+            at = np.searchsorted(own, shingles)
+            at[at == len(own)] = 0
+            common = np.flatnonzero(own[at] == shingles)
+            first = common[np.r_[True, owner[common][1:] != owner[common][:-1]]]  # of each node, as prefixes are sorted
+            other = owner[first[shingles[first] == token]]
+            other = other[(of[other] != of[i]) & (np.minimum(sizes[other], sizes[i]) * 100 >= np.maximum(sizes[other], sizes[i]) * percent)]
             for j in (other[other > i] if lo == hi else other).tolist():
                 a, b = find(int(of[i])), find(int(of[j]))
                 if a == b:
                     continue
-                n, *p, s = _load(store, parts, int(nodes[i]), remembered)
-                m, *q, t = _load(store, parts, int(nodes[j]), remembered)
-                if _first_common(p[0], q[0]) == token and all(_common(u, v) for u, v in zip(p[1:], q[1:])):
+                m, _, *q, t = _load(store, parts, int(nodes[j]), remembered)
+                if all(_common(u, v) for u, v in zip(p, q)):
                     both = _common(s, t)
                     if 100 * both >= percent * (n + m - both):
                         root[a] = b
@@ -346,12 +356,6 @@ def verify_rest(lists: DataFrame, store: str, parts: int, percent: int) -> DataF
     return groups.mapInArrow(run, "x long, y long")
 
 
-def _first_common(a: np.ndarray, b: np.ndarray):
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return next(iter(a[b[at] == a]), None)
-
-
 def join_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) for each row of ``df``."""
     spark = df.sparkSession
