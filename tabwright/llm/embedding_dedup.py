@@ -9,8 +9,9 @@
    shuffled. A bucket is cut into blocks of about ``BLOCK`` nodes and every pair of blocks is a group of its
    own, so no task holds more than two blocks whatever the size of a bucket.
 4. A pair counts in the first table in which its signatures agree, so one met in several tables adds to the
-   number of links once. What leaves a task is, for each node, a sum of links and one link that keeps it
-   connected: numbers proportional to nodes, not to pairs.
+   number of links once. What leaves a task is, for each node, a sum of links and the link to the node above
+   it in a spanning forest of the group's links: numbers proportional to nodes, not to pairs. The forests of
+   all groups together connect what the links connect.
 
 Defined cases: null vectors, empty or zero vectors, and vectors with null or non-finite components link
 with nothing, nor do rows with a null label or a null id; vectors of different lengths don't link; repeated
@@ -128,8 +129,24 @@ def _read(store: str, parts: int, tables: int, nodes: np.ndarray) -> tuple[np.nd
     return np.stack(vectors), signs
 
 
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n nodes, the node above it in a spanning forest of the links (i, j); -1 for roots and nodes without links."""
+    linked = np.zeros((n, n), bool)
+    linked[i, j] = linked[j, i] = True
+    above, left = np.full(n, -1), np.ones(n, bool)
+    for root in np.unique(i).tolist():
+        open_ = [root] if left[root] else []
+        left[root] = False
+        while open_:
+            at = open_.pop()
+            below = np.flatnonzero(linked[at] & left)
+            above[below], left[below] = at, False
+            open_ += below.tolist()
+    return above
+
+
 def count_links(pairs: DataFrame, store: str, parts: int, tables: int, limit: float) -> DataFrame:
-    """(node, links, other): links first met in a pair of blocks, and one linked node of it."""
+    """(node, links, other): links first met in a pair of blocks, and the node above in a forest of them (null for a root)."""
 
     def one(run: pa.Table) -> pa.RecordBatch | None:
         lo, hi, tab = (run.column(c)[0].as_py() for c in ("lo", "hi", "tab"))
@@ -149,13 +166,12 @@ def count_links(pairs: DataFrame, store: str, parts: int, tables: int, limit: fl
         new = ~(signs[left[i], :tab] == signs[right[j], :tab]).any(1)
         i, j = i[new], j[new]
         links = np.bincount(left[i], weights=w[right[j]], minlength=len(nodes))
-        root = np.full(len(nodes), np.iinfo(np.int64).max)
-        np.minimum.at(root, left[i], nodes[right[j]])
         if lo != hi:
             links += np.bincount(right[j], weights=w[left[i]], minlength=len(nodes))
-            np.minimum.at(root, right[j], nodes[left[i]])
+        above = forest(len(nodes), left[i], right[j])
         own = np.flatnonzero(links > 0)
-        return pa.record_batch([pa.array(nodes[own]), pa.array(links[own].astype(np.int64)), pa.array(root[own])], names=["node", "links", "other"])
+        other = pa.array(nodes[above[own]], pa.int64(), mask=above[own] < 0)
+        return pa.record_batch([pa.array(nodes[own]), pa.array(links[own].astype(np.int64)), other], names=["node", "links", "other"])
 
     def run(batches):
         for table in runs(batches):

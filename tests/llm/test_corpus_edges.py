@@ -85,6 +85,45 @@ def test_embeddings_against_all_pairs_in_several_blocks(spark, monkeypatch):
     assert [out[i].n_links for i in range(len(x))] == near.sum(1).tolist()
 
 
+def _walk(rng, start, steps, degrees):
+    """Vectors of which each stands at an angle to the one before."""
+    out = [start / np.linalg.norm(start)]
+    for _ in range(steps):
+        side = rng.standard_normal(len(start))
+        side -= (side @ out[-1]) * out[-1]
+        out.append(np.cos(np.radians(degrees)) * out[-1] + np.sin(np.radians(degrees)) * side / np.linalg.norm(side))
+    return out
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_embedding_components_of_chains_and_bridged_clusters(spark, monkeypatch, block):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    rows = []
+    for label in range(3):
+        x = [v for degrees in (15, 9, 4) for v in _walk(rng, rng.standard_normal(24), 100, degrees)]
+        bridge = _walk(rng, rng.standard_normal(24), 6, 19)
+        x += bridge + [e + 0.03 * rng.standard_normal(24) for e in (bridge[0], bridge[-1]) for _ in range(30)]
+        rows += [(v, label) for v in x]
+    order = rng.permutation(len(rows))
+    x, label = np.stack([rows[k][0] for k in order]), np.array([rows[k][1] for k in order])
+    n = np.linalg.norm(x, axis=1)
+    near = (x @ x.T >= 0.93 * np.outer(n, n)) & (label[:, None] == label)
+    want, before = np.arange(len(x)), None
+    while before is None or (want != before).any():
+        before, want = want, np.where(near, want, len(x)).min(1)
+    schema = "vec_id long, embedding array<double>, label int"
+    out = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame([(k, v.tolist(), int(c)) for k, (v, c) in enumerate(zip(x, label))], schema)).collect()}
+    assert [out[k].n_links for k in range(len(x))] == (near.sum(1) - 1).tolist()
+    assert [out[k].component_id for k in range(len(x))] == want.tolist()
+    assert [out[k].kept for k in range(len(x))] == (want == np.arange(len(x))).tolist()
+
+
+def test_links_of_a_group_stay_connected():
+    above = embedding_dedup.forest(6, np.array([1, 3, 4]), np.array([3, 4, 2]))
+    assert sorted(tuple(sorted((k, a))) for k, a in enumerate(above.tolist()) if a >= 0) == [(1, 3), (2, 4), (3, 4)]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 160)] + [(None, 3), (5, 5)]
     out = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
