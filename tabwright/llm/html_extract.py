@@ -15,7 +15,10 @@
 4. Content blocks are joined in page order by an empty line.
 
 Defined cases: a null or empty page has an empty text; a page cut off anywhere is read to its end; character
-references are decoded, unknown ones stay; tags without an end close at the next block or at the end; repeated
+references are decoded, unknown ones stay; tags without an end close at the next block or at the end; an
+invisible element that is still open when an element around it ends does so too, so it hides no more than the
+text up to the next block (only scripts, styles, titles and text fields reach to the end of the page, as in
+browsers); a head holds no text of its own and ends at the body or the first block; repeated
 rows are read one by one; an empty table gives an empty result; input columns named like an output are replaced.
 """
 
@@ -35,7 +38,11 @@ from .arrowmap import add_columns
 from .pii import logistic_regression
 
 #: Names of HTML elements by what they do to text.
-INVISIBLE = frozenset("script style noscript template svg math iframe object canvas head title textarea select option".split())
+INVISIBLE = frozenset("script style noscript template svg math iframe object canvas title textarea select option".split())
+#: Invisible elements without markup inside: only their own end tag ends them.
+RAW = frozenset("script style textarea title".split())
+#: Start tags that end an open element.
+ENDED_BY = {"option": frozenset({"option", "optgroup"}), "select": frozenset({"select", "input", "textarea"})}
 BLOCKS = frozenset(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -56,7 +63,7 @@ COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|reply|replies|
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|</?\Z", re.S)
 ATTRIBUTES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
-ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in INVISIBLE}
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 #: Capacity of an edge between blocks that follow each other, and of one between a block and its parent's node.
 FOLLOWS, SIBLING = 0.3, 0.8
@@ -79,6 +86,7 @@ def blocks_of(html: str) -> list[Block]:
     parts: list[str] = []
     number = links = linked = 0
     at, n = 0, len(html)
+    never_ended: set[int] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -119,18 +127,13 @@ def blocks_of(html: str) -> list[Block]:
                 flush()
             elif name == "a" and links:
                 links -= 1
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCKS and name not in BLOCKS:
-                    break
+            if k := _opened(stack, name):
+                del stack[k:]
             continue
         attributes = m.group(3) or ""
         if name in INVISIBLE:
-            end = ENDS[name].search(html, at)
             if not attributes.rstrip().endswith("/") or name in ("script", "style"):
-                at = n if end is None else _behind(html, end.end())
+                at = _raw_end(html, at, name) if name in RAW else _invisible_end(html, at, name, stack, never_ended)
             continue
         if name == "br" or name in ("wbr", "img", "input"):
             if name == "br":
@@ -173,6 +176,68 @@ def _behind(html: str, at: int) -> int:
     return len(html) if end < 0 else end + 1
 
 
+def _opened(stack: list[tuple[str, int, bool, bool, bool]], name: str) -> int:
+    """The place of the element that an end tag closes; 0 for none. Other tags don't close blocks."""
+    for k in range(len(stack) - 1, 0, -1):
+        if stack[k][0] == name:
+            return k
+        if stack[k][0] in BLOCKS and name not in BLOCKS:
+            break
+    return 0
+
+
+def _raw_end(html: str, at: int, name: str) -> int:
+    end = ENDS[name].search(html, at)
+    return len(html) if end is None else _behind(html, end.end())
+
+
+def _invisible_end(html: str, at: int, name: str, stack: list[tuple[str, int, bool, bool, bool]], never_ended: set[int]) -> int:
+    """Where an invisible element ends that was opened before ``at``.
+
+    That is behind its end tag. If an element around it or the page ends first, it has none, and ends at the next
+    block or invisible element. ``never_ended``: the places of those known to have none, so no page is read over and over.
+    """
+    inside: list[tuple[str, int]] = []
+    count: Counter = Counter()
+    following, stop, start = None, len(html), at
+    while at < len(html):
+        m = TOKEN.search(html, at)
+        if not m:
+            break
+        at = m.end()
+        tag = m.group(2) or m.group(5)
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if m.group(1) or m.group(4):
+            if count[tag]:
+                while True:
+                    closed, where = inside.pop()
+                    count[closed] -= 1
+                    if closed == tag:
+                        break
+                    never_ended.add(where)
+            elif tag == name:
+                return at
+            elif _opened(stack, tag):
+                stop = m.start()
+                break
+            continue
+        if tag in ENDED_BY.get(name, ()) and not inside:
+            return m.start()
+        if following is None and (tag in BLOCKS or tag in INVISIBLE):
+            following = m.start()
+            if start in never_ended:
+                return following
+        if tag in RAW:
+            at = _raw_end(html, at, tag)
+        elif tag not in VOID and not (m.group(3) or "").rstrip().endswith("/"):
+            inside.append((tag, at))
+            count[tag] += 1
+    never_ended.update(where for _, where in inside)
+    return stop if following is None else following
+
+
 def features(b: Block) -> tuple[int, ...]:
     """Discrete features: surroundings for and against, element, share of links, length, sentences."""
     n = len(b.text)

@@ -257,6 +257,48 @@ def test_html(spark, empty):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<head><title>T</title><body><article><p>One.</p></article>", ["One."]),
+        ("<html><head><meta charset=x><title>T</title><link href=y><script>'</head>'</script><p>One.<p>Two.", ["One.", "Two."]),
+        ("<head><title>T</title><noscript><style>x</style><img src=p></noscript>One.", ["One."]),
+        ("<head><title>T</title></head><body>One.", ["One."]),
+        ("<p>One.</p><datalist><option>A<option>B</datalist><p>Two.</p><select><option>C</option></select>", ["One.", "Two."]),
+        ("<div><select><option>A<option>B</select>One.</div><p>Two.", ["One.", "Two."]),
+        ("<div><select><option>A<option>B</div><p>Two.", ["Two."]),
+        *((f"<div><p>One.<{t} id=x></p><p>Two.</p></div><p>Three.</p>", ["One.", "Two.", "Three."]) for t in ("object", "iframe", "canvas", "svg", "noscript", "template")),
+        *((f"<body><{t} id=x>gone<p>One.<p>Two.", ["One.", "Two."]) for t in ("object", "iframe", "canvas")),
+        *((f"<div><p>One.<{t} id=x></p><p>Two.</p></div><div><{t}><p>gone</p></{t}>Three.</div>", ["One.", "Two.", "Three."]) for t in ("object", "iframe", "canvas")),
+        ("<p>One.</p><object><object><p>gone</p></object>gone</object><p>Two.", ["One.", "Two."]),
+        ("<p><a><svg><path></a>One.</p><a><svg><path/></svg></a>Two.", ["One.", "Two."]),
+        ("<p>One.</p><script>if (a < b) '<p>gone</p>'", ["One."]),
+    ],
+)
+def test_html_invisible_elements_without_an_end(page, want):
+    assert [b.text for b in html_extract.blocks_of(page)] == want
+
+
+def test_html_main_text_behind_a_head_without_an_end():
+    page = "<head><title>T</title><body><article><p>A paragraph of some length, which is worth reading.</p></article>"
+    assert html_extract.main_text(page, html_extract.train([])) == "A paragraph of some length, which is worth reading."
+
+
+@pytest.mark.parametrize("page", ["<canvas><p>x" * 20_000, "<canvas><p>x" * 20_000 + "</canvas>", "<div><canvas>" * 5000 + "x" + "</div>" * 5000, "<iframe>" * 50_000 + "x", "<option>a" * 50_000])
+def test_html_many_elements_without_an_end_are_read_once(page, monkeypatch):
+    class Counted:
+        seen = 0
+
+        def search(self, *args):
+            Counted.seen += 1
+            return pattern.search(*args)
+
+    pattern = html_extract.TOKEN
+    monkeypatch.setattr(html_extract, "TOKEN", Counted())
+    html_extract.blocks_of(page)
+    assert Counted.seen <= 5 * page.count("<") + 5
+
+
 def test_minimum_cut_against_all_labellings():
     random.seed(2)
     for _ in range(60):
