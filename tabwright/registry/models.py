@@ -80,7 +80,7 @@ def _lines(spark, sf):
     return table(spark, sf, "part").selectExpr("p_partkey", "CAST(p_size AS DOUBLE) AS p_size", "length(p_name) AS name_length", "p_retailprice")
 
 
-def _page(spark, sf, names, folds_n=0, **sizes):
+def _page(spark, sf, names, folds_n=5, **sizes):
     out = ops.train_on_split(_orders(spark, sf), "o_orderstatus", "o_orderkey", names, folds=folds_n, **sizes)
     return out.drop("train_time")
 
@@ -204,7 +204,7 @@ SELECT 'x' AS term, round(w,3) AS value FROM b UNION ALL SELECT 'intercept', rou
     "random_forest": Query(lambda s, d: _page(s, d, ["random_forest"], 5)),
     "random_forest_regression": Query(lambda s, d: _reg(s, d, ["random_forest"], 5)),
     "extra_trees": Query(lambda s, d: _page(s, d, ["extra_trees"])),
-    "gbt": Query(lambda s, d: ops.train_on_split(_events_xy(s, d), "value", "event_id", ["xgboost", "lightgbm"], folds=0).drop("train_time")),
+    "gbt": Query(lambda s, d: ops.train_on_split(_events_xy(s, d), "value", "event_id", ["xgboost", "lightgbm"]).drop("train_time")),
     "gbt_classify": Query(lambda s, d: _page(s, d, ["xgboost"])),
     "svm": Query(lambda s, d: _page(s, d, ["svm"])),
     "svr": Query(lambda s, d: _reg(s, d, ["svr"], 5)),

@@ -103,8 +103,7 @@ def _questions(spark, sf):
 
 
 def _workflow(spark, sf):
-    df = dirty(spark, sf).drop("order_ts")
-    return workflow.run_all(df, target="status", key="id", models=["logistic_regression"], folds=2)
+    return workflow.run_all(dirty(spark, sf), target="status", key="id")
 
 
 def _stream(spark, sf):
@@ -171,6 +170,6 @@ FROM (SELECT *, sum((CASE WHEN price IS NULL THEN 1 ELSE 0 END)+(CASE WHEN prior
         """SELECT event_id, true AS json_valid, event_type AS tool, json_extract_string(props, '$.k') AS k, 's' AS summary FROM events""",
     ),
     "end_to_end_stages": Query(lambda s, d: workflow.summary(_workflow(s, d))),
-    "end_to_end_report": Query(lambda s, d: workflow.combined_report(workflow.run_all(dirty(s, d), target="status", key="id", stages=["profile", "no_such_stage", "clean"]))),
+    "end_to_end_report": Query(lambda s, d: workflow.combined_report(workflow.run_all(dirty(s, d), target="status", key="id", stages=["profile", "no_such_stage", "clean", "feature_engineer"]))),
     "stream_cleaning": Query(_stream, _STREAM_SQL),
 }

@@ -37,3 +37,38 @@ def test_matches_sql(name, spark, sf, con):
 def test_names_are_unique_and_plain():
     assert len(QUERIES) > 100
     assert not [n for n in QUERIES if "pipeline" in n or n.startswith("op")]
+
+
+@pytest.mark.parametrize("name", ["extra_trees", "gbt", "gbt_classify", "svm", "mlp", "model_comparison", "model_results_export", "logistic", "random_forest"])
+def test_page_models_are_cross_validated_in_five_folds(name, spark, sf, monkeypatch):
+    from tabwright.operators import models
+
+    seen = []
+
+    def record(df, target, key, names, task=None, folds=5, **rest):
+        seen.append((folds, rest))
+        return spark.createDataFrame([], models.SPLIT_SCHEMA)
+
+    monkeypatch.setattr(models, "train_on_split", record)
+    QUERIES[name].run(spark, sf)
+    assert seen == [(5, {})]
+
+
+def test_end_to_end_runs_leave_nothing_out(spark, sf, monkeypatch):
+    from tabwright.plans import workflow
+
+    seen = []
+
+    def record(df, target, key, stages=None, **options):
+        seen.append((df.columns, stages or list(workflow.STAGES), options))
+        return workflow.WorkflowResult(True, df, {"profile": workflow.StageResult(df)})
+
+    monkeypatch.setattr(workflow, "run_all", record)
+    for name in ("end_to_end_stages", "end_to_end_report"):
+        try:
+            QUERIES[name].run(spark, sf)
+        except AttributeError:  # a report of no stage
+            pass
+    (columns, stages, options), (_, reported, _) = seen
+    assert "order_ts" in columns and options == {} and stages == list(workflow.STAGES)
+    assert "feature_engineer" in reported
