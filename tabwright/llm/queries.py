@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..registry.base import Query, table
-from . import bpe, embedding_dedup, html_extract, jaccard_join, mixing, ngram_lm, pii, preference_format, quality, token_counts
+from . import bpe, embedding_dedup, filter_audit, html_extract, jaccard_join, mixing, ngram_lm, pii, preference_format, quality, token_counts
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -68,6 +68,11 @@ def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def filter_interaction_audit(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit_documents(docs, table(spark, sf, "labels"))
+
+
 MIX_SQL = f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text,''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR,'null')) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
@@ -147,6 +152,29 @@ SELECT conv_id, part, turn, '<|' || role || '|>' || chr(10) || text || chr(10) |
 FROM p WHERE part <> 'prompt' OR side = 'a'
 """
 
+#: Every order is played through; the Shapley column is the plain sum over all of them.
+AUDIT_SQL = """
+WITH y AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+d AS (SELECT doc_id, coalesce(lang,'') AS part, coalesce(text,'') AS t, regexp_extract_all(coalesce(text,''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+m AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+f AS (SELECT part, coalesce(good,0) AS good, coalesce(toxic,0) AS toxic, (len(w) < 100)::INT + 2*(100*len(list_distinct(w)) < 80*len(w))::INT
+  + 4*(100*len(regexp_extract_all(t, '[A-Z]')) > 10*length(t))::INT + 8*regexp_matches(t, '[#$%&*|]')::INT + 16*coalesce(d.doc_id > least, false)::INT AS fails
+  FROM d JOIN m USING (t) LEFT JOIN y ON y.doc_id = d.doc_id),
+s AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+l AS (SELECT unnest(range(5)) AS i),
+o AS (SELECT chr((65+a.i)::INT) || chr((65+b.i)::INT) || chr((65+c.i)::INT) || chr((65+x.i)::INT) || chr((65+e.i)::INT) AS filter_order, [(1<<a.i)::INT, (1<<b.i)::INT, (1<<c.i)::INT, (1<<x.i)::INT, (1<<e.i)::INT] AS bits
+  FROM l a JOIN l b ON b.i <> a.i JOIN l c ON c.i NOT IN (a.i, b.i) JOIN l x ON x.i NOT IN (a.i, b.i, c.i) JOIN l e ON e.i NOT IN (a.i, b.i, c.i, x.i)),
+p AS (SELECT filter_order, step::INT AS step, bits[step] AS own, coalesce(list_sum(bits[1:step-1]), 0)::INT AS before FROM (SELECT *, unnest(range(1, 6)) AS step FROM o)),
+r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (WHERE fails & (before | own) = 0), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (WHERE fails & own > 0 AND fails & before = 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (WHERE fails & own > 0 AND fails & before > 0), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (WHERE fails = own), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (WHERE fails & own > 0 AND fails & before = 0), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (WHERE fails & own > 0 AND fails & before = 0), 0)::BIGINT AS toxic_lost
+  FROM s JOIN p ON true GROUP BY 1, 2, 3, 4)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_embedding_near_dedup": Query(embedding_near_dedup, EMBEDDING_SQL),
     "op2_language_model": Query(language_model),
@@ -158,4 +186,5 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_jaccard_join": Query(jaccard, JACCARD_SQL),
     "op9_token_counts": Query(count_tokens),
     "op10_quality_rules": Query(quality_rules, _quality_sql()),
+    "op12_filter_audit": Query(filter_interaction_audit, AUDIT_SQL),
 }
