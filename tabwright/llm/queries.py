@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..registry.base import Query, table
-from . import bpe, embedding_dedup, filter_audit, html_extract, jaccard_join, mixing, ngram_lm, pii, preference_format, quality, token_counts
+from . import bpe, embedding_dedup, filter_audit, html_extract, jaccard_join, mixing, ngram_lm, pii, preference_format, quality, token_counts, url_templates
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -73,6 +73,10 @@ def filter_interaction_audit(spark: SparkSession, sf: str) -> DataFrame:
     return filter_audit.audit_documents(docs, table(spark, sf, "labels"))
 
 
+def url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    return url_templates.judge_urls(table(spark, sf, "pages").select("page_id", "url"), keep=["page_id"])
+
+
 MIX_SQL = f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text,''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR,'null')) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
@@ -175,6 +179,28 @@ r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (WHERE fails
 SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r
 """
 
+_RULES = sorted(url_templates.RULES, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]))
+_FITS = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, _ in _RULES]
+_ALIKE = " AND ".join(f"abs({c}/n - all_{c}/all_n) <= sqrt({url_templates.CONFIDENCE}::DOUBLE/n) + sqrt({url_templates.CONFIDENCE}::DOUBLE/all_n)" for c in url_templates.SHARES)
+URL_SQL = f"""
+WITH u AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (SELECT rid, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+g AS (SELECT *, CASE {" ".join(f"WHEN {f} THEN '{h}{p}'" for f, (h, p, _) in zip(_FITS, _RULES))} END AS rule, CASE {" ".join(f"WHEN {f} THEN '{v}'" for f, (_, _, v) in zip(_FITS, _RULES))} END AS v,
+  list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE s END) || CASE WHEN ends_with(path, '/') THEN ['/'] ELSE [] END AS shape FROM p),
+s AS (SELECT host, shape, count(*) AS n, count(*) FILTER (WHERE v = 'block') AS blocked, count(*) FILTER (WHERE v = 'allow') AS allowed FROM g GROUP BY 1, 2),
+e AS (SELECT *, unnest(range(1, len(shape) + 1)) AS d FROM s),
+k AS (SELECT host, shape[1:d] AS node, sum(n)::BIGINT AS n, sum(blocked)::BIGINT AS blocked, sum(allowed)::BIGINT AS allowed, sum(CASE WHEN d = len(shape) THEN n ELSE 0 END)::BIGINT AS ends FROM e GROUP BY 1, 2),
+w AS (SELECT *, count(*) OVER a AS siblings, (sum(n) OVER a)::BIGINT AS all_n, {", ".join(f"(sum({c}) OVER a)::BIGINT AS all_{c}" for c in url_templates.SHARES)} FROM k WINDOW a AS (PARTITION BY host, node[1:len(node)-1])),
+c AS (SELECT host, node, CASE WHEN node[-1] IN ('*', '/') THEN node[-1] WHEN siblings > {url_templates.FANOUT} AND n * {url_templates.FANOUT} < all_n THEN '*' WHEN siblings > 1 AND {_ALIKE} THEN '~' ELSE node[-1] END AS called FROM w),
+x AS (SELECT e.host, e.shape, list(called ORDER BY d) AS template FROM e JOIN c ON e.host = c.host AND e.shape[1:d] = c.node GROUP BY 1, 2),
+y AS (SELECT s.host, s.shape, coalesce(template, []) AS template, blocked, allowed FROM s LEFT JOIN x ON s.host = x.host AND s.shape = x.shape),
+q AS (SELECT coalesce(sum(blocked)::DOUBLE / nullif(sum(blocked + allowed), 0)::DOUBLE, 0) AS q FROM y),
+z AS (SELECT host, template, (sum(blocked)::BIGINT + {url_templates.SMOOTHING} * any_value(q.q)) / (sum(blocked + allowed)::BIGINT + {url_templates.SMOOTHING}) AS purity FROM y, q GROUP BY 1, 2),
+b AS (SELECT y.host, y.shape FROM y JOIN z ON y.host = z.host AND y.template = z.template WHERE purity >= {url_templates.REJECT}::DOUBLE)
+SELECT g.page_id, g.host, g.path, g.rule, coalesce(g.v, CASE WHEN b.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict FROM g LEFT JOIN b ON g.host = b.host AND g.shape = b.shape
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_embedding_near_dedup": Query(embedding_near_dedup, EMBEDDING_SQL),
     "op2_language_model": Query(language_model),
@@ -186,5 +212,6 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_jaccard_join": Query(jaccard, JACCARD_SQL),
     "op9_token_counts": Query(count_tokens),
     "op10_quality_rules": Query(quality_rules, _quality_sql()),
+    "op11_url_filters": Query(url_filters, URL_SQL),
     "op12_filter_audit": Query(filter_interaction_audit, AUDIT_SQL),
 }
