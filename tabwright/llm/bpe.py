@@ -3,7 +3,13 @@
 A pair of bytes that stands inside no vocabulary token can never be merged: every token that covers both
 would contain it. Each such pair is a certain cut. A text is split into pre-tokens, each pre-token at its
 certain cuts, every fragment is encoded on its own and the ids are concatenated; this gives exactly the
-ids of the whole text. Fragments repeat far more than texts do, so a worker encodes each one once.
+ids of the whole text.
+
+A space behind a visible character always begins a pre-token, so a text is first split at its spaces, and
+pre-tokens are sought only in words not met before; texts where white space meets white space at such a split
+are taken as they are. Words, pre-tokens and fragments repeat far more than texts do: a worker remembers each
+of them in two generations, of which the older is forgotten when the younger is full, and what is used again
+moves to the younger. This bounds memory and never changes ids. The cuts of all new pre-tokens are found at once.
 
 Ids travel as packed little-endian unsigned 32-bit integers in a binary column.
 
@@ -19,6 +25,7 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -30,8 +37,8 @@ from .arrowmap import add_columns
 
 #: Fixed value: how byte-level pre-tokenization splits a text.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens a worker remembers before it starts afresh; bounds memory, not results.
-REMEMBERED = 100_000
+#: Entries in a generation of what a worker remembers; bounds memory, not results.
+REMEMBERED = 200_000
 #: Bytes of text (or ids) that a task handles at once.
 BATCH = 1 << 21
 
@@ -61,6 +68,29 @@ def later_characters() -> regex.Pattern:
     return regex.compile("[" + "".join(ranges) + f"\\U{first:08x}-\\U0010ffff]")
 
 
+class Memory:
+    """What was computed for keys, in two generations of bounded size."""
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def make_room(self) -> None:
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys that are not known; all others are in the young generation afterwards."""
+        out = []
+        for k in keys - self.young.keys():
+            v = self.old.get(k)
+            if v is None:
+                out.append(k)
+            else:
+                self.young[k] = v
+        return out
+
+
 class ByteBPE:
     """A vocabulary file of the tokenizers library, ready to split, encode and decode."""
 
@@ -72,7 +102,7 @@ class ByteBPE:
             raise ValueError(f"{path} is no plain byte-level BPE tokenizer")
         chars = byte_characters()
         byte_of = {c: b for b, c in enumerate(chars)}
-        self.to_chars = {b: c for b, c in enumerate(chars)}
+        self.to_chars = dict(enumerate(chars))
         self.bytes_of: dict[int, bytes] = {}
         joined = np.zeros(1 << 16, bool)
         for token, i in spec["model"]["vocab"].items():
@@ -83,12 +113,15 @@ class ByteBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for text, i in self.special.items():
             self.bytes_of[i] = text.encode()
-        self.joined = joined.tobytes()
+        self.joined = joined
         self.pretoken = regex.compile(PRETOKEN)
         self.at_special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.path = path
-        self.known: dict[str, bytes] = {}
-        self.known_fragments: dict[bytes, bytes] = {}
+        self.words, self.tokens, self.pieces = Memory(), Memory(), Memory()
+        top = max(self.bytes_of, default=-1) + 2  # one more, for ids outside the vocabulary
+        self.lengths = np.array([len(self.bytes_of.get(i, b"")) for i in range(top)], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(top)), np.uint8)
 
     @cached_property
     def model(self):
@@ -122,40 +155,73 @@ class ByteBPE:
             at = m.end()
         return out + self._plain(text[at:])
 
-    def fragments(self, raw: bytes) -> list[bytes]:
-        """A pre-token cut at every byte pair that stands in no vocabulary token."""
-        joined, out, at = self.joined, [], 0
-        for k in range(1, len(raw)):
-            if not joined[raw[k - 1] << 8 | raw[k]]:
-                out.append(raw[at:k])
-                at = k
-        out.append(raw[at:])
-        return out
-
-    def learn(self, pieces: set[str]) -> None:
+    def fragments(self, tokens: list[str]) -> tuple[list[str], list[int]]:
+        """The fragments of all pre-tokens, in the characters of the vocabulary file, and where those of each one begin."""
+        raw = [t.encode() for t in tokens]
+        whole = b"".join(raw)
+        data = np.frombuffer(whole, np.uint8)
+        begins = np.cumsum([0, *map(len, raw)])
+        cut = np.ones(len(data) + 1, bool)
+        cut[1:-1] = ~self.joined[data[:-1].astype(np.uint16) << 8 | data[1:]]
+        cut[begins] = True
+        at = np.flatnonzero(cut)
+        chars, edges = whole.decode("latin-1").translate(self.to_chars), at.tolist()
+        return [chars[a:b] for a, b in zip(edges, edges[1:])], np.searchsorted(at, begins).tolist()
+
+    def learn(self, tokens: set[str]) -> None:
         """Encode the fragments of pre-tokens not met before, each once."""
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known, self.known_fragments = {}, {}
-        new = [p for p in pieces if p not in self.known]
-        cut = [self.fragments(p.encode()) if p not in self.special else None for p in new]
-        unmet = list({f for fs in cut if fs for f in fs if f not in self.known_fragments})
-        chars = self.to_chars
+        known = self.tokens.young
+        new = [t for t in self.tokens.missing(tokens) if t not in self.special]
+        for t in tokens & self.special.keys():
+            known[t] = np.array([self.special[t]], "<u4").tobytes()
+        if not new:
+            return
+        pieces, first = self.fragments(new)
+        unmet = self.pieces.missing(set(pieces))
+        encoded = self.pieces.young
         for at in range(0, len(unmet), 4096):  # the library's results are large for a while
             some = unmet[at : at + 4096]
-            for f, e in zip(some, self.model.encode_batch_fast(["".join([chars[b] for b in f]) for f in some], add_special_tokens=False)):
-                self.known_fragments[f] = np.array(e.ids, "<u4").tobytes()
-        for p, fs in zip(new, cut):
-            self.known[p] = np.array([self.special[p]], "<u4").tobytes() if fs is None else b"".join([self.known_fragments[f] for f in fs])
+            for f, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False)):
+                encoded[f] = array("I", e.ids).tobytes()
+        ids = list(map(encoded.__getitem__, pieces))
+        for t, a, b in zip(new, first, first[1:]):
+            known[t] = ids[a] if b == a + 1 else b"".join(ids[a:b])
+
+    def ids_of(self, tokens: list[str]) -> list[bytes]:
+        """Packed ids of pre-tokens."""
+        self.make_room()
+        self.learn(set(tokens))
+        return list(map(self.tokens.young.__getitem__, tokens))
+
+    def make_room(self) -> None:
+        for memory in (self.words, self.tokens, self.pieces):
+            memory.make_room()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [self.pretokens(t) for t in texts]
-        self.learn(set().union(*pieces))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
-
-    def decode(self, ids: bytes) -> str:
-        get = self.bytes_of.get
-        return b"".join([get(i, b"") for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+        self.make_room()
+        split = [t.split(" ") for t in texts]
+        words = set().union(*split)
+        odd = {w for w in words if not w or w[0].isspace() or w[-1].isspace()}
+        whole = [not odd.isdisjoint(w) or any(x in t for x in self.special) for t, w in zip(texts, split)]
+        new = self.words.missing(words - odd)
+        pretokens = [self._plain(" " + w) for w in new]
+        others = [self.pretokens(t if by_itself else w[0]) for t, w, by_itself in zip(texts, split, whole)]
+        self.learn(set().union(*pretokens, *others))
+        token, word = self.tokens.young.__getitem__, self.words.young
+        for w, p in zip(new, pretokens):
+            word[w] = b"".join(map(token, p))
+        word = word.__getitem__
+        return [b"".join(map(token, o)) + (b"" if by_itself else b"".join(map(word, w[1:]))) for o, w, by_itself in zip(others, split, whole)]
+
+    def decode(self, packed: list[bytes]) -> list[str]:
+        """The text of each array of packed ids; all are gathered from the bytes of the vocabulary at once."""
+        ids = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
+        ids = np.minimum(ids, len(self.lengths) - 1)
+        n = self.lengths[ids]
+        ends = np.cumsum(n)
+        data = self.all_bytes[np.repeat(self.starts[ids] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        edges = np.r_[0, ends][np.cumsum([0, *(len(p) // 4 for p in packed)])].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(edges, edges[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -179,7 +245,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         packed = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
-        return [pa.array([load(path).decode(i or b"") for i in packed], pa.string())]
+        return [pa.array(load(path).decode([i or b"" for i in packed]), pa.string())]
 
     return add_columns(df, {text_col: "string"}, run, ids_col, keep, BATCH)
 
@@ -190,6 +256,6 @@ def encode_and_decode(df: DataFrame, path: str, text_col: str = "text", ids_col:
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         tokenizer = load(path)
         ids = tokenizer.encode([t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()])
-        return [pa.array(ids, pa.binary()), pa.array([tokenizer.decode(i) for i in ids], pa.string())]
+        return [pa.array(ids, pa.binary()), pa.array(tokenizer.decode(ids), pa.string())]
 
     return add_columns(df, {ids_col: "binary", decoded_col: "string"}, run, text_col, keep, BATCH)
