@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..registry.base import Query, table
-from . import bpe, embedding_dedup, filter_audit, html_extract, jaccard_join, mixing, ngram_lm, pii, preference_format, quality, token_counts, url_templates
+from . import bpe, collocations, embedding_dedup, filter_audit, html_extract, jaccard_join, mixing, ngram_lm, pii, preference_format, quality, token_counts, url_templates
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -77,6 +77,10 @@ def url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return url_templates.judge_urls(table(spark, sf, "pages").select("page_id", "url"), keep=["page_id"])
 
 
+def phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents").select("text", "lang"))
+
+
 MIX_SQL = f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text,''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR,'null')) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
@@ -181,7 +185,7 @@ SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS
 
 _RULES = sorted(url_templates.RULES, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]))
 _FITS = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, _ in _RULES]
-_ALIKE = " AND ".join(f"abs({c}/n - all_{c}/all_n) <= sqrt({url_templates.CONFIDENCE}::DOUBLE/n) + sqrt({url_templates.CONFIDENCE}::DOUBLE/all_n)" for c in url_templates.SHARES)
+_APART = " OR ".join(f"abs({c}/n - lag({c}) OVER a/lag(n) OVER a) > sqrt({url_templates.CONFIDENCE}::DOUBLE/n) + sqrt({url_templates.CONFIDENCE}::DOUBLE/lag(n) OVER a)" for c in url_templates.SHARES)
 URL_SQL = f"""
 WITH u AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
@@ -191,8 +195,11 @@ g AS (SELECT *, CASE {" ".join(f"WHEN {f} THEN '{h}{p}'" for f, (h, p, _) in zip
 s AS (SELECT host, shape, count(*) AS n, count(*) FILTER (WHERE v = 'block') AS blocked, count(*) FILTER (WHERE v = 'allow') AS allowed FROM g GROUP BY 1, 2),
 e AS (SELECT *, unnest(range(1, len(shape) + 1)) AS d FROM s),
 k AS (SELECT host, shape[1:d] AS node, sum(n)::BIGINT AS n, sum(blocked)::BIGINT AS blocked, sum(allowed)::BIGINT AS allowed, sum(CASE WHEN d = len(shape) THEN n ELSE 0 END)::BIGINT AS ends FROM e GROUP BY 1, 2),
-w AS (SELECT *, count(*) OVER a AS siblings, (sum(n) OVER a)::BIGINT AS all_n, {", ".join(f"(sum({c}) OVER a)::BIGINT AS all_{c}" for c in url_templates.SHARES)} FROM k WINDOW a AS (PARTITION BY host, node[1:len(node)-1])),
-c AS (SELECT host, node, CASE WHEN node[-1] IN ('*', '/') THEN node[-1] WHEN siblings > {url_templates.FANOUT} AND n * {url_templates.FANOUT} < all_n THEN '*' WHEN siblings > 1 AND {_ALIKE} THEN '~' ELSE node[-1] END AS called FROM w),
+w AS (SELECT *, node[1:len(node)-1] AS up, count(*) OVER a AS siblings, (sum(n) OVER a)::BIGINT AS all_n FROM k WINDOW a AS (PARTITION BY host, node[1:len(node)-1])),
+v AS (SELECT *, CASE WHEN node[-1] IN ('*', '/') THEN node[-1] WHEN siblings > {url_templates.FANOUT} AND n * {url_templates.FANOUT} < all_n THEN '*' END AS var FROM w),
+a AS (SELECT *, coalesce({_APART}, false)::INT AS apart FROM v WHERE var IS NULL WINDOW a AS (PARTITION BY host, up ORDER BY {", ".join(f"{c}/n" for c in url_templates.SHARES)}, node[-1])),
+i AS (SELECT *, sum(apart) OVER (PARTITION BY host, up ORDER BY {", ".join(f"{c}/n" for c in url_templates.SHARES)}, node[-1]) AS grp FROM a),
+c AS (SELECT host, node, CASE WHEN count(*) OVER (PARTITION BY host, up, grp) > 1 THEN '~' || grp::BIGINT ELSE node[-1] END AS called FROM i UNION ALL SELECT host, node, var FROM v WHERE var IS NOT NULL),
 x AS (SELECT e.host, e.shape, list(called ORDER BY d) AS template FROM e JOIN c ON e.host = c.host AND e.shape[1:d] = c.node GROUP BY 1, 2),
 y AS (SELECT s.host, s.shape, coalesce(template, []) AS template, blocked, allowed FROM s LEFT JOIN x ON s.host = x.host AND s.shape = x.shape),
 q AS (SELECT coalesce(sum(blocked)::DOUBLE / nullif(sum(blocked + allowed), 0)::DOUBLE, 0) AS q FROM y),
@@ -201,6 +208,24 @@ b AS (SELECT y.host, y.shape FROM y JOIN z ON y.host = z.host AND y.template = z
 SELECT g.page_id, g.host, g.path, g.rule, coalesce(g.v, CASE WHEN b.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict FROM g LEFT JOIN b ON g.host = b.host AND g.shape = b.shape
 """
 
+COLLOCATION_SQL = f"""
+WITH t AS (SELECT coalesce(lang, '{collocations.UNKNOWN}') AS lang, translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+p AS (SELECT lang, unnest(regexp_extract_all(x, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i+k-1], ' '))) AS phrase FROM w JOIN range(1, {collocations.LONGEST + 1}) r(k) ON len(ws) >= k),
+f AS MATERIALIZED (SELECT lang, k AS words, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= {collocations.THRESHOLD}),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE words > 1),
+u AS (SELECT *, unnest(range(1, words)) AS k FROM c),
+s AS (SELECT u.lang, u.phrase, u.words, u.f AS a, l.f AS l, r.f AS r, n.n, u.k, (1000::HUGEINT * u.f * n.n) // (l.f::HUGEINT * r.f) AS score FROM u JOIN n ON n.lang = u.lang
+  JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(ws[1:k], ' ') JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(ws[k+1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, f AS a, unnest(flatten(list_transform(range(2, words), lambda k: list_transform(range(1, words - k + 2), lambda j: array_to_string(ws[j:j+k-1], ' '))))) AS phrase FROM c WHERE words > 2),
+m AS (SELECT lang, phrase, max(a) AS longer FROM i GROUP BY 1, 2),
+o AS (SELECT b.* FROM b LEFT JOIN m USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < {collocations.COVERED_PCT} * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM o QUALIFY rank <= {collocations.TOP}
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_embedding_near_dedup": Query(embedding_near_dedup, EMBEDDING_SQL),
     "op2_language_model": Query(language_model),
@@ -214,4 +239,5 @@ QUERIES: dict[str, Query] = {
     "op10_quality_rules": Query(quality_rules, _quality_sql()),
     "op11_url_filters": Query(url_filters, URL_SQL),
     "op12_filter_audit": Query(filter_interaction_audit, AUDIT_SQL),
+    "op13_phrase_collocations": Query(phrase_collocations, COLLOCATION_SQL),
 }

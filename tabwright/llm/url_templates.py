@@ -6,9 +6,9 @@
    third of all rows costs one row for each task and shape.
 3. The shapes of a host are a tree. A branch is variable by count if its parent has more than ``FANOUT`` branches and
    it holds under one in ``FANOUT`` of the parent's URLs; it becomes a wildcard.
-4. A branch is merged with its siblings if it is statistically like all of them together: the shares of its URLs that
-   are blocked, allowed and at their last segment all lie within the Hoeffding distance of the parent's shares. Every
-   branch is held against the pool of its parent, so no pairs are made.
+4. Siblings that keep their names (at most ``FANOUT`` of a parent) are ordered by the shares of their URLs that
+   are blocked, allowed and at their last segment. A branch is merged with the one before it if all three shares lie
+   within the Hoeffding distance of the two; no pairs are made.
 5. The URLs of one template share their labels. Its purity is the smoothed share of blocked ones,
    (blocked + SMOOTHING * q) / (labelled + SMOOTHING), where q is the share of blocked URLs among all labelled ones;
    templates of ``REJECT`` and more are rejected, and with them their URLs that no rule fits.
@@ -89,15 +89,23 @@ def branch_names(each: DataFrame) -> DataFrame:
     ends = F.sum(F.when(F.col("last"), F.col("n")).otherwise(F.lit(0)))
     nodes = each.groupBy("host", "depth", "parent", "node", "segment").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"), ends.alias("ends"))
     nodes = materialize(nodes, "url-nodes")
-    pool = nodes.groupBy("host", "depth", "parent").agg(F.count(F.lit(1)).alias("siblings"), *[F.sum(c).alias(f"all_{c}") for c in ("n", *SHARES)])
-    held = nodes.join(pool, ["host", "depth", "parent"])
-    reach = F.sqrt(F.lit(CONFIDENCE) / F.col("n")) + F.sqrt(F.lit(CONFIDENCE) / F.col("all_n"))
-    alike = F.col("siblings") > 1
-    for c in SHARES:
-        alike = alike & (F.abs(F.col(c) / F.col("n") - F.col(f"all_{c}") / F.col("all_n")) <= reach)
+    parent = ["host", "depth", "parent"]
+    held = nodes.join(nodes.groupBy(*parent).agg(F.count(F.lit(1)).alias("siblings"), F.sum("n").alias("all_n")), parent)
     small = (F.col("siblings") > FANOUT) & (F.col("n") * FANOUT < F.col("all_n"))
-    called = F.when(F.col("segment").isin(VARIABLE, SLASH), F.col("segment")).when(small, F.lit(VARIABLE)).when(alike, F.lit(MERGED)).otherwise(F.col("segment"))
-    return held.select("host", "depth", "node", called.alias("called"))
+    variable = held.withColumn("called", F.when(F.col("segment").isin(VARIABLE, SLASH), F.col("segment")).when(small, F.lit(VARIABLE)))
+    variable = materialize(variable, "url-siblings")
+    order = Window.partitionBy(*parent).orderBy(*[F.col(c) / F.col("n") for c in SHARES], "segment")
+    before = lambda c: F.lag(c).over(order)
+    reach = F.sqrt(F.lit(CONFIDENCE) / F.col("n")) + F.sqrt(F.lit(CONFIDENCE) / before("n"))
+    apart = F.lit(False)
+    for c in SHARES:
+        apart = apart | (F.abs(F.col(c) / F.col("n") - before(c) / before("n")) > reach)
+    named = variable.where("called IS NULL").withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int"))
+    named = named.withColumn("group", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    size = F.count(F.lit(1)).over(Window.partitionBy(*parent, "group"))
+    named = named.withColumn("called", F.when(size > 1, F.concat(F.lit(MERGED), F.col("group").cast("string"))).otherwise(F.col("segment")))
+    out = ["host", "depth", "node", "called"]
+    return variable.where("called IS NOT NULL").select(*out).unionAll(named.select(*out))
 
 
 def templates(shapes: DataFrame) -> DataFrame:

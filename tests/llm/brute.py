@@ -121,6 +121,57 @@ def components(sets, percent):
     return least
 
 
+def audit(docs, labels):
+    """{(part, order, step): (kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley)} for docs (id, text, lang) and labels (id, quality, toxic)."""
+    from itertools import permutations
+
+    good, toxic = {i for i, q, _ in labels if q == 1 and i is not None}, {i for i, _, t in labels if t == 1 and i is not None}
+    parts = defaultdict(list)
+    for i, text, lang in docs:
+        t = text or ""
+        w = WORD.findall(t)
+        fails = {k for k, f in zip("ABCD", (len(w) < 100, 100 * len(set(w)) < 80 * len(w), 100 * sum("A" <= c <= "Z" for c in t) > 10 * len(t), any(c in "#$%&*|" for c in t))) if f}
+        if i is not None and any(j is not None and j < i and (u or "") == t for j, u, _ in docs):
+            fails.add("E")
+        parts[lang or ""].append((fails, i in good, i in toxic))
+    out = {}
+    for part, rows in parts.items():
+        total = Counter()
+        for order in permutations("ABCDE"):
+            for k, f in enumerate(order):
+                gone = [(r, bool(r[0] & set(order[:k]))) for r in rows]
+                here = [r for r, earlier in gone if f in r[0] and not earlier]
+                total[f] += len(here)
+                kept = sum(not r[0] & set(order[: k + 1]) for r in rows)
+                out[part, "".join(order), k + 1] = [kept, len(here), sum(f in r[0] and earlier for r, earlier in gone), sum(r[0] == {f} for r in rows), sum(r[1] for r in here), sum(r[2] for r in here)]
+        for key in out:
+            if key[0] == part:
+                out[key] = (*out[key], total[key[1][key[2] - 1]])
+    return out
+
+
+def collocations(docs, longest, threshold, top):
+    """{lang: [(rank, phrase, a, l, r, n, score)]} for docs (text, lang)."""
+    n, f = Counter(), defaultdict(Counter)
+    for text, lang in docs:
+        for piece in re.split(r"[.,;:!?\n\x0b\x0c\r]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^ \t]+", piece)
+            n[lang or "und"] += len(w)
+            for k in range(1, longest + 1):
+                f[lang or "und"].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = {}
+    for lang, c in f.items():
+        found = {p: a for p, a in c.items() if len(p) > 1 and a >= threshold}
+        rows = []
+        for p, a in found.items():
+            if any(len(q) > len(p) and b >= a and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1)) for q, b in found.items()):
+                continue
+            score, k = min((1000 * a * n[lang] // (c[p[:k]] * c[p[k:]]), k) for k in range(1, len(p)))
+            rows.append((-score, -a, " ".join(p).encode(), c[p[:k]], c[p[k:]]))
+        out[lang] = [(i, p.decode(), -a, x, y, n[lang], -s) for i, (s, a, p, x, y) in enumerate(sorted(rows)[:top], 1)]
+    return {k: v for k, v in out.items() if v}
+
+
 def article(page):
     """Headings and paragraphs of the article of a page of the test tables."""
     import html
