@@ -65,7 +65,7 @@ COLLOCATED = [(None, None), ("", "en"), (" .;! ", "en"), ("\u00c9t\u00e9\u00a0x
 @pytest.mark.parametrize("small", [False, True])
 def test_collocations(spark, monkeypatch, small):
     if small:  # many partitions, merges and shards
-        for name, value in (("PARTITION_KEYS", 64), ("SHARD_KEYS", 16), ("HELD", 100), ("MERGED_AT_ONCE", 50)):
+        for name, value in (("SHARD_KEYS", 16), ("HELD", 100), ("HELD_TEXTS", 40), ("LEAST_CAPACITY", 16)):
             monkeypatch.setattr(collocations, name, value)
     rows = COLLOCATED + [(t, ("en", "und", None)[k % 3]) for k, t in enumerate(_babble(3, 120))] + [(_babble(4, 1)[0] * 400, "en")]
     docs = spark.createDataFrame([(t, lg, "x") for t, lg in rows], "text string, lang string, phrase string").repartition(4)
@@ -78,24 +78,33 @@ def test_collocations(spark, monkeypatch, small):
     assert collocations.collocations(docs, threshold=10**6).count() == 0
 
 
-def test_summaries_merge_and_lose_no_frequent_key():
+def test_summaries_merge_and_lose_no_frequent_key(monkeypatch):
+    monkeypatch.setattr(collocations, "LEAST_CAPACITY", 64)
     rng = np.random.default_rng(5)
     keys = np.minimum(rng.zipf(1.3, 40_000), 30_000)
-    keys, threshold = np.r_[keys, rng.integers(10**6, 10**7, 20_000)], 40
-    capacity = len(keys) // threshold + 1
-    parts = []
-    for piece in np.array_split(rng.permutation(keys), 23):
-        s = collocations.Summary(capacity)
-        s.merge(*np.unique(piece, return_counts=True))
-        parts.append(s)
-    while len(parts) > 1:  # in a tree, as summaries of summaries
-        a, b = parts.pop(0), parts.pop(0)
-        a.merge(b.keys, b.counts, b.lost)
-        assert len(a.keys) <= capacity
-        parts.append(a)
+    keys, threshold = np.r_[keys, rng.integers(10**6, 10**7, 20_000)].astype(np.uint64), 40
     k, n = np.unique(keys, return_counts=True)
-    assert parts[0].lost < threshold
-    assert set(k[n >= threshold]) <= set(parts[0].may_reach(threshold))
+    whole = collocations.Summary(threshold)
+    for piece in np.array_split(rng.permutation(keys), 23):
+        whole.merge(*collocations.combine(piece, np.ones(len(piece), np.int64)))
+        assert len(whole.keys) <= whole.capacity or whole.lost < threshold
+    assert whole.mass == len(keys) and whole.capacity > len(keys) / threshold and 0 < whole.lost < threshold and len(whole.keys) < len(k)
+    assert set(k[n >= threshold].tolist()) <= set(whole.may_reach().tolist())
+    halves = [collocations.Summary(threshold) for _ in range(2)]
+    for s, part in zip(halves, np.array_split(rng.permutation(keys), 2)):
+        s.capacity = len(keys) // 10  # loses little
+        s.merge(*collocations.combine(part, np.ones(len(part), np.int64)))
+    halves[0].merge(halves[1].keys, halves[1].counts, halves[1].lost)
+    assert set(k[n >= threshold].tolist()) <= set(halves[0].may_reach().tolist())
+
+
+def test_packed_counts():
+    rng = np.random.default_rng(6)
+    for k, c in (([], []), ([5], [1]), ([0, 1, 2**48 - 1], [255, 254, 10**12]), (np.unique(rng.integers(0, 2**48, 5000)), None)):
+        k = np.array(k, np.uint64)
+        c = rng.integers(1, 600, len(k)) if c is None else np.array(c, np.int64)
+        a, b = collocations.unpack_counts(collocations.pack_counts(k, c))
+        assert a.tolist() == k.tolist() and b.tolist() == c.tolist()
 
 
 def test_scores_beyond_64_bits(spark):
