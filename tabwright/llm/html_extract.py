@@ -2,7 +2,9 @@
 
 1. A page is cut into blocks of text at block-level tags. A block knows its tags, the words of class and id
    around it, its share of linked text, its length and its punctuation. Scripts, styles, comments and other
-   invisible parts are no text.
+   invisible parts are no text. Navigation, asides, footers, adverts and comments speak against all that is in them,
+   articles included; forms and words of class and id only until an article begins. Inside an article, such
+   words leave a block open: its text and its neighbours decide. Page headers count outside of content only.
 2. A logistic classifier says how likely a block is content. It is trained on all pages: blocks whose
    surroundings speak for themselves (inside an article; inside navigation, footers, adverts, forms) are
    its examples. Features are few and discrete, so tasks count their combinations and only these counts, a
@@ -15,7 +17,8 @@
 4. Content blocks are joined in page order by an empty line.
 
 Defined cases: a null or empty page has an empty text; a page cut off anywhere is read to its end; character
-references are decoded, unknown ones stay; tags without an end close at the next block or at the end; an
+references are decoded, unknown ones stay; very long and very deep pages are read in time proportional to their
+length and no depth changes what is read; tags without an end close at the next block or at the end; an
 invisible element that is still open when an element around it ends does so too, so it hides no more than the
 text up to the next block (only scripts, styles, titles and text fields reach to the end of the page, as in
 browsers); a head holds no text of its own and ends at the body or the first block; repeated
@@ -49,17 +52,18 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements, and words of class, id and role, that speak for or against content.
-FOR_TAGS, AGAINST_TAGS = frozenset({"article", "main"}), frozenset("nav footer aside form menu button fieldset dialog".split())
+FOR_TAGS, AGAINST_TAGS, FORM_TAGS = frozenset({"article", "main"}), frozenset("nav footer aside menu dialog".split()), frozenset("form button fieldset".split())
 FOR_WORDS = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|story|entry|body|text)(?:$|[\s_-])", re.I)
+ADVERT_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*)(?:$|[\s_-])", re.I)
 AGAINST_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar|side|footer|foot|masthead|breadcrumbs?|"
-    r"cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|copyright|legal|search|form|alert|skip)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:banner|promo\w*|nav\w*|menu\w*|sidebar|side|footer|foot|masthead|breadcrumbs?|"
+    r"cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|copyright|legal|search|form|alert|skip|reviews?)(?:$|[\s_-])",
     re.I,
 )
 #: Page headers: only outside of content, where a header holds the title.
 HEADER_WORDS = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 #: What readers wrote: content inside of it is not the page's own.
-COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|reply|replies|respond|responses|discussion|disqus|reviews?|guestbook)(?:$|[\s_-])", re.I)
+COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|reply|replies|respond|responses|discussion|disqus|guestbook)(?:$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|</?\Z", re.S)
 ATTRIBUTES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
@@ -79,10 +83,70 @@ class Block:
     linked: int  # characters inside links
 
 
+@dataclass(frozen=True)
+class Scope:
+    """What the elements around a place say of it."""
+
+    good: bool = False
+    bad: bool = False
+    closed: bool = False  # no article inside can turn it good
+    article: bool = False
+
+    def inside(self, name: str, attributes: str) -> Scope:
+        """The scope inside an element of this name and these attributes."""
+        if self.closed:
+            return self
+        words = " ".join(next((g for g in a.groups()[1:] if g is not None), "") for a in ATTRIBUTES.finditer(attributes)) if "=" in attributes and name not in ("html", "body") else ""
+        if name in AGAINST_TAGS or COMMENT_WORDS.search(words) or ADVERT_WORDS.search(words) or HIDDEN.search(attributes):
+            return Scope(bad=True, closed=True)
+        against = AGAINST_WORDS.search(words) is not None
+        if name in FOR_TAGS:
+            return Scope(good=True, bad=against, article=name == "article" or self.article)
+        if name in FORM_TAGS or not self.good and (name == "header" or HEADER_WORDS.search(words)):
+            return Scope(bad=True)
+        if against:
+            return Scope(good=self.article, bad=True, article=self.article)
+        return Scope(good=True) if not self.bad and not self.good and FOR_WORDS.search(words) else self
+
+
+class Elements:
+    """The open elements of a page. Each name knows its places, so that no end tag makes a search."""
+
+    def __init__(self):
+        self.names, self.numbers, self.scopes = [""], [0], [Scope()]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def push(self, name: str, number: int, scope: Scope) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        if name in BLOCKS:
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+        self.numbers.append(number)
+        self.scopes.append(scope)
+
+    def pop(self) -> str:
+        name = self.names.pop()
+        self.numbers.pop()
+        self.scopes.pop()
+        self.places[name].pop()
+        if self.blocks[-1] == len(self.names):
+            self.blocks.pop()
+        return name
+
+    def opened(self, name: str) -> int:
+        """The place of the element that an end tag closes; 0 for none. Other tags don't close blocks."""
+        places = self.places.get(name)
+        return places[-1] if places and (name in BLOCKS or places[-1] > self.blocks[-1]) else 0
+
+
 def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]  # tag, number, good, bad, inside comments
+    stack = Elements()
     parts: list[str] = []
     number = links = linked = 0
     at, n = 0, len(html)
@@ -92,12 +156,9 @@ def blocks_of(html: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            k = len(stack) - 1
-            while k and stack[k][0] not in BLOCKS:
-                k -= 1
-            tag, own = stack[k][:2]
+            k = stack.blocks[-1]
             # Paragraphs are judged with their neighbours in the element around them.
-            out.append(Block(text, stack[k - 1][1] if k else own, tag, stack[-1][2], stack[-1][3], min(linked, len(text))))
+            out.append(Block(text, stack.numbers[k - 1] if k else 0, stack.names[k], stack.scopes[-1].good, stack.scopes[-1].bad, min(linked, len(text))))
         parts.clear()
         linked = 0
 
@@ -127,8 +188,9 @@ def blocks_of(html: str) -> list[Block]:
                 flush()
             elif name == "a" and links:
                 links -= 1
-            if k := _opened(stack, name):
-                del stack[k:]
+            if k := stack.opened(name):
+                while len(stack) > k:
+                    stack.pop()
             continue
         attributes = m.group(3) or ""
         if name in INVISIBLE:
@@ -142,31 +204,15 @@ def blocks_of(html: str) -> list[Block]:
         if name in BLOCKS:
             flush()
             # A block ends an open paragraph; items, cells and headings end their like.
-            while len(stack) > 1 and (stack[-1][0] == "p" or stack[-1][0] not in BLOCKS or (name == stack[-1][0] and name in ("li", "td", "th", "tr", "dd", "dt", "option"))):
-                if stack[-1][0] == "a" and links:
+            while len(stack) > 1 and ((last := stack.names[-1]) == "p" or last not in BLOCKS or (name == last and name in ("li", "td", "th", "tr", "dd", "dt", "option"))):
+                if stack.pop() == "a" and links:
                     links -= 1
-                stack.pop()
         elif name == "a":
             links += 1
         if name in VOID or attributes.rstrip().endswith("/"):
             continue
         number += 1
-        good, bad, comments = stack[-1][2:]
-        words = " ".join(next((g for g in a.groups()[1:] if g is not None), "") for a in ATTRIBUTES.finditer(attributes)) if "=" in attributes else ""
-        if name in ("html", "body"):
-            words = ""  # of the whole page
-        header = not good and (name == "header" or HEADER_WORDS.search(words) is not None)
-        comments = comments or COMMENT_WORDS.search(words) is not None
-        against = comments or header or name in AGAINST_TAGS or AGAINST_WORDS.search(words) is not None or HIDDEN.search(attributes) is not None
-        if name in FOR_TAGS and not against:
-            good, bad = True, False
-        elif against:
-            good, bad = False, True
-        elif not bad and FOR_WORDS.search(words):
-            good = True
-        stack.append((name, number, good, bad, comments))
-        if name == "a" and len(stack) > 512:  # markup that never ends its links
-            stack.pop()
+        stack.push(name, number, stack.scopes[-1].inside(name, attributes))
     flush()
     return out
 
@@ -176,22 +222,12 @@ def _behind(html: str, at: int) -> int:
     return len(html) if end < 0 else end + 1
 
 
-def _opened(stack: list[tuple[str, int, bool, bool, bool]], name: str) -> int:
-    """The place of the element that an end tag closes; 0 for none. Other tags don't close blocks."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k][0] == name:
-            return k
-        if stack[k][0] in BLOCKS and name not in BLOCKS:
-            break
-    return 0
-
-
 def _raw_end(html: str, at: int, name: str) -> int:
     end = ENDS[name].search(html, at)
     return len(html) if end is None else _behind(html, end.end())
 
 
-def _invisible_end(html: str, at: int, name: str, stack: list[tuple[str, int, bool, bool, bool]], never_ended: set[int]) -> int:
+def _invisible_end(html: str, at: int, name: str, stack: Elements, never_ended: set[int]) -> int:
     """Where an invisible element ends that was opened before ``at``.
 
     That is behind its end tag. If an element around it or the page ends first, it has none, and ends at the next
@@ -219,7 +255,7 @@ def _invisible_end(html: str, at: int, name: str, stack: list[tuple[str, int, bo
                     never_ended.add(where)
             elif tag == name:
                 return at
-            elif _opened(stack, tag):
+            elif stack.opened(tag):
                 stop = m.start()
                 break
             continue
@@ -256,9 +292,9 @@ SIZES = (2, 2, 3, 3, 4, 3)
 
 
 def one_hot(f: np.ndarray) -> np.ndarray:
-    """Indicator columns of discrete features, and one for surroundings that say nothing."""
+    """Indicator columns of discrete features, and one each for surroundings that say nothing or both."""
     columns = [f[:, k] == v for k, size in enumerate(SIZES) for v in range(1, size)]
-    return np.column_stack([np.ones(len(f)), *columns, (f[:, 0] == 0) & (f[:, 1] == 0)]).astype(float)
+    return np.column_stack([np.ones(len(f)), *columns, (f[:, 0] == 0) & (f[:, 1] == 0), (f[:, 0] == 1) & (f[:, 1] == 1)]).astype(float)
 
 
 def count_features(df: DataFrame, html_col: str) -> list[tuple[tuple[int, ...], int]]:
@@ -277,9 +313,10 @@ def count_features(df: DataFrame, html_col: str) -> list[tuple[tuple[int, ...],
     return [(tuple(map(int, r["f"].split(","))), r["n"]) for r in counted.collect()]
 
 
-#: Examples that hold without any page: prose is content, short linked text is not, and surroundings decide.
+#: Examples that hold without any page: prose is content, short linked text is not, and surroundings decide unless they say both.
 PRIOR = (
     ((0, 0, 0, 0, 3, 2), 0.9), ((0, 0, 0, 0, 2, 2), 0.8), ((0, 0, 0, 0, 1, 2), 0.7), ((0, 0, 0, 0, 1, 1), 0.6), ((0, 0, 1, 0, 0, 0), 0.6), ((0, 0, 0, 2, 0, 0), 0.1), ((0, 0, 2, 2, 0, 0), 0.1), ((1, 0, 0, 0, 2, 2), 0.98), ((0, 1, 0, 0, 1, 1), 0.02), ((0, 1, 0, 0, 3, 2), 0.02),
+    ((1, 1, 0, 0, 3, 2), 0.9), ((1, 1, 0, 0, 2, 2), 0.85), ((1, 1, 0, 0, 1, 1), 0.7), ((1, 1, 0, 0, 0, 0), 0.3), ((1, 1, 0, 2, 0, 0), 0.1), ((1, 1, 2, 2, 0, 0), 0.1),
 )
 
 
