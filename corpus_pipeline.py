@@ -1,13 +1,13 @@
 """The corpus pipeline: quality rules, near-duplicate removal, masking of personal data, mixing, BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``docs``. Rows with a null id are nobody's copy; rows of one id count as one document when copies are
-removed, of which one row stays.
+``docs``. Copies are removed by row: rows of one id with texts that nothing links all stay, rows with a null
+id come last in their group, rows with the same id and text are one, and texts without words are nobody's copy.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabwright.llm import bpe, jaccard_join, mixing, pii, quality
 from tabwright.llm.queries import tokenizer_path
@@ -21,13 +21,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that n-gram similarity links: the one with the least id."""
-    groups = jaccard_join.join_similar(docs.select("doc_id", "text"))
-    copies = materialize(groups.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
-    named = docs.where("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    once = named.withColumn("__row", F.row_number().over(first)).where("__row = 1")
-    return once.select(*docs.columns).unionAll(docs.where("doc_id IS NULL"))
+    """One row of each group that n-gram similarity links: the one with the least id."""
+    own = F.xxhash64(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.coalesce("text", F.lit("")))
+    keyed = docs.withColumn("__row", own)
+    groups = jaccard_join.join_similar(keyed.select(F.col("__row").alias("doc_id"), "text")).where("n_shingles > 0")
+    groups = materialize(groups.groupBy(F.col("doc_id").alias("__row"), "component_id").agg(F.count(F.lit(1)).alias("n")), "groups")
+    ids = keyed.select("__row", "doc_id").distinct()
+    first = groups.join(ids, "__row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__row")).alias("first"))
+    fate = groups.join(first, "component_id").select("__row", "n", (F.col("first.__row") == F.col("__row")).alias("stays"))
+    listed = materialize(fate.where("n > 1 OR NOT stays"), "copies")
+    alone = keyed.join(listed, "__row", "left_anti")
+    repeated = keyed.join(listed.where("stays"), "__row", "left_semi").dropDuplicates(["__row"])
+    return alone.select(*docs.columns).unionAll(repeated.select(*docs.columns))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
