@@ -59,6 +59,23 @@ def _knn(spark, sf, features, label, task):
     return rounded(knn.knn_predict(train, test, features, "event_id", "event_id", label, task), 6)
 
 
+def _near_by(features):
+    """The five nearest training orders of every test order."""
+
+    def run(spark, sf):
+        orders = table(spark, sf, "orders").selectExpr("o_orderkey", *[f"CAST({e} AS DOUBLE) AS {n}" for n, e in features.items()], "1.0D AS label")
+        train, test = folds.train_test_split(orders, "o_orderkey")
+        near = knn.nearest(train, test, list(features), "o_orderkey", "o_orderkey", "label")
+        return rounded(near.select("query_id", "rank", "train_id", "distance2"), 6)
+
+    d2 = "+".join(f"(a.{n}-b.{n})*(a.{n}-b.{n})" for n in features)
+    cols = ", ".join(f"({e})::DOUBLE AS {n}" for n, e in features.items())
+    sql = f"""WITH s AS (SELECT o_orderkey, is_test, {cols} FROM ({SPLIT})),
+n AS (SELECT a.o_orderkey AS query_id, b.o_orderkey AS train_id, {d2} AS d2, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY {d2}, b.o_orderkey) AS rank FROM s a JOIN s b ON a.is_test AND NOT b.is_test)
+SELECT query_id, rank::INTEGER AS rank, train_id, round(d2,6) AS distance2 FROM n WHERE rank<=5"""
+    return Query(run, sql)
+
+
 _VOTES = f"""{_near_sql(_KIND, _D2)}, v AS (SELECT query_id, label, count(*) AS c FROM n WHERE rank<=5 GROUP BY 1,2)
 SELECT query_id, label AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, label) AS r FROM v) WHERE r=1"""
 
@@ -183,6 +200,11 @@ FROM (SELECT p_retailprice AS y, 900+p_partkey*0.05 AS p FROM part)""",
         lambda s, d: _knn(s, d, ["user_id"], "value", "regression"),
         f"{_near_sql('b.value', _D1)} SELECT query_id, round(avg(label),6) AS prediction FROM n WHERE rank<=5 GROUP BY 1",
     ),
+    # Half of all orders are one point; distances tie by the thousand.
+    "knn_hot_cell": _near_by({"price": "CASE WHEN o_orderkey % 2 = 0 THEN 1000 ELSE o_totalprice END", "rank": "CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE o_custkey END"}),
+    # Most orders lie close together, a few far out in the middle of nowhere.
+    "knn_sparse_cells": _near_by({"price": "CASE WHEN o_orderkey % 100 = 7 THEN floor(o_totalprice) * 100 ELSE floor(o_totalprice) END", "cust": "CASE WHEN o_orderkey % 100 = 7 THEN o_custkey * 1000 ELSE o_custkey END"}),
+    "knn_six_features": _near_by({"a": "o_totalprice", "b": "o_custkey", "c": "o_orderkey % 97", "d": "o_orderkey % 31", "e": "o_custkey % 13", "f": "length(o_orderpriority)"}),
     "linear_fit": Query(
         lambda s, d: rounded(ops.linear_coefficients(_lines(s, d), "p_retailprice", "p_partkey"), 5),
         f"""WITH p AS {_plane("part", "p_size", "length(p_name)", "p_retailprice")}

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
 from ..operators import clean as clean_ops, features, textops
 from ..operators.profile import load_summary
 from ..plans import workflow
-from ..session import shared_dir
+from ..session import materialize, shared_dir
 from ..sources import readers, writers
 from ..streaming.apply import apply_plans
 from .base import Query, dirty, rounded, table, with_d
@@ -56,6 +57,50 @@ def _documents(suffix, write):
 _DOCUMENTS = """SELECT doc_id, 'say "' || text || '",' || chr(9) || 'end' || chr(10) || 'of it' AS text, lang, source, n_chars FROM documents"""
 
 
+@contextmanager
+def _ranges(spark, size):
+    """Files are read in ranges of about ``size`` bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    kept = [spark.conf.get(n) for n in names]
+    for n in names:
+        spark.conf.set(n, str(size))
+    try:
+        yield
+    finally:
+        for n, v in zip(names, kept):
+            spark.conf.set(n, v)
+
+
+def _csv_split(spark, sf):
+    """One file whose cells hold line breaks, read in ranges: more than 8 even at the smallest scale."""
+    path = _path(spark, ".csv")
+    quoted = table(spark, sf, "documents").withColumn("text", F.concat(F.lit('say "'), F.col("text"), F.lit('",\tend\nof it')))
+    writers.write_csv(quoted, path, single_file=True)
+    with _ranges(spark, 1 << 15):
+        return materialize(readers.load(spark, path), "read")
+
+
+def _json_array(spark, sf):
+    """Arrays of records, one for each partition of the table, each on a single line and read in ranges."""
+    path = _path(spark, ".json")
+    rows = table(spark, sf, "documents").select(F.spark_partition_id().alias("p"), F.to_json(F.struct("doc_id", "text", "lang", "source", "n_chars")).alias("r"))
+    rows.groupBy("p").agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ", "), F.lit("]")).alias("value")).select("value").write.text(path)
+    with _ranges(spark, 1 << 15):
+        return materialize(readers.read_json(spark, path, orient="records"), "read").select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _json_columns(spark, sf):
+    """A table as one object of columns, by row label, read in ranges."""
+    path = _path(spark, ".json")
+    names = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+    cell = lambda c: F.struct(F.lit(c).alias("c"), F.regexp_replace(F.to_json(F.struct(F.col(c).alias("x"))), r'^\{"x":|\}$', "").alias("v"))
+    cells = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.explode(F.array(*[cell(c) for c in names])).alias("x"))
+    columns = cells.groupBy("x.c").agg(F.concat(F.lit('"'), F.first("x.c"), F.lit('": {'), F.array_join(F.collect_list(F.concat(F.lit('"'), "k", F.lit('": '), "x.v")), ", "), F.lit("}")).alias("v"))
+    columns.agg(F.concat(F.lit("{"), F.array_join(F.collect_list("v"), ", "), F.lit("}")).alias("value")).select("value").write.text(path)
+    with _ranges(spark, 1 << 15):
+        return materialize(readers.read_json(spark, path, orient="columns"), "read").select(*names)
+
+
 def _feather_overwrite(spark, sf):
     path = _path(spark, ".feather")
     orders = table(spark, sf, "orders")
@@ -137,6 +182,9 @@ QUERIES = {
     "feather_round_trip": Query(_round_trip(".feather", writers.write_feather), ORDERS),
     "csv_multiline_round_trip": Query(_documents(".csv", writers.write_csv), _DOCUMENTS),
     "tsv_multiline_round_trip": Query(_documents(".tsv", writers.write_tsv), _DOCUMENTS),
+    "csv_multiline_split": Query(_csv_split, _DOCUMENTS),
+    "json_array_split": Query(_json_array, "SELECT doc_id, text, lang, source, n_chars FROM documents"),
+    "json_columns": Query(_json_columns, "SELECT p_partkey, p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_retailprice FROM part"),
     "feather_overwrite": Query(_feather_overwrite, "SELECT * FROM orders WHERE o_orderkey % 3 = 0"),
     "feather_empty": Query(_feather_empty, "SELECT * FROM orders WHERE o_orderkey IS NULL"),
     "feather_pruned": Query(
