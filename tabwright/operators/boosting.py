@@ -23,13 +23,12 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.kinds import col, quoted
 from ..functions.missing import as_double
 from ..session import ship_package
-from .packed import add_arrays, drop_file, new_folder, pack, read_file, reduce_by_slot, unpack, write_file
+from .packed import add_arrays, drop_file, new_folder, pack, partial, read_file, reduce_by_slot, unpack, write_file
 
 #: Cuts of a feature at most; a bin is one byte.
 CUTS = 255
@@ -279,8 +278,7 @@ def train(df: DataFrame, features: list[str], sets: list[str], classes: int, s:
                         place = np.where(own >> slot // outputs & 1, place[trees[slot].leaf_of(x)], -1)
                         found = histograms(x, g[slot // outputs, slot % outputs], h[slot // outputs, slot % outputs], place, len(leaves), bins)
                         sums[slot] = sums[slot] + found if slot in sums else found
-            part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_pylist([{"slot": k, "part": part, "data": v.tobytes()} for k, v in sums.items()], pa.schema([("slot", pa.int64()), ("part", pa.int64()), ("data", pa.binary())]))
+            yield partial({k: v.tobytes() for k, v in sums.items()})
 
         def finish(slot: int, data: bytes) -> bytes:
             own = np.frombuffer(data, np.float64).reshape(-1, width, bins, 3)
@@ -296,7 +294,7 @@ def train(df: DataFrame, features: list[str], sets: list[str], classes: int, s:
                     drop_file(folder, f"h-{slot}-{done - 1}-{old}")
             return best_cuts(hist, s).tobytes()
 
-        found = reduce_by_slot(data.mapInArrow(count, "slot long, part long, data binary"), parts, add_arrays, finish)
+        found = reduce_by_slot(data, parts, count, add_arrays, finish)
         for slot, g in enumerate(growing):
             cuts = np.frombuffer(found.get(slot, b""), np.float64).reshape(-1, 9)
             leaves = counted[slot] + [w[1] for w in g.wanted if w[1] is not None]

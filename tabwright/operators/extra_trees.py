@@ -20,18 +20,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.kinds import col
 from ..functions.missing import as_double
 from ..session import ship_package
-from .packed import new_folder, pack, read_file, reduce_by_slot, unpack, write_file
+from .packed import new_folder, pack, partial, read_file, reduce_by_slot, unpack, write_file
 
-#: Trees whose sums meet in one task.
-TREES_AT_ONCE = 20
+#: Trees whose sums meet in one task, and rows of a block (each is handled for every tree).
+TREES_AT_ONCE, ROWS = 20, 1 << 11
 SETS = "__sets"
-PARTIAL = pa.schema([("slot", pa.int64()), ("part", pa.int64()), ("data", pa.binary())])
 
 
 @dataclass(frozen=True)
@@ -156,7 +154,7 @@ def train(df: DataFrame, features: list[str], sets: list[str], classes: int, s:
     names, width = tuple(features), len(features)
     width_sums = classes or 3
     most = max(1, int(math.sqrt(width))) if classes else width
-    data = pack(df.withColumn(SETS, F.expr(" + ".join(f"IF({c}, {1 << i}L, 0L)" for i, c in enumerate(sets)))), features, label, SETS)
+    data = pack(df.withColumn(SETS, F.expr(" + ".join(f"IF({c}, {1 << i}L, 0L)" for i, c in enumerate(sets)))), features, label, SETS, rows=ROWS)
     parts = data.rdd.getNumPartitions()
     folder = new_folder(df.sparkSession, "extra-trees")
     total = len(sets) * s.trees
@@ -188,10 +186,9 @@ def train(df: DataFrame, features: list[str], sets: list[str], classes: int, s:
                             held[slot] = [np.full((len(opened[t]), *shape), start) for t in trees]
                         for t, out in zip(trees, held[slot]):
                             add(slot, t, out, x, w, *places(t, x, own))
-            part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_pylist([{"slot": k, "part": part, "data": np.concatenate(v).tobytes()} for k, v in held.items()], PARTIAL)
+            yield partial({k: np.concatenate(v).tobytes() for k, v in held.items()})
 
-        return data.mapInArrow(run, "slot long, part long, data binary")
+        return run
 
     def extents(slot, tree, out, x, w, rows, place):
         """Sums of the rows, then the largest negative and the largest value of each feature."""
@@ -228,7 +225,7 @@ def train(df: DataFrame, features: list[str], sets: list[str], classes: int, s:
         return np.ascontiguousarray(rows[:, :width_sums]).tobytes()
 
     def grow(level: int) -> None:
-        found = reduce_by_slot(over_blocks((width_sums + 2 * width,), -np.inf, extents), parts, merge_extents, lambda slot, d: choose(level, slot, d))
+        found = reduce_by_slot(data, parts, over_blocks((width_sums + 2 * width,), -np.inf, extents), merge_extents, lambda slot, d: choose(level, slot, d))
         if level == 0:
             for slot, d in found.items():
                 for t, own in split_trees(slot, np.frombuffer(d, np.float64).reshape(-1, width_sums)):
@@ -265,7 +262,7 @@ def train(df: DataFrame, features: list[str], sets: list[str], classes: int, s:
                 out.append(np.column_stack([c[r, j, 0], c[r, j, 1], np.maximum(gain[r, j], 0), own[r, j]]))
             return np.concatenate(out).tobytes()
 
-        found = reduce_by_slot(over_blocks((most, width_sums), 0.0, lefts), parts, merge_lefts, decide)
+        found = reduce_by_slot(data, parts, over_blocks((most, width_sums), 0.0, lefts), merge_lefts, decide)
         for slot in range(len(groups)):
             rows = np.frombuffer(found.get(slot, b""), np.float64).reshape(-1, 3 + width_sums)
             for t, own in list(split_trees(slot, rows)):

@@ -1,0 +1,239 @@
+"""Support vector classification and regression with the RBF kernel, over landmark (Nystroem) features.
+
+Landmarks are rows. A first sample, by a hash of the features, gives every row an approximate ridge leverage: how badly its
+kernel function is explained by that sample. Rows are then drawn in proportion to it (smallest exponential keys), so
+that thinly covered regions get landmarks, too. A row's features are its kernel values with the landmarks, whitened;
+their inner products equal the kernel on the span of the landmarks. What is left over, the mean of
+k(x, x) - |features(x)|^2 over all rows, is reported as ``residual``.
+
+The primal problem, 1/2 |w|^2 + sum of losses with a free intercept, is solved by Newton steps on a smoothed hinge (or
+epsilon-insensitive) loss whose smoothing shrinks to ``SMOOTH[-1]``. One pass over packed blocks (see ``packed``) sums loss,
+gradient and curvature of all machines: every pair of classes (one against one, by votes) of every training set at once.
+Passes do not depend on classes, folds or rows; a task holds one block and (landmarks + 1)^2 numbers for each machine.
+
+A class that a training set lacks gets no vote where its pairs hold one class only; votes that tie go to the lower class.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, replace
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from ..functions.kinds import col, quoted
+from ..functions.missing import as_double
+from ..session import ship_package
+from .packed import add_arrays, pack, partial, reduce_by_slot, unpack
+
+#: Widths of the smoothed kink, one after the other, and Newton steps for each at most.
+SMOOTH, STEPS = (2.0, 0.3, 0.03, 0.001), 16
+#: Lengths that are tried along a Newton step, all in one pass.
+LENGTHS = np.array([2.0**-k for k in range(12)] + [0.0])
+SETS = "__sets"
+
+
+@dataclass(frozen=True)
+class Settings:
+    cost: float = 1.0
+    epsilon: float = 0.1  # of regression
+    landmarks: int = 128
+    gamma: float | None = None  # None: 1 / (features * variance of all cells)
+    seed: int = 42
+
+    def train(self, df: DataFrame, features: list[str], sets: list[str], classes: int) -> list[Machine]:
+        return train(df, features, sets, classes, self)
+
+    def sized(self, facts) -> Settings:
+        gamma = 1.0 / (len(facts.features) * facts.spread) if facts.spread > 0 else 1.0
+        return replace(self, landmarks=facts.landmarks, gamma=self.gamma or gamma)
+
+
+def kernel(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
+    d2 = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
+    return np.exp(-gamma * np.maximum(d2, 0))
+
+
+@dataclass
+class Space:
+    """Landmarks and the whitening of their kernel values."""
+
+    points: np.ndarray
+    gamma: float
+    whiten: np.ndarray
+
+    @classmethod
+    def over(cls, points: np.ndarray, gamma: float) -> Space:
+        values, vectors = np.linalg.eigh(kernel(points, points, gamma))
+        kept = values > 1e-10 * max(values.max(), 1e-300)
+        return cls(points, gamma, vectors[:, kept] / np.sqrt(values[kept]))
+
+    def map(self, x: np.ndarray) -> np.ndarray:
+        """Features of rows, and a one for the intercept."""
+        return np.column_stack([kernel(x, self.points, self.gamma) @ self.whiten, np.ones(len(x))])
+
+
+@dataclass
+class Machine:
+    features: tuple[str, ...]
+    classes: int  # 0: regression
+    space: Space
+    pairs: list[tuple[int, int]]
+    weights: np.ndarray  # a row for each pair; the last column is the intercept
+    residual: float
+
+    def decide(self, x: np.ndarray) -> np.ndarray:
+        return self.space.map(x) @ self.weights.T
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        d = self.decide(x)
+        if not self.classes:
+            return d[:, 0]
+        votes = np.zeros((len(x), max(self.classes, 1)))
+        for k, (a, b) in enumerate(self.pairs):
+            votes[np.arange(len(x)), np.where(d[:, k] > 0, b, a)] += 1
+        return votes.argmax(1).astype(np.float64)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` (without other columns of these names) with ``prediction``."""
+        ship_package(df.sparkSession)
+        kept = [c for c in df.columns if c not in ("features", "prediction")]
+        given = df.select(*[col(c) for c in kept], *[as_double(df, c).alias(f"__x{i}") for i, c in enumerate(self.features)])
+        width = len(kept)
+
+        def run(batches):
+            for batch in batches:
+                x = np.column_stack([batch.column(width + i).to_numpy(zero_copy_only=False) for i in range(len(self.features))])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(self.predict(x), pa.float64())], names=[*kept, "prediction"])
+
+        return given.mapInArrow(run, given.select(*[col(c) for c in kept]).schema.add("prediction", "double"))
+
+
+def choose_landmarks(df: DataFrame, features: list[str], s: Settings) -> np.ndarray:
+    """At most ``s.landmarks`` distinct rows, drawn by approximate ridge leverage."""
+    ship_package(df.sparkSession)
+    x = df.select(*[as_double(df, c).alias(f"x{i}") for i, c in enumerate(features)])
+    names = x.columns
+    key = F.xxhash64(*names, F.lit(s.seed))
+    first = np.array([tuple(r)[1:] for r in x.select(key.alias("h"), *names).distinct().orderBy("h").limit(s.landmarks).collect()], float).reshape(-1, len(names))
+    if len(first) < s.landmarks:
+        return first  # every row that is different is one
+    inverse = np.linalg.inv(kernel(first, first, s.gamma) + 1e-3 * np.eye(len(first)))
+
+    def leverage(batches):
+        for batch in batches:
+            points = np.column_stack([batch.column(i).to_numpy() for i in range(len(names))])
+            k = kernel(points, first, s.gamma)
+            left = np.maximum(1.0 - ((k @ inverse) * k).sum(1), 1e-6)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(left)], names=[*names, "leverage"])
+
+    schema = ", ".join(f"{n} double" for n in names) + ", leverage double"
+    u = (F.pmod(F.xxhash64(*names, F.lit(s.seed + 1)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    drawn = x.distinct().mapInArrow(leverage, schema).select(*names, (-F.log(u) / F.col("leverage")).alias("key"))
+    return np.array([tuple(r)[:-1] for r in drawn.orderBy("key", *names).limit(s.landmarks).collect()], float).reshape(-1, len(names))
+
+
+def losses(score: np.ndarray, y: np.ndarray, classes: int, epsilon: float, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loss of each row, and its first and second derivative by the score. ``y``: -1 or 1, or the number to be met."""
+    if classes:
+        t, sign = 1 - y * score, -y
+    else:
+        r = score - y
+        t, sign = np.abs(r) - epsilon, np.sign(r)
+    inside = (t > 0) & (t <= width)
+    loss = np.where(t <= 0, 0.0, np.where(inside, t * t / (2 * width), t - width / 2))
+    return loss, sign * np.clip(t / width, 0, 1), inside / width
+
+
+def train(df: DataFrame, features: list[str], sets: list[str], classes: int, s: Settings, label: str = "label") -> list[Machine]:
+    """A machine for each training set, given as SQL conditions on ``df`` (32 at most); all are solved side by side.
+
+    ``classes``: 0 for regression, else labels are 0 to classes - 1. Feature values must be present.
+    """
+    names, width = tuple(features), len(features)
+    if s.gamma is None:
+        row = df.select(*[F.var_pop(col(c)).alias(f"v{i}") for i, c in enumerate(features)], *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(features)]).first()
+        means = [row[f"m{i}"] or 0.0 for i in range(width)]
+        spread = float(np.mean([row[f"v{i}"] or 0.0 for i in range(width)]) + np.var(means))
+        s = replace(s, gamma=1.0 / (width * spread) if spread > 0 else 1.0)
+    space = Space.over(choose_landmarks(df, features, s), s.gamma)
+    pairs = list(combinations(range(max(classes, 2)), 2)) if classes else [(0, 0)]
+    marked = df.withColumn(SETS, F.expr(" + ".join(f"IF({c}, {1 << i}L, 0L)" for i, c in enumerate(sets))))
+    data = pack(marked, features, label, SETS)
+    parts = data.rdd.getNumPartitions()
+    machines = [(m, p) for m in range(len(sets)) for p in range(len(pairs))]
+    d = space.whiten.shape[1] + 1
+    start = _centres(df, sets, label) if not classes else [0.0] * len(sets)
+    weights = np.zeros((len(machines), d))
+    weights[:, -1] = [start[m] for m, _ in machines]
+
+    def over_rows(open_: np.ndarray, add) -> dict[int, np.ndarray]:
+        """The sums of ``add(features, y, machine)`` over the rows of each open machine."""
+
+        def count(batches):
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for _, x, y, own in unpack(batch, width):
+                    phi = space.map(x)
+                    for k in np.flatnonzero(open_).tolist():
+                        m, p = machines[k]
+                        a, b = pairs[p]
+                        rows = own >> m & 1 == 1
+                        if classes:
+                            rows &= (y == a) | (y == b)
+                        v = np.where(y[rows] == b, 1.0, -1.0) if classes else y[rows]
+                        found = add(phi[rows], v, k)
+                        sums[k] = sums[k] + found if k in sums else found
+            yield partial({k: v.tobytes() for k, v in sums.items()})
+
+        return {k: np.frombuffer(v, np.float64) for k, v in reduce_by_slot(data, parts, count, add_arrays, lambda _, v: v).items()}
+
+    penalty = np.r_[np.ones(d - 1), 1e-9]
+    residual = np.zeros(len(machines))
+    for smooth in SMOOTH:
+        open_, move = np.ones(len(machines), bool), np.zeros_like(weights)
+        for _ in range(STEPS):
+
+            def bend(f: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
+                """loss, rows, residual, gradient, curvature."""
+                loss, g, h = losses(f @ weights[k], v, classes, s.epsilon, smooth)
+                bent = h > 0
+                left = (1.0 - (f[:, :-1] ** 2).sum(1)).sum()
+                return np.concatenate([[loss.sum(), len(v), left], g @ f, ((f[bent] * h[bent, None]).T @ f[bent]).ravel()])
+
+            def along(f: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
+                a, b = f @ weights[k], f @ move[k]
+                return np.array([losses(a + t * b, v, classes, s.epsilon, smooth)[0].sum() for t in LENGTHS])
+
+            found = over_rows(open_, bend)
+            for k in np.flatnonzero(open_).tolist():
+                if k not in found:  # no row of these classes
+                    open_[k] = False
+                    continue
+                v = found[k]
+                residual[k] = v[2] / max(v[1], 1)
+                gradient = s.cost * v[3 : 3 + d] + penalty * weights[k]
+                curvature = s.cost * v[3 + d :].reshape(d, d) + np.diag(penalty)
+                curvature[-1, -1] += max(v[1], 1) * (1e-6 if curvature[-1, -1] > 1e-3 else 1.0)  # where no row is in the bend of the loss
+                move[k] = -np.linalg.solve(curvature, gradient)
+                value = s.cost * v[0] + 0.5 * (penalty * weights[k] ** 2).sum()
+                if -move[k] @ gradient < 1e-5 * max(abs(value), 1.0):
+                    open_[k] = False
+            if not open_.any():
+                break
+            tried = over_rows(open_, along)
+            for k in np.flatnonzero(open_).tolist():
+                moved = weights[k] + LENGTHS[:, None] * move[k]
+                best = int((s.cost * tried[k] + 0.5 * (penalty * moved**2).sum(1)).argmin())
+                open_[k] = LENGTHS[best] > 0
+                weights[k] = moved[best]
+    n = len(pairs)
+    return [Machine(names, classes, space, pairs, weights[m * n : (m + 1) * n], float(residual[m * n])) for m in range(len(sets))]
+
+
+def _centres(df: DataFrame, sets: list[str], label: str) -> list[float]:
+    """The mean label of each training set, from which the intercept starts."""
+    row = df.selectExpr(*[f"avg(CASE WHEN {c} THEN CAST({quoted(label)} AS DOUBLE) END)" for c in sets]).first()
+    return [v or 0.0 for v in row]

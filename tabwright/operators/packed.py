@@ -30,8 +30,12 @@ BLOCK = 1 << 15
 FAN_IN = 32
 
 
-def pack(df: DataFrame, features: list[str], label: str, sets: str, encode: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """(block, rows, x, y, sets): feature matrices (float64, or what ``encode`` makes of them), labels, and the training sets of each row as bits."""
+def pack(df: DataFrame, features: list[str], label: str, sets: str, encode: Callable[[np.ndarray], np.ndarray] | None = None, rows: int | None = None) -> DataFrame:
+    """(block, rows, x, y, sets): feature matrices (float64, or what ``encode`` makes of them), labels, and the training sets of each row as bits.
+
+    A block has ``rows`` rows at most. Blocks are dealt evenly over as many partitions, up to those of a shuffle.
+    """
+    most = rows or BLOCK
     ship_package(df.sparkSession)
     width = len(features)
 
@@ -46,9 +50,9 @@ def pack(df: DataFrame, features: list[str], label: str, sets: str, encode: Call
     def run(batches):
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                if size + part.num_rows > BLOCK:
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                if size + part.num_rows > most:
                     yield block(number, held)
                     number, held, size = number + 1, [], 0
                 held.append(part)
@@ -56,10 +60,10 @@ def pack(df: DataFrame, features: list[str], label: str, sets: str, encode: Call
         if size:
             yield block(number, held)
 
-    # Dealt evenly, so that a table of one small file is not one task; the rows that a learner reads are few columns.
-    spread = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = df.select(*[as_double(df, c).alias(c) for c in features], col(label).cast("double").alias(label), col(sets).cast("long").alias(sets)).repartition(spread)
-    return materialize(rows.mapInArrow(run, "block long, rows long, x binary, y binary, sets binary"), "blocks")
+    session = df.sparkSession
+    spread = min(-(-df.count() // most), max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))))
+    given = df.select(*[as_double(df, c).alias(c) for c in features], col(label).cast("double").alias(label), col(sets).cast("long").alias(sets)).repartition(max(1, spread))
+    return materialize(given.mapInArrow(run, "block long, rows long, x binary, y binary, sets binary"), "blocks")
 
 
 def unpack(batch: pa.RecordBatch, width: int, dtype=np.float64):
@@ -68,8 +72,30 @@ def unpack(batch: pa.RecordBatch, width: int, dtype=np.float64):
         yield number, np.frombuffer(x, dtype).reshape(rows, width), np.frombuffer(y, np.float64), np.frombuffer(sets, np.uint32)
 
 
-def reduce_by_slot(partials: DataFrame, parts: int, merge: Callable[[list[bytes]], bytes], finish: Callable[[int, bytes], bytes]) -> dict[int, bytes]:
-    """``finish`` of the merged partial results (slot, part, data) of each slot, by slot. Partial results are merged in order of their part, ``FAN_IN`` at most at a time."""
+PARTIAL = pa.schema([("slot", pa.int64()), ("part", pa.int64()), ("data", pa.binary())])
+
+
+def partial(sums: dict[int, bytes]) -> pa.RecordBatch:
+    """A task's partial results by slot."""
+    part = TaskContext.get().partitionId()
+    return pa.RecordBatch.from_pylist([{"slot": k, "part": part, "data": v} for k, v in sums.items()], PARTIAL)
+
+
+def reduce_by_slot(data: DataFrame, parts: int, count, merge: Callable[[list[bytes]], bytes], finish: Callable[[int, bytes], bytes]) -> dict[int, bytes]:
+    """``finish`` of the merged partial results of each slot, by slot.
+
+    ``count`` makes them (see ``partial``) of the packed blocks in the ``parts`` partitions of ``data``. They are merged in order of
+    their part, ``FAN_IN`` at most at a time; those of a single part need no shuffle.
+    """
+    if parts == 1:
+
+        def alone(batches):
+            for batch in count(batches):
+                made = [(slot, finish(slot, merge([own]))) for slot, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+                yield pa.record_batch([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], names=["slot", "data"])
+
+        return {r.slot: bytes(r.data) for r in data.mapInArrow(alone, "slot long, data binary").collect()}
+    partials = data.mapInArrow(count, "slot long, part long, data binary")
 
     def merged(table: pa.Table) -> list[bytes]:
         order = np.argsort(table.column("part").to_numpy(), kind="stable")

@@ -1,0 +1,80 @@
+"""Support vector machines against the exact dual on small tables."""
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from tabwright.operators import kernel_machines, models, packed
+from tabwright.operators.kernel_machines import Settings, kernel
+
+FEATURES = ["a", "b"]
+
+
+def table(n=80):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame(rng.normal(size=(n, 2)).round(3), columns=FEATURES)
+    pdf["y"] = (np.sin(2 * pdf.a) + 0.3 * pdf.b + 0.1 * rng.normal(size=n)).round(4)
+    pdf["two"] = (pdf.a * pdf.b > 0).astype(float)
+    pdf["three"] = np.digitize(pdf.a**2 + pdf.b**2, [0.8, 2.0]).astype(float)
+    pdf["part"] = np.arange(n) % 4
+    return pdf
+
+
+def dual(k, y, classes, s):
+    """The largest value of the dual, by pairwise ascent: what no primal value can be below."""
+    n = len(y)
+    low, high = (np.minimum(0, y * s.cost), np.maximum(0, y * s.cost)) if classes else (np.full(n, -s.cost), np.full(n, s.cost))
+    eps = 0.0 if classes else s.epsilon
+    b, g = np.zeros(n), -y.astype(float)
+    for _ in range(100_000):
+        up = np.where(b < high, -(g + eps * np.where(b >= 0, 1, -1)), -np.inf)
+        down = np.where(b > low, -(g + eps * np.where(b > 0, 1, -1)), np.inf)
+        i, j = up.argmax(), down.argmin()
+        if up[i] - down[j] < 1e-7:
+            break
+        step = min([(up[i] - down[j]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12), high[i] - b[i], b[j] - low[j]] + ([-b[i]] if b[i] < 0 else []) + ([b[j]] if b[j] > 0 else []))
+        b[i], b[j], g = b[i] + step, b[j] - step, g + step * (k[:, i] - k[:, j])
+    return -0.5 * b @ k @ b - eps * np.abs(b).sum() + y @ b
+
+
+@pytest.mark.parametrize("target, classes", [("y", 0), ("two", 2), ("three", 3)])
+def test_machines_reach_the_dual(spark, monkeypatch, target, classes):
+    monkeypatch.setattr(packed, "BLOCK", 30)
+    pdf = table()
+    s = Settings(gamma=0.7, landmarks=500)
+    fitted = kernel_machines.train(spark.createDataFrame(pdf), FEATURES, ["true", "part <> 2"], classes, s, target)
+    for m, kept in zip(fitted, (pdf, pdf[pdf.part != 2])):
+        assert abs(m.residual) < 1e-6  # every row is a landmark
+        x, label = kept[FEATURES].to_numpy(), kept[target].to_numpy()
+        for k, (a, b) in enumerate(m.pairs):
+            rows = (label == a) | (label == b) if classes else np.ones(len(label), bool)
+            y = np.where(label[rows] == b, 1.0, -1.0) if classes else label[rows]
+            score = m.decide(x[rows])[:, k]
+            loss = np.maximum(1 - y * score, 0) if classes else np.maximum(np.abs(score - y) - s.epsilon, 0)
+            primal = s.cost * loss.sum() + 0.5 * (m.weights[k, :-1] ** 2).sum()
+            best = dual(kernel(x[rows], x[rows], s.gamma), y, classes, s)
+            assert best - 1e-6 <= primal <= best * 1.02 + 0.05
+        if classes:
+            assert (m.predict(x) == label).mean() > 0.85
+
+
+def test_residual_falls_with_landmarks(spark):
+    df = spark.createDataFrame(table(300))
+    left = [kernel_machines.train(df, FEATURES, ["true"], 0, Settings(gamma=1.0, landmarks=k), "y")[0].residual for k in (5, 20, 80)]
+    assert left[0] > 2 * left[1] > 4 * left[2] >= 0
+    spread = kernel_machines.choose_landmarks(df, FEATURES, Settings(gamma=1.0, landmarks=20))
+    assert len(np.unique(spread, axis=0)) == 20
+
+
+def test_degenerate_tables(spark):
+    one = spark.createDataFrame([(1.0, 0.0), (1.0, 0.0)], "a double, label double")
+    assert kernel_machines.train(one, ["a"], ["true"], 1, Settings())[0].predict(np.array([[1.0]])).tolist() == [0.0]
+    r = kernel_machines.train(one.withColumn("label", one.a + 3), ["a"], ["true", "false"], 0, Settings())
+    assert r[0].predict(np.array([[1.0]]))[0] == pytest.approx(4.0, abs=0.11) and r[1].predict(np.array([[1.0]])).tolist() == [0.0]
+
+
+def test_machines_in_cross_validation(spark):
+    pdf = table(160).rename(columns={"part": "id"})
+    pdf["id"] = np.arange(160)
+    r = models.train_models(spark.createDataFrame(pdf[["id", *FEATURES, "y"]]), "y", "id", ["svr", "huber"], folds=3, landmarks=40).collect()
+    assert [x.error for x in r] == [None, None] and r[0].mean_score > 0.8
