@@ -142,7 +142,7 @@ def plain_extra_tree(x, y, classes, s, tree):
 
 @pytest.mark.parametrize("target, classes", [("y", 0), ("three", 3)])
 def test_extra_trees_equal_a_plain_version(spark, monkeypatch, target, classes):
-    monkeypatch.setattr(packed, "BLOCK", 31)
+    monkeypatch.setattr(extra_trees, "ROWS", 31)
     monkeypatch.setattr(packed, "FAN_IN", 2)
     monkeypatch.setattr(extra_trees, "TREES_AT_ONCE", 3)
     pdf = table(2)
