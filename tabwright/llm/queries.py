@@ -51,7 +51,9 @@ def personal_data(spark: SparkSession, sf: str) -> DataFrame:
 
 def preference_pairs(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    return preference_format.format_pairs(turns, preference_format.halved_answers(turns))
+    made = preference_format.format_pairs(turns, preference_format.worse_copies(turns))
+    spans = [F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["begin"], x["end"])), ",").alias(c) for c in ("chosen_spans", "rejected_spans")]
+    return made.select("conv_id", "piece", "prompt_turns", "prompt", "chosen", "rejected", *spans)
 
 
 def main_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,16 +150,25 @@ SELECT e.vec_id, coalesce(n.k,0)::BIGINT AS n_links, coalesce(c.m, e.vec_id) AS
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
 """
 
-PREFERENCE_SQL = """
-WITH l AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY 1),
-h AS (SELECT c.conv_id, turn, role, CASE WHEN turn = last AND role = 'assistant' THEN substring(text, 1, length(text)//2) ELSE text END AS text FROM conversations c LEFT JOIN l USING (conv_id)),
-o AS (SELECT 'a' AS side, conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations UNION ALL SELECT 'b', conv_id, turn, coalesce(role,''), coalesce(text,'') FROM h),
-t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY side, conv_id, turn ORDER BY role, text) AS r FROM o WHERE conv_id IS NOT NULL AND turn IS NOT NULL) WHERE r = 1),
+#: Lengths of rendered turns add up by a window; an answer's span leaves out its header and the line break behind its end mark.
+PREFERENCE_SQL = f"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations),
+l AS (SELECT conv_id, min(turn) AS first, max(turn) AS last FROM c WHERE role = 'assistant' GROUP BY 1),
+h AS (SELECT c.conv_id, turn, role, CASE WHEN role = 'assistant' AND ((c.conv_id % 5 = 0 AND turn = last) OR (c.conv_id % 5 = 1 AND turn = first)) THEN substring(text, 1, length(text)//2) ELSE text END AS text
+  FROM c LEFT JOIN l USING (conv_id) WHERE c.conv_id % 5 < 4 AND (c.conv_id % 5 <> 2 OR last IS NULL OR turn < last)
+  UNION ALL SELECT conv_id, max(turn) + 1, 'assistant', '...' FROM c WHERE conv_id % 5 = 3 GROUP BY 1),
+o AS (SELECT 'a' AS side, conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM c UNION ALL SELECT 'b', conv_id, turn, coalesce(role,''), coalesce(text,'') FROM h),
+t AS (SELECT * FROM o WHERE conv_id IS NOT NULL AND turn IS NOT NULL QUALIFY row_number() OVER (PARTITION BY side, conv_id, turn ORDER BY role, text) = 1),
 d AS (SELECT conv_id, turn, count(DISTINCT (role, text)) > 1 OR count(*) < 2 AS differs FROM t GROUP BY 1, 2),
-f AS (SELECT conv_id, min(turn) FILTER (WHERE differs) AS first FROM d GROUP BY 1),
-p AS (SELECT t.*, CASE WHEN coalesce(turn < first, true) THEN 'prompt' WHEN side = 'a' THEN 'chosen' ELSE 'rejected' END AS part FROM t JOIN f USING (conv_id))
-SELECT conv_id, part, turn, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS rendered, part <> 'prompt' AND role = 'assistant' AS target
-FROM p WHERE part <> 'prompt' OR side = 'a'
+f AS (SELECT conv_id, min(turn) FILTER (WHERE differs) AS fork, min(turn // {preference_format.PIECE}) AS lowest FROM d GROUP BY 1),
+p AS (SELECT conv_id, (turn // {preference_format.PIECE} - lowest)::BIGINT AS piece, turn, role, CASE WHEN coalesce(turn < fork, true) THEN 'prompt' WHEN side = 'a' THEN 'chosen' ELSE 'rejected' END AS part, side,
+  '<|' || role || '|>' || chr(10) AS head, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS x FROM t JOIN f USING (conv_id)),
+s AS (SELECT *, (sum(length(x)) OVER (PARTITION BY conv_id, piece, part ORDER BY turn))::BIGINT AS upto FROM p WHERE part <> 'prompt' OR side = 'a'),
+z AS (SELECT *, (upto - length(x) + length(head))::VARCHAR || ':' || (upto - 1)::VARCHAR AS span FROM s)
+SELECT conv_id, piece, count(*) FILTER (WHERE part = 'prompt')::BIGINT AS prompt_turns,
+  {", ".join(f"coalesce(string_agg(x, '' ORDER BY turn) FILTER (WHERE part = '{n}'), '') AS {n}" for n in ("prompt", "chosen", "rejected"))},
+  {", ".join(f"coalesce(string_agg(span, ',' ORDER BY turn) FILTER (WHERE part = '{n}' AND role = 'assistant'), '') AS {n}_spans" for n in ("chosen", "rejected"))}
+FROM z GROUP BY 1, 2
 """
 
 #: Every order is played through; the Shapley column is the plain sum over all of them.

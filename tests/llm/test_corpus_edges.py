@@ -376,12 +376,74 @@ def test_quality_sketches_merge(spark):
         assert abs(q1 - 750) <= 750 / 32 + 3
 
 
+def _rendered(turns):
+    """A completion and its spans, turn by turn."""
+    text, spans = "", []
+    for _, role, t in turns:
+        text += f"<|{role}|>\n"
+        begin = len(text)
+        text += t + "\n<|end|>"
+        if role == "assistant":
+            spans.append((begin, len(text)))
+        text += "\n"
+    return text, spans
+
+
+def _pair(a, b, piece):
+    """The rows of a pair of {turn: (role, text)} by a plain walk over its turns."""
+    every = sorted(set(a) | set(b))
+    fork = next((t for t in every if a.get(t) != b.get(t)), None)
+    out = {}
+    for n in {t // piece for t in every}:
+        own = [t for t in every if t // piece == n]
+        shared = [t for t in own if fork is None or t < fork]
+        later = [t for t in own if fork is not None and t >= fork]
+        c, r = (_rendered([(t, *s[t]) for t in later if t in s]) for s in (a, b))
+        out[n - every[0] // piece] = (_rendered([(t, *a[t]) for t in shared])[0], c[0], r[0], len(shared), c[1], r[1])
+    return out
+
+
+def _formatted(spark, a, b, **more):
+    schema = "conv_id long, turn long, role string, text string, part string, piece long"
+    a, b = ([(*r, "x", 7) for r in side] for side in (a, b))
+    out = preference_format.format_pairs(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), **more).collect()
+    got = {}
+    for r in out:
+        spans = [[(s.begin, s.end) for s in c] for c in (r.chosen_spans, r.rejected_spans)]
+        got.setdefault(r.conv_id, {})[r.piece] = (r.prompt, r.chosen, r.rejected, r.prompt_turns, *spans)
+    assert sum(map(len, got.values())) == len(out)
+    return got
+
+
 def test_preference_pairs(spark):
-    schema = "conv_id long, turn long, role string, text string, part string"
-    a = [(1, 0, "user", "q", "x"), (1, 1, "assistant", "good", "x"), (1, 2, "user", None, "x"), (2, 0, None, "same", "x"), (2, 0, None, "same", "x"), (None, 0, "user", "q", "x"), (3, None, "user", "q", "x"), (4, 0, "user", "q", "x")]
-    b = [(1, 0, "user", "q", "x"), (1, 1, "assistant", "bad", "x"), (2, 0, None, "same", "x"), (4, 0, "user", "q", "x"), (4, 1, "assistant", "more", "x")]
-    out = preference_format.format_pairs(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).collect()
-    got = sorted((r.conv_id, r.part, r.turn, r.target) for r in out)
-    assert got == [(1, "chosen", 1, True), (1, "chosen", 2, False), (1, "prompt", 0, False), (1, "rejected", 1, True), (2, "prompt", 0, False), (4, "prompt", 0, False), (4, "rejected", 1, True)]
-    none = spark.createDataFrame([], schema)
-    assert preference_format.format_pairs(none, none).count() == 0
+    a = [(1, 0, "user", "q"), (1, 1, "assistant", "good"), (1, 2, "user", None), (2, 0, None, "same"), (2, 0, None, "same"), (None, 0, "user", "q"), (3, None, "user", "q"), (4, 0, "user", "q"), (5, 0, "user", "only here")]
+    b = [(1, 0, "user", "q"), (1, 1, "assistant", "bad"), (2, 0, None, "same"), (4, 0, "user", "q"), (4, 1, "assistant", "more"), (6, 0, "user", "z"), (6, 0, "user", "a")]
+    got = _formatted(spark, a, b)
+    user = "<|user|>\nq\n<|end|>\n"
+    good = "<|assistant|>\ngood\n<|end|>\n<|user|>\n\n<|end|>\n"
+    assert got[1] == {0: (user, good, "<|assistant|>\nbad\n<|end|>\n", 1, [(14, 26)], [(14, 25)])}
+    assert good[14:26] == "good\n<|end|>"
+    assert got[2] == {0: ("<||>\nsame\n<|end|>\n", "", "", 1, [], [])}
+    assert got[4] == {0: (user, "", "<|assistant|>\nmore\n<|end|>\n", 1, [], [(14, 26)])}
+    assert got[5][0][:3] == ("", "<|user|>\nonly here\n<|end|>\n", "")
+    assert got[6][0][:3] == ("", "", "<|user|>\na\n<|end|>\n")  # two rows for one turn: the least counts
+    assert set(got) == {1, 2, 4, 5, 6}
+    assert _formatted(spark, [], []) == {}
+
+
+def test_preference_pairs_in_pieces(spark):
+    rng = random.Random(3)
+    sides = {"a": {}, "b": {}}
+    for conv in range(40):
+        start, n, fork = rng.randrange(-9, 9), rng.randrange(1, 30), rng.randrange(0, 32)
+        for t in range(n):
+            turn = (rng.choice(["user", "assistant", "tool"]), rng.choice(["", "x", "longer \U0001f600 text", "y" * 500]))
+            sides["a"].setdefault(conv, {})[start + t] = turn
+            if t < fork:
+                sides["b"].setdefault(conv, {})[start + t] = turn
+            elif rng.random() < 0.6:  # rejected sides with gaps
+                sides["b"].setdefault(conv, {})[start + t] = ("assistant", rng.choice(["x", "worse"]))
+    rows = {s: [(c, t, *x) for c, turns in of.items() for t, x in turns.items()] for s, of in sides.items()}
+    got = _formatted(spark, rows["a"], rows["b"], piece=4)
+    assert got == {c: _pair(sides["a"][c], sides["b"].get(c, {}), 4) for c in sides["a"]}
+    assert max(len(p) for p in got.values()) > 4
