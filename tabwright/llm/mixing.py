@@ -85,10 +85,11 @@ def borders(keys: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX
     size, whole = F.col("source_size"), F.floor("target").cast("bigint")
     sources = sources.select("*", F.when(size > 0, F.expr("CAST(floor(target) AS BIGINT) div source_size")).otherwise(F.lit(0)).cast("bigint").alias("epochs"))
     sources = sources.withColumn("rest", whole - F.col("epochs") * size)
-    start = _small(pieces.select(F.col("__source").alias("s1"), F.col("p").alias("p1"), "start"))
-    # Only pieces that hold a border are summed row by row.
-    placed = ranged.join(start, F.col("__source").eqNullSafe(F.col("s1")) & (F.col("p") == F.col("p1")))
-    placed = placed.join(_small(sources.select(F.col("__source").alias("s2"), "rest")), F.col("__source").eqNullSafe(F.col("s2")))
+    # Only the pieces that hold a border, one for each source at most, are summed row by row.
+    rests = _small(sources.select(F.col("__source").alias("s2"), "rest"))
+    cut = pieces.join(rests, F.col("__source").eqNullSafe(F.col("s2"))).where((F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("start") + F.col("piece")))
+    cut = _small(cut.select(F.col("__source").alias("s1"), F.col("p").alias("p1"), "start", "rest"))
+    placed = ranged.join(cut, F.col("__source").eqNullSafe(F.col("s1")) & (F.col("p") == F.col("p1")))
     upto = F.col("start") + F.sum("all").over(Window.partitionBy("__source", "p").orderBy("slot"))
     border = placed.withColumn("upto", upto).where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("all") <= F.col("rest")))
     border = border.groupBy("__source").agg(
