@@ -181,6 +181,54 @@ def test_personal_data(spark, docs, empty):
     assert pii.find_spans(empty, pii.fit(empty)).count() == 0
 
 
+WIDE_SPANS = [
+    ("email", "write to jane AT x DOT org now", "jane AT x DOT org"),
+    ("email", "mail joe.b [at] mail (dot) example (dot) com.", "joe.b [at] mail (dot) example (dot) com"),
+    ("email", "a_b (at) example.com, please", "a_b (at) example.com"),
+    ("ip", "host 2001:db8::1 is up", "2001:db8::1"),
+    ("ip", "server fe80::1", "fe80::1"),
+    ("ip", "[::1]", "::1"),
+    ("ip", "at 2001:0db8:0000:0000:0000:ff00:0042:8329.", "2001:0db8:0000:0000:0000:ff00:0042:8329"),
+    ("phone", "call (555) 123-4567 today", "(555) 123-4567"),
+    ("phone", "tel 0044 20 7946 0958", "0044 20 7946 0958"),
+    ("card", "visa 4111/1111/1111/1111", "4111/1111/1111/1111"),
+]
+
+
+def test_personal_data_wider_spans():
+    for kind, text, want in WIDE_SPANS:
+        found = {k: [text[a:b] for a, b in v] for k, v in pii.wide_spans(text, pii.base_spans(text)).items()}
+        assert found == {k: [want] if k == kind else [] for k in pii.KINDS}, text
+    for clean in ("look at example.com", "we met at noon on a dot", "std::string and a::b::c", "ratio 3:4 at 12:30:45", "x::y", "join us at the dot"):
+        assert not any(pii.wide_spans(clean, pii.base_spans(clean)).values()), clean
+
+
+def test_personal_data_wider_spans_are_reported(spark):
+    """Trained on a corpus of plain spans and wider ones, the classifier reports each wider one where it stands."""
+    plain = ["mail ann@example.com or call +44 20 7946 0958", "server 10.1.2.3 is up", "card 4111 1111 1111 1111 please", "nothing to see at all"]
+    rows = [(k, t) for k, t in enumerate(plain * 40 + [t for _, t, _ in WIDE_SPANS] * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_spans(df, pii.fit(df)).collect()}
+    for k, t in rows[160:]:
+        kind, _, want = next(w for w in WIDE_SPANS if w[1] == t)
+        a = t.index(want)
+        assert got[k].spans == f"{kind}:{a}:{a + len(want)}" and got[k].base_spans == "", t
+    assert all(got[k].spans == got[k].base_spans and bool(got[k].spans) == (k % 4 < 3) for k in range(160))
+
+
+def test_personal_data_overlaps_as_by_comparing_all():
+    rng = random.Random(8)
+    parts = ["10.1.2.3", "+44 20 7946 0958", "(555) 123-4567", "a@b.com", "x [at] y [dot] org", "4111/1111/1111/1111", "2001:db8::1", "4111 1111 1111 1111", "7", " ", ", ", "-"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 12)))
+        base = pii.base_spans(text)
+        taken = [s for v in base.values() for s in v]
+        want = {k: [m.span() for m in p.finditer(text) if not any(a < m.end() and m.start() < b for a, b in taken)] for k, p in pii.WIDE.items()}
+        assert pii.wide_spans(text, base) == {k: want[k] for k in pii.KINDS}
+    long = " ".join(f"u{k}@example.com (555) 123-{k % 10000:04d}" for k in range(20_000))
+    assert len(pii.wide_spans(long, pii.base_spans(long))["phone"]) == 20_000  # minutes where all spans are compared
+
+
 def test_personal_data_labelers_are_weighed():
     v = np.array([(1, 1, 1, 0, 1), (0, 1, 1, 1, 1), (0, -1, -1, -1, 1), (0, 1, -1, 0, -1)])
     real, reliable = pii.expectation_maximisation(v, np.array([500.0, 40.0, 60.0, 5.0]))
