@@ -23,10 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.kinds import col
-from ..functions.missing import as_double
-from ..session import ship_package
-from .packed import new_folder, pack, read_file, reduce_by_slot, unpack, write_file
+from .packed import new_folder, pack, read_file, reduce_by_slot, unpack, with_prediction, write_file
 
 #: Trees whose sums meet in one task.
 TREES_AT_ONCE = 20
@@ -99,17 +96,7 @@ class Forest:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` (without other columns of these names) with ``prediction``."""
-        ship_package(df.sparkSession)
-        kept = [c for c in df.columns if c not in ("features", "prediction")]
-        given = df.select(*[col(c) for c in kept], *[as_double(df, c).alias(f"__x{i}") for i, c in enumerate(self.features)])
-        width = len(kept)
-
-        def run(batches):
-            for batch in batches:
-                x = np.column_stack([batch.column(width + i).to_numpy(zero_copy_only=False) for i in range(len(self.features))])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(self.predict(x), pa.float64())], names=[*kept, "prediction"])
-
-        return given.mapInArrow(run, given.select(*[col(c) for c in kept]).schema.add("prediction", "double"))
+        return with_prediction(df, self.features, self.predict)
 
 
 def draw(*keys) -> np.ndarray:

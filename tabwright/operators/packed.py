@@ -68,6 +68,21 @@ def unpack(batch: pa.RecordBatch, width: int, dtype=np.float64):
         yield number, np.frombuffer(x, dtype).reshape(rows, width), np.frombuffer(y, np.float64), np.frombuffer(sets, np.uint32)
 
 
+def with_prediction(df: DataFrame, features: tuple[str, ...], predict: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``df`` (without other columns of these names) with ``prediction``, made from matrices of the features."""
+    ship_package(df.sparkSession)
+    kept = [c for c in df.columns if c not in ("features", "prediction")]
+    given = df.select(*[col(c) for c in kept], *[as_double(df, c).alias(f"__x{i}") for i, c in enumerate(features)])
+    width = len(kept)
+
+    def run(batches):
+        for batch in batches:
+            x = np.column_stack([batch.column(width + i).to_numpy(zero_copy_only=False) for i in range(len(features))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(predict(x), pa.float64())], names=[*kept, "prediction"])
+
+    return given.mapInArrow(run, given.select(*[col(c) for c in kept]).schema.add("prediction", "double"))
+
+
 def reduce_by_slot(partials: DataFrame, parts: int, merge: Callable[[list[bytes]], bytes], finish: Callable[[int, bytes], bytes]) -> dict[int, bytes]:
     """``finish`` of the merged partial results (slot, part, data) of each slot, by slot. Partial results are merged in order of their part, ``FAN_IN`` at most at a time."""
 

@@ -142,6 +142,28 @@ def _two_features(spark, sf, names, k):
     return ops.train_models(df, "value", "event_id", names, k)
 
 
+#: Targets that follow from a number and a text.
+_BANDS = "CASE WHEN o_totalprice > 300000 OR left(o_orderpriority, 1) = '1' THEN 'high' WHEN o_totalprice > 100000 THEN 'middle' ELSE 'low' END"
+_SLOPE = "o_totalprice / 100000 + 0.5 * (length(o_orderpriority) - 8) * (length(o_orderpriority) - 8) / 4"
+
+
+def _mixed(spark, sf, target):
+    """Numbers, texts and gaps with a target that follows from them."""
+    return table(spark, sf, "orders").selectExpr("o_orderkey", "o_totalprice", "o_orderpriority", "length(o_orderpriority) AS width", "IF(o_custkey % 7 = 0, NULL, o_custkey) AS customer", "o_orderstatus", f"{target} AS target")
+
+
+def _learned(results, score, least):
+    """What can be checked of trained models: which ones, none failed, scores on the held-out rows and in the folds."""
+    return results.selectExpr("model", "task_type", "error IS NULL AS trained", f"coalesce({score} > {least}, false) AS learned", f"coalesce(cv_mean > {least}, false) AS folds_learned")
+
+
+def _learned_sql(names, task):
+    return union_all(f"SELECT '{n}' AS model, '{task}' AS task_type, true AS trained, true AS learned, true AS folds_learned" for n in names)
+
+
+_CLASS_MODELS = ("random_forest", "logistic_regression", "mlp")
+_NUMBER_MODELS = ("random_forest", "mlp")
+
 QUERIES = {
     "detect_task": Query(
         lambda s, d: ops.detect_task(table(s, d, "orders"), "o_orderstatus"),
@@ -231,6 +253,14 @@ SELECT 'x' AS term, round(w,3) AS value FROM b UNION ALL SELECT 'intercept', rou
     "svm": Query(lambda s, d: _page(s, d, ["svm"])),
     "svr": Query(lambda s, d: _reg(s, d, ["svr"], 5)),
     "mlp": Query(lambda s, d: _page(s, d, ["mlp"])),
+    "mlp_regress": Query(lambda s, d: _reg(s, d, ["mlp"], 5)),
+    # Page-style training on text and gaps: three classes, the largest of which has about half of the rows, and a curved number.
+    "models_learn_classes": Query(
+        lambda s, d: _learned(ops.train_on_split(_mixed(s, d, _BANDS), "target", "o_orderkey", list(_CLASS_MODELS)), "accuracy", 0.7), _learned_sql(_CLASS_MODELS, "classification")
+    ),
+    "models_learn_numbers": Query(
+        lambda s, d: _learned(ops.train_on_split(_mixed(s, d, _SLOPE), "target", "o_orderkey", list(_NUMBER_MODELS)), "r2", 0.9), _learned_sql(_NUMBER_MODELS, "regression")
+    ),
     "knn_cross_validated": Query(lambda s, d: _reg(s, d, ["knn"], 5)),
     "model_ranking": Query(
         lambda s, d: ops.compare_models(_two_features(s, d, ["linear_regression", "ridge", "no_such_model"], 5)).select("rank", "model", "mean_score"),
