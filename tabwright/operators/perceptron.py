@@ -155,7 +155,13 @@ def train(df: DataFrame, features: list[str], sets: list[str], s: Settings = Set
                 yield pa.record_batch([pa.array(list(total)), pa.array([at] * len(total)), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["slot", "part", "data"])
 
         partials = data.mapInArrow(run, "slot long, part long, data binary")
-        found = packed.reduce_by_slot(partials, parts, packed.add_arrays, lambda slot, d: d)
+        if parts <= packed.FAN_IN:  # what the last step would add up in one task: a shuffle less for each pass
+            by_model: dict[int, list[bytes]] = {}
+            for r in sorted(partials.collect(), key=lambda r: (r.slot, r.part)):
+                by_model.setdefault(r.slot, []).append(bytes(r.data))
+            found = {m: packed.add_arrays(d) for m, d in by_model.items()}
+        else:
+            found = packed.reduce_by_slot(partials, parts, packed.add_arrays, lambda slot, d: d)
         return {m: np.frombuffer(d, np.float64) for m, d in found.items()}
 
     def moments(power: int, centre: np.ndarray):

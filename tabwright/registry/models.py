@@ -161,9 +161,6 @@ def _learned_sql(names, task):
     return union_all(f"SELECT '{n}' AS model, '{task}' AS task_type, true AS trained, true AS learned, true AS folds_learned" for n in names)
 
 
-_CLASS_MODELS = ("random_forest", "logistic_regression", "mlp")
-_NUMBER_MODELS = ("random_forest", "mlp")
-
 QUERIES = {
     "detect_task": Query(
         lambda s, d: ops.detect_task(table(s, d, "orders"), "o_orderstatus"),
@@ -253,14 +250,11 @@ SELECT 'x' AS term, round(w,3) AS value FROM b UNION ALL SELECT 'intercept', rou
     "svm": Query(lambda s, d: _page(s, d, ["svm"])),
     "svr": Query(lambda s, d: _reg(s, d, ["svr"], 5)),
     "mlp": Query(lambda s, d: _page(s, d, ["mlp"])),
-    "mlp_regress": Query(lambda s, d: _reg(s, d, ["mlp"], 5)),
     # Page-style training on text and gaps: three classes, the largest of which has about half of the rows, and a curved number.
-    "models_learn_classes": Query(
-        lambda s, d: _learned(ops.train_on_split(_mixed(s, d, _BANDS), "target", "o_orderkey", list(_CLASS_MODELS)), "accuracy", 0.7), _learned_sql(_CLASS_MODELS, "classification")
-    ),
-    "models_learn_numbers": Query(
-        lambda s, d: _learned(ops.train_on_split(_mixed(s, d, _SLOPE), "target", "o_orderkey", list(_NUMBER_MODELS)), "r2", 0.9), _learned_sql(_NUMBER_MODELS, "regression")
+    "logistic_learns_bands": Query(
+        lambda s, d: _learned(ops.train_on_split(_mixed(s, d, _BANDS), "target", "o_orderkey", ["logistic_regression"]), "accuracy", 0.7), _learned_sql(["logistic_regression"], "classification")
     ),
+    "mlp_regress": Query(lambda s, d: _learned(ops.train_on_split(_mixed(s, d, _SLOPE), "target", "o_orderkey", ["mlp"]), "r2", 0.9), _learned_sql(["mlp"], "regression")),
     "knn_cross_validated": Query(lambda s, d: _reg(s, d, ["knn"], 5)),
     "model_ranking": Query(
         lambda s, d: ops.compare_models(_two_features(s, d, ["linear_regression", "ridge", "no_such_model"], 5)).select("rank", "model", "mean_score"),
