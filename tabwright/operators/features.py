@@ -180,14 +180,18 @@ def skewness_of(df: DataFrame, names: list[str]) -> dict[str, float | None]:
     return out
 
 
-def fit_log_transform(df: DataFrame, columns: list[str] | None = None, exclude: list[str] = ()) -> LogColumns:
-    """log1p of strongly skewed (> 2), all-positive columns; named columns only need the sign."""
+def fit_log_transform(df: DataFrame, columns: list[str] | None = None, exclude: list[str] = (), always: bool = False) -> LogColumns:
+    """log1p of strongly skewed (> 2), all-positive columns; named columns only need the sign.
+
+    ``always``: named columns whatever their signs, so that the result's columns don't depend on the rows; missing
+    values, and those up to -1, have no logarithm.
+    """
     if columns is None:
         skew = skewness_of(df, [c for c in numeric_columns(df) if c not in exclude])
         columns = [c for c, s in skew.items() if s is not None and s > 2]
     columns = [c for c in columns if c in df.columns]
-    positive = all_positive(df, columns)
-    chosen = tuple(c for c in columns if positive[c])
+    positive = {} if always else all_positive(df, columns)
+    chosen = tuple(c for c in columns if always or positive[c])
     return LogColumns(chosen, entries=tuple(("log_transform", f"{c}_log", "created", 1.0, None) for c in chosen))
 
 

@@ -146,6 +146,21 @@ def test_log_transform_needs_positive_values(frame):
     assert skew["a"] == pytest.approx(pd.Series([1, 1, 1, 500.0]).skew()) and skew["b"] == pytest.approx(0.0)
 
 
+def test_log_transform_of_named_columns_whatever_their_signs(frame):
+    df = frame("a double, b double", (0.0, 1.0), (None, -1.0), (1.0, -2.0))
+    plan = features.fit_log_transform(df, ["a", "b"], always=True)
+    assert plan.columns == ("a", "b")
+    assert [r[2:] for r in rows(plan.transform(df))] == [(0.0, pytest.approx(math.log(2))), (None, None), (pytest.approx(math.log(2)), None)]
+
+
+def test_log_transform_query_with_a_value_of_zero(spark, tmp_path):
+    from tabwright.registry.features import QUERIES
+
+    spark.sql("SELECT id AS event_id, IF(id = 3, NULL, CAST(id AS DOUBLE)) AS value FROM range(5)").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(rows(QUERIES["log_transform"].run(spark, str(tmp_path))))
+    assert got == [(i, None if i == 3 else pytest.approx(math.log1p(i), abs=1e-6)) for i in range(5)]
+
+
 def test_low_variance_and_high_correlation(frame):
     df = frame("k int, a double, b double, c double, d double", *[(i, float(i), i * 2.0, i * 3.0 + (i % 2), 0.001 * (i % 2)) for i in range(10)])
     assert features.fit_drop_low_variance(df).columns == ("d",)
