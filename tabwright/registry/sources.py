@@ -57,9 +57,21 @@ def _documents(suffix, write):
 _DOCUMENTS = """SELECT doc_id, 'say "' || text || '",' || chr(9) || 'end' || chr(10) || 'of it' AS text, lang, source, n_chars FROM documents"""
 
 
+#: Bytes in a range at least and at most.
+SMALL, LARGE = 1 << 15, 1 << 25
+#: Records in a JSON array and rows in a JSON object of columns at most.
+ARRAY, OBJECT = 1 << 10, 1 << 17
+
+
+def _range_size(total):
+    """Bytes in a range: a 64th of all, so that their number doesn't grow with a table until they are large enough for a task."""
+    return min(max(SMALL, total // 64), LARGE)
+
+
 @contextmanager
-def _ranges(spark, size):
-    """Files are read in ranges of about ``size`` bytes."""
+def _ranges(spark, path):
+    """Files are read in ranges: more than 8 even at the smallest scale, of up to 32 MB at large ones."""
+    size = _range_size(spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0)
     names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
     kept = [spark.conf.get(n) for n in names]
     for n in names:
@@ -72,32 +84,36 @@ def _ranges(spark, size):
 
 
 def _csv_split(spark, sf):
-    """One file whose cells hold line breaks, read in ranges: more than 8 even at the smallest scale."""
+    """Files whose cells hold line breaks, one for each partition of the table, read in ranges."""
     path = _path(spark, ".csv")
     quoted = table(spark, sf, "documents").withColumn("text", F.concat(F.lit('say "'), F.col("text"), F.lit('",\tend\nof it')))
-    writers.write_csv(quoted, path, single_file=True)
-    with _ranges(spark, 1 << 15):
+    writers.write_csv(quoted, path)
+    with _ranges(spark, path):
         return materialize(readers.load(spark, path), "read")
 
 
 def _json_array(spark, sf):
-    """Arrays of records, one for each partition of the table, each on a single line and read in ranges."""
+    """Arrays of records, each on a single line and of a bounded number of neighbouring rows, read in ranges."""
     path = _path(spark, ".json")
-    rows = table(spark, sf, "documents").select(F.spark_partition_id().alias("p"), F.to_json(F.struct("doc_id", "text", "lang", "source", "n_chars")).alias("r"))
+    place = F.monotonically_increasing_id()
+    rows = table(spark, sf, "documents").select((place / ARRAY).cast("long").alias("p"), F.to_json(F.struct("doc_id", "text", "lang", "source", "n_chars")).alias("r"))
     rows.groupBy("p").agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ", "), F.lit("]")).alias("value")).select("value").write.text(path)
-    with _ranges(spark, 1 << 15):
+    with _ranges(spark, path):
         return materialize(readers.read_json(spark, path, orient="records"), "read").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _json_columns(spark, sf):
-    """A table as one object of columns, by row label, read in ranges."""
+    """A table as objects of columns, by row label, read in ranges: one file up to a bounded number of rows, then several with their own labels."""
     path = _path(spark, ".json")
     names = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+    parts = table(spark, sf, "part")
+    files = -(-parts.count() // OBJECT) or 1
     cell = lambda c: F.struct(F.lit(c).alias("c"), F.regexp_replace(F.to_json(F.struct(F.col(c).alias("x"))), r'^\{"x":|\}$', "").alias("v"))
-    cells = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.explode(F.array(*[cell(c) for c in names])).alias("x"))
-    columns = cells.groupBy("x.c").agg(F.concat(F.lit('"'), F.first("x.c"), F.lit('": {'), F.array_join(F.collect_list(F.concat(F.lit('"'), "k", F.lit('": '), "x.v")), ", "), F.lit("}")).alias("v"))
-    columns.agg(F.concat(F.lit("{"), F.array_join(F.collect_list("v"), ", "), F.lit("}")).alias("value")).select("value").write.text(path)
-    with _ranges(spark, 1 << 15):
+    cells = parts.select(F.pmod(F.xxhash64("p_partkey"), F.lit(files)).alias("file"), F.col("p_partkey").alias("k"), F.explode(F.array(*[cell(c) for c in names])).alias("x"))
+    columns = cells.groupBy("file", "x.c").agg(F.concat(F.lit('"'), F.first("x.c"), F.lit('": {'), F.array_join(F.collect_list(F.concat(F.lit('"'), "k", F.lit('": '), "x.v")), ", "), F.lit("}")).alias("v"))
+    objects = columns.groupBy("file").agg(F.concat(F.lit("{"), F.array_join(F.collect_list("v"), ", "), F.lit("}")).alias("value"))
+    objects.write.partitionBy("file").text(path)
+    with _ranges(spark, path):
         return materialize(readers.read_json(spark, path, orient="columns"), "read").select(*names)
 
 
@@ -115,9 +131,15 @@ def _feather_empty(spark, sf):
     return readers.load(spark, path)
 
 
+def _files_of(df):
+    """Files for a table: four, or as many as its scan has tasks, so that none grows with the table."""
+    return max(4, df.rdd.getNumPartitions())
+
+
 def _feather_pruned(spark, sf):
     path = _path(spark, ".feather")
-    writers.write_feather(table(spark, sf, "lineitem").repartition(4), path)
+    lines = table(spark, sf, "lineitem")
+    writers.write_feather(lines.repartition(_files_of(lines)), path)
     df = readers.read_feather(spark, path, ["l_returnflag", "l_quantity"])
     return df.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 

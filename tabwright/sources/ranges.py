@@ -163,7 +163,8 @@ def _json_parts(spark: SparkSession, path, delimiter: str, done) -> DataFrame:
 def json_array_records(spark: SparkSession, path) -> DataFrame:
     """(record): the objects of JSON arrays of objects, each as one line."""
     found = _json_parts(spark, path, "}", lambda depth: depth == 1)
-    clean = F.regexp_replace("record", r"(?s)^[\x01\s\[,]*", "")
+    # Brackets in front may end an array before this one, as a file may hold several.
+    clean = F.regexp_replace("record", r"(?s)^[\x01\s\[\],]*", "")
     inner = F.concat(F.regexp_replace(clean, r"[\r\n]", " "), F.lit("}"))
     return found.where(~F.col("record").rlike(r"(?s)^[\x01\s\[\],]*$")).select(inner.alias("record"))
 

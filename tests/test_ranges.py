@@ -120,3 +120,36 @@ def test_orientation_of_json(spark, tmp_path):
     (tmp_path / "x.json").write_text("no table")
     with pytest.raises(ValueError):
         readers.load(spark, str(tmp_path / "x.json"))
+
+
+def test_a_file_of_several_json_arrays_on_lines_of_their_own(spark, tiny, tmp_path):
+    rows = [{"a": i, "t": "]\n[{" * (i % 3)} for i in range(9)]
+    (tmp_path / "x.json").write_text("\n".join(json.dumps(rows[i : i + 3]) for i in (0, 3, 6)) + "\n")
+    tiny(25)
+    got = sorted((tuple(r) for r in readers.read_json(spark, str(tmp_path / "x.json"), orient="records").select("a", "t").collect()))
+    assert got == [(r["a"], r["t"]) for r in rows]
+
+
+def test_ranges_grow_with_the_files_up_to_a_bound():
+    from tabwright.registry import sources
+
+    assert sources._range_size(200_000) == 1 << 15
+    assert sources._range_size(1 << 30) == 1 << 24
+    assert sources._range_size(6 << 30) == 1 << 25
+
+
+def test_columns_in_several_files_and_arrays_of_few_records(spark, sf, monkeypatch):
+    from tabwright.registry import sources
+
+    monkeypatch.setattr(sources, "OBJECT", 60)
+    monkeypatch.setattr(sources, "ARRAY", 16)
+    for name, table, key in (("json_columns", "part", "p_partkey"), ("json_array_split", "documents", "doc_id")):
+        got, want = sources.QUERIES[name].run(spark, sf), spark.read.parquet(f"{sf}/{table}.parquet")
+        assert got.count() == want.count() and got.select(key).exceptAll(want.select(key)).count() == 0
+
+
+def test_pruned_feather_has_as_many_files_as_the_scan_has_tasks(spark):
+    from tabwright.registry import sources
+
+    assert sources._files_of(spark.range(10, numPartitions=1)) == 4
+    assert sources._files_of(spark.range(90, numPartitions=9)) == 9
