@@ -171,3 +171,15 @@ def test_joint_learners_in_cross_validation(spark, name, target):
     assert r.error is None and (r.accuracy if target == "three" else r.r2) > 0.4 and r.cv_mean > 0.4
     top = models.feature_importance(df, target, "id", name, rounds=2, trees=3, depth=3).collect()
     assert len(top) == 3 and 0.99 < sum(t.importance for t in top) < 1.01
+
+
+def test_all_rounds_of_boosting_are_one_job(spark):
+    df = spark.createDataFrame(table(n=60))
+    jobs = []
+    for rounds in (1, 4):
+        group = f"boosting-{rounds}"
+        spark.sparkContext.setJobGroup(group, group)
+        boosting.train(df, FEATURES, ["true"], 0, boosting.Settings(rounds=rounds, depth=2), "y")
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
