@@ -202,3 +202,13 @@ def test_knn_with_fewer_points_than_k(frame):
     test = frame("id int, x double", (9, 0.2))
     assert rows(knn.knn_predict(train, test, ["x"], "id", "id", "y", "regression")) == [(9, 1.5)]
     assert rows(knn.knn_predict(train, test, ["x"], "id", "id", "y", "classification")) == [(9, 1.0)]
+
+
+def test_training_rows_of_one_file_are_dealt_over_tasks(spark, monkeypatch):
+    df = spark.range(1000, numPartitions=1)
+    assert models._dealt(df, 1000).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(models, "FEW_ROWS", 100)
+    assert models._dealt(df, 1000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(models, "MANY_ROWS", 125)
+    dealt = models._dealt(df, 1000)
+    assert dealt.rdd.getNumPartitions() == 8 and sorted(r["id"] for r in dealt.collect()) == list(range(1000))
