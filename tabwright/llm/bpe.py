@@ -37,10 +37,11 @@ from .arrowmap import add_columns
 
 #: Fixed value: how byte-level pre-tokenization splits a text.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries in a generation of what a worker remembers; bounds memory, not results.
-REMEMBERED = 200_000
+#: Entries in a generation of what a worker remembers; bounds memory, not results. Beside the executor's heap stand the workers
+#: of all its cores, which earlier stages may have used before.
+REMEMBERED = 100_000
 #: Bytes of text (or ids) that a task handles at once.
-BATCH = 1 << 21
+BATCH = 1 << 19
 
 
 def byte_characters() -> list[str]:

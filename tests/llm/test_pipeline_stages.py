@@ -60,3 +60,26 @@ def test_words_of_structure_do_not_collide():
         assert len(set(words.hash_texts(pa.array(pair)).tolist())) == 2
     texts = [c * k for c in "ab" for k in (7, 8, 9, 255, 256, 257)] + ["\x00", "\x00\x00", "a\x00", ""]
     assert len(set(words.hash_texts(pa.array(texts)).tolist())) == len(texts)
+
+
+def test_bpe_worker_holds_little_beside_the_heap():
+    """The workers of an executor's cores share what its heap leaves, after the stages before them."""
+    import sys
+
+    from tabwright.llm import bpe
+    from tabwright.llm.queries import tokenizer_path
+
+    tokenizer = bpe.ByteBPE(tokenizer_path())
+    digits = str.maketrans("0123456789", "abcdefghij")
+    for at in range(0, 500_000, 20_000):
+        text = " ".join(str(k * 7919 + 10**8).translate(digits) for k in range(at, at + 20_000))
+        assert tokenizer.decode(tokenizer.encode([text])) == [text]
+    held, seen = 0, set()
+    for memory in (tokenizer.words, tokenizer.tokens, tokenizer.pieces):
+        for d in (memory.young, memory.old):
+            held += sys.getsizeof(d)
+            for o in (*d.keys(), *d.values()):
+                held += 0 if id(o) in seen else sys.getsizeof(o)
+                seen.add(id(o))
+    assert held < 80 << 20
+    assert bpe.BATCH <= 1 << 19
