@@ -183,3 +183,23 @@ def test_all_rounds_of_boosting_are_one_job(spark):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[0] == jobs[1]
+
+
+def test_extra_trees_with_one_candidate_take_one_pass_for_each_level(spark, monkeypatch):
+    """Three features and classes: each node draws one candidate, which is its cut."""
+    passes, reduce = [], extra_trees.reduce_by_slot
+    monkeypatch.setattr(extra_trees, "reduce_by_slot", lambda *a: passes.append(1) or reduce(*a))
+    pdf = table()
+    depth = 3
+    forest = extra_trees.train(spark.createDataFrame(pdf), FEATURES, ["fold <> 1"], 3, extra_trees.Settings(trees=2, depth=depth), "three")[0]
+    assert len(passes) <= depth + 1
+    x = pdf[pdf.fold != 1][FEATURES].to_numpy()
+    y = pdf[pdf.fold != 1].three.to_numpy()
+    for t in forest.trees:
+        leaf = t.leaf_of(np.ascontiguousarray(x.T))
+        assert (t.feature[leaf] == -1).all()
+        for n in np.unique(leaf):
+            assert t.sums[n].tolist() == np.bincount(y[leaf == n].astype(int), minlength=3).tolist()
+        inner = np.flatnonzero(t.feature >= 0)
+        below = extra_trees.impurity(t.sums[t.left[inner]], 3) + extra_trees.impurity(t.sums[t.left[inner] + 1], 3)
+        assert np.allclose(t.gain[inner], np.maximum(extra_trees.impurity(t.sums[inner], 3) - below, 0))
