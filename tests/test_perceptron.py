@@ -69,3 +69,20 @@ def test_in_cross_validation(spark):
     assert r.error is None and len(r.cv_scores) == 3 and r.mean_score > 0.7
     with pytest.raises(ValueError, match="neither"):
         models.feature_importance(df, "y", "id", "mlp", passes=2)
+
+
+def test_hidden_layer_stays_small_and_sums_equal_those_of_single_rows():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(1 << 15, 3)), rng.normal(size=1 << 15)
+    theta = perceptron.first_weights(3, perceptron.Settings())
+    tracemalloc.start()
+    perceptron.loss_sums(theta, x, y, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20
+    some = slice(0, perceptron.SLICE + 7)
+    single = sum(perceptron.loss_sums(theta, x[i : i + 1], y[i : i + 1], 100) for i in range(some.stop))
+    assert np.allclose(perceptron.loss_sums(theta, x[some], y[some], 100), single)
+    assert not perceptron.loss_sums(theta, x[:0], y[:0], 100).any()
