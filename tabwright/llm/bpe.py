@@ -9,7 +9,7 @@ A space behind a visible character always begins a pre-token, so a text is first
 pre-tokens are sought only in words not met before; texts where white space meets white space at such a split
 are taken as they are. Words, pre-tokens and fragments repeat far more than texts do: a worker remembers each
 of them in two generations, of which the older is forgotten when the younger is full, and what is used again
-moves to the younger. This bounds memory and never changes ids. The cuts of all new pre-tokens are found at once.
+moves to the younger. This bounds memory and never changes ids; it lasts for a task. The cuts of all new pre-tokens are found at once.
 
 Ids travel as packed little-endian unsigned 32-bit integers in a binary column.
 
@@ -231,6 +231,11 @@ def load(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
+def forget() -> None:
+    """Let go of the tokenizer and of what it remembers. Loading it again costs a task a quarter of a second; an idle worker would keep it all."""
+    load.cache_clear()
+
+
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """``df`` with the packed ids of each whole text; ``keep`` names the input columns to pass on (all if None)."""
 
@@ -238,7 +243,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
         texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
         return [pa.array(load(path).encode(texts), pa.binary())]
 
-    return add_columns(df, {ids_col: "binary"}, run, text_col, keep, BATCH)
+    return add_columns(df, {ids_col: "binary"}, run, text_col, keep, BATCH, forget)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -248,7 +253,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text
         packed = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
         return [pa.array(load(path).decode([i or b"" for i in packed]), pa.string())]
 
-    return add_columns(df, {text_col: "string"}, run, ids_col, keep, BATCH)
+    return add_columns(df, {text_col: "string"}, run, ids_col, keep, BATCH, forget)
 
 
 def encode_and_decode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
@@ -259,4 +264,4 @@ def encode_and_decode(df: DataFrame, path: str, text_col: str = "text", ids_col:
         ids = tokenizer.encode([t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()])
         return [pa.array(ids, pa.binary()), pa.array(tokenizer.decode(ids), pa.string())]
 
-    return add_columns(df, {ids_col: "binary", decoded_col: "string"}, run, text_col, keep, BATCH)
+    return add_columns(df, {ids_col: "binary", decoded_col: "string"}, run, text_col, keep, BATCH, forget)

@@ -37,7 +37,7 @@ from .arrowmap import add_columns
 from .blocks import block_pairs, runs, sorted_groups
 from .components import components
 from .ngram_lm import PACKED, combine
-from .words import mix, ngrams, slices, words
+from .words import mix, ngrams, release, slices, words
 
 SHINGLE, PERCENT, ORDERS, STARS = 4, 85, 3, 2
 #: Shingles of a block.
@@ -69,13 +69,39 @@ def prefix_length(size: int, percent: int) -> int:
     return size + (-percent * size // 100) + 1
 
 
+COUNTED = pa.schema([("shard", pa.int64()), *((c, pa.binary()) for c in ("gaps", "wide", "at", "counts"))])
+
+
+def pack_counts(held: list[np.ndarray], shards: int) -> pa.RecordBatch:
+    """The distinct shingles of a block and how many of its sets hold them, packed for each shard. Empties ``held``, and sorts in place:
+    all workers of an executor do this at once, beside its heap."""
+    keys = np.concatenate(held)
+    held.clear()
+    keys >>= np.uint64(33 - (shards - 1).bit_length())  # as cut_hash
+    keys.sort()
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    counts = np.full(len(first), len(keys), np.uint32)
+    counts[:-1] = first[1:]
+    counts -= first.astype(np.uint32)
+    keys = keys[first]
+    del first
+    edges = np.searchsorted(keys, np.arange(shards + 1, dtype=np.uint64) << np.uint64(31)).tolist()
+    rows = []
+    for s, (a, b) in enumerate(zip(edges, edges[1:])):
+        if a < b:
+            gaps, m = np.diff(keys[a:b] & np.uint64(2**31 - 1), prepend=np.uint64(0)), counts[a:b]
+            wide, at = gaps >= 65535, np.flatnonzero(m > 1)
+            parts = (np.where(wide, 65535, gaps).astype(np.uint16), gaps[wide].astype(np.uint32), at.astype(np.uint32), m[at])
+            rows.append(dict(zip(COUNTED.names, (s, *(p.tobytes() for p in parts)))))
+    return pa.RecordBatch.from_pylist(rows, COUNTED)
+
+
 def count_shingles(docs: DataFrame, text_col: str, n: int, store: str, shards: int) -> None:
     """Write the shingles of two documents or more, with their number of documents.
 
     For an order, a hash cut to 31 bits for each shard does: two shingles that fall together only look more
     frequent. What is shuffled are the sorted hashes of a block as gaps, two bytes for nearly each.
     """
-    packed = pa.schema([("shard", pa.int64()), *((c, pa.binary()) for c in ("gaps", "wide", "at", "counts"))])
     sql = "shard long, gaps binary, wide binary, at binary, counts binary"
 
     def count(batches):
@@ -85,21 +111,13 @@ def count_shingles(docs: DataFrame, text_col: str, n: int, store: str, shards: i
                 sets = text_sets(data, offsets, n)
                 held += sets
                 size += sum(map(len, sets))
+                del sets
                 if size >= BLOCK:
-                    yield pack(held)
-                    held, size = [], 0
+                    yield pack_counts(held, shards)
+                    size = 0
         if held:
-            yield pack(held)
-
-    def pack(sets):
-        keys, c = np.unique(cut_hash(np.concatenate(sets), shards), return_counts=True)
-        rows = []
-        for s, (k, m) in hashstore.split((keys >> np.uint64(31)).astype(np.int64), keys & np.uint64(2**31 - 1), c):
-            gaps = np.diff(k, prepend=np.uint64(0))
-            wide, at = gaps >= 65535, np.flatnonzero(m > 1)
-            parts = (np.where(wide, 65535, gaps).astype(np.uint16), gaps[wide].astype(np.uint32), at.astype(np.uint32), m[at].astype(np.uint32))
-            rows.append(dict(zip(packed.names, (s, *(p.tobytes() for p in parts)))))
-        return pa.RecordBatch.from_pylist(rows, packed)
+            yield pack_counts(held, shards)
+        release()
 
     def write(table: pa.Table) -> pa.Table:
         keys, counts = [], []

@@ -83,3 +83,46 @@ def test_bpe_worker_holds_little_beside_the_heap():
                 seen.add(id(o))
     assert held < 80 << 20
     assert bpe.BATCH <= 1 << 19
+
+
+def test_bpe_workers_keep_no_tokenizer_after_their_tasks(spark):
+    """An idle worker's memory stands beside the heap of the stages that follow."""
+    from tabwright.llm import bpe
+    from tabwright.llm.queries import tokenizer_path
+
+    def kept(batches):
+        from tabwright.llm import bpe
+
+        for _ in batches:
+            yield pa.record_batch([pa.array([bpe.load.cache_info().currsize])], names=["kept"])
+
+    df = spark.createDataFrame([(k, f"text number {k}") for k in range(40)], "doc_id long, text string").repartition(4)
+    assert bpe.encode_and_decode(df, tokenizer_path()).where("decoded = text").count() == 40
+    assert [r.kept for r in spark.range(0, 8, 1, 8).mapInArrow(kept, "kept long").collect()] == [0] * 8
+
+
+def test_packing_counts_holds_few_copies_of_a_block():
+    import tracemalloc
+
+    from tabwright.llm import jaccard_join
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**64, 700, dtype=np.uint64)) for _ in range(2000)]
+    sets += [s.copy() for s in sets[:50]]
+    keys, counts = np.unique(jaccard_join.cut_hash(np.concatenate(sets), 8), return_counts=True)
+    size = sum(s.nbytes for s in sets)
+    tracemalloc.start()
+    held = [s.copy() for s in sets]
+    rows = jaccard_join.pack_counts(held, 8).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not held and peak < 4.5 * size
+    got, many = [], []
+    for r in rows:
+        gaps = np.frombuffer(r["gaps"], np.uint16).astype(np.uint64)
+        gaps[gaps == 65535] = np.frombuffer(r["wide"], np.uint32)
+        got.append(np.cumsum(gaps) + (np.uint64(r["shard"]) << np.uint64(31)))
+        c = np.ones(len(gaps), np.int64)
+        c[np.frombuffer(r["at"], np.uint32)] = np.frombuffer(r["counts"], np.uint32)
+        many.append(c)
+    assert np.array_equal(np.concatenate(got), keys) and np.array_equal(np.concatenate(many), counts)
