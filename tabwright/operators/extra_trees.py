@@ -66,6 +66,12 @@ class Tree:
         self.sums = np.concatenate([self.sums, children])
         return np.arange(n, n + len(children))
 
+    def without_sums(self) -> Tree:
+        """What is needed to find leaves."""
+        out = Tree(np.zeros(0))
+        out.feature, out.cut, out.left, out.depth = self.feature, self.cut, self.left, self.depth
+        return out
+
     def fill(self, nodes: np.ndarray, sums: np.ndarray, classes: int) -> None:
         """The sums of nodes whose parents were cut before anything was added up, and the gains of the parents; left and right in turn."""
         self.sums[nodes] = sums

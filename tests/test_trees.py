@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tabwright.operators import boosting, extra_trees, models, packed
+from tabwright.operators import boosting, extra_trees, forest, models, packed
 
 
 def table(seed=1, n=240):
@@ -203,3 +203,112 @@ def test_extra_trees_with_one_candidate_take_one_pass_for_each_level(spark, monk
         inner = np.flatnonzero(t.feature >= 0)
         below = extra_trees.impurity(t.sums[t.left[inner]], 3) + extra_trees.impurity(t.sums[t.left[inner] + 1], 3)
         assert np.allclose(t.gain[inner], np.maximum(extra_trees.impurity(t.sums[inner], 3) - below, 0))
+
+
+def plain_forest_tree(x, y, weight, classes, s, tree, cuts):
+    """{node: (feature, cut)} by trying every cut of the candidates of every node, with sibling leaves of one class put together."""
+    sums = lambda r: np.bincount(y[r], weight[r], classes)
+    most = int(np.ceil(x.shape[1] ** 0.5))
+    level, out, count, of = [(0, np.flatnonzero(weight))], {}, 1, {}
+    for _ in range(s.depth):
+        below = []
+        for n, r in level:
+            whole, best = extra_trees.impurity(sums(r), classes), (0, None)
+            of[n] = sums(r)
+            for f in forest.candidates(s.seed, tree, np.array([n]), x.shape[1], most)[0]:
+                for c in cuts[f]:
+                    left = x[r, f] <= c
+                    gain = whole - extra_trees.impurity(sums(r[left]), classes) - extra_trees.impurity(sums(r[~left]), classes)
+                    if gain > best[0] + 1e-9 * len(y):
+                        best = (gain, (f, c, r[left], r[~left]))
+            if best[1]:
+                out[n] = (best[1][0], best[1][1], count)
+                for r in best[1][2:]:
+                    of[count] = sums(r)
+                    if extra_trees.impurity(of[count], classes) > 1e-9:
+                        below.append((count, r))
+                    count += 1
+        level = below
+    for n in sorted(out, reverse=True):
+        a = out[n][2]
+        if a not in out and a + 1 not in out and of[a].argmax() == of[a + 1].argmax():
+            del out[n]
+    return {n: v[:2] for n, v in out.items()}
+
+
+@pytest.mark.parametrize("rows, sums", [(1 << 17, 1 << 18), (40, 500)])  # one part; several parts, with sums merged in steps
+def test_random_forest_equals_a_plain_version(spark, monkeypatch, rows, sums):
+    monkeypatch.setattr(forest, "PART_ROWS", rows)
+    monkeypatch.setattr(forest, "SUMS", sums)
+    monkeypatch.setattr(packed, "FAN_IN", 2)
+    pdf = table(4, 160)
+    pdf = pd.concat([pdf, pdf[:70], pdf[:40]])  # equal rows are drawn together
+    s, conditions = forest.Settings(trees=5, depth=4, seed=9), ["true", "fold <> 0"]
+    df = spark.createDataFrame(pdf)
+    cuts = forest.bin_cuts(df, FEATURES)
+    assert [len(c) for c in cuts[:2]] == [pdf.a.nunique() - 1, pdf.b.nunique() - 1]
+    merged = forest.merged_rows(df, FEATURES, "three", conditions, cuts).selectExpr("x", "y", "sets", "n", "xxhash64(x, y, sets) AS key").toPandas()
+    assert merged.n.sum() == len(pdf) > len(merged)
+    fitted = forest.train(df, FEATURES, conditions, 3, s, "three")
+    bins, y, key = np.array([list(x) for x in merged.x]), merged.y.to_numpy(), merged.key.to_numpy()
+    values = np.column_stack([np.r_[c, np.inf][bins[:, i]] for i, c in enumerate(cuts)])
+    for m, f in enumerate(fitted):
+        own = merged.sets.to_numpy() >> m & 1
+        for k, t in enumerate(f.trees):
+            weight = forest.poisson(merged.n.to_numpy(), s.seed, k, key) * own
+            got = {int(n): (int(t.feature[n]), t.cut[n]) for n in np.flatnonzero(t.feature >= 0)}
+            reached, todo = set(), [0]
+            while todo:
+                if (n := todo.pop()) in got:
+                    reached.add(n)
+                    todo += [int(t.left[n]), int(t.left[n]) + 1]
+            assert {n: got[n] for n in reached} == plain_forest_tree(values, y, weight, 3, s, k, cuts)
+            assert t.sums[0].tolist() == np.bincount(y, weight, 3).tolist()
+    x = pdf[FEATURES].to_numpy()
+    assert (fitted[0].predict(x) == pdf.three.to_numpy()).mean() > 0.8
+
+
+def test_merged_rows_of_a_forest_follow_bins_and_passes_follow_levels(spark):
+    """Eight times the rows in the same bins make no larger table to pass over, and six training sets no more jobs than one."""
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"a": rng.random(4000), "b": rng.integers(0, 3, 4000), "label": rng.integers(0, 2, 4000)})
+    few, many = (spark.createDataFrame(p) for p in (pdf[:500], pdf))
+    cuts = forest.bin_cuts(few, ["a", "b"])
+    sizes = [forest.merged_rows(d, ["a", "b"], "label", ["true"], cuts).count() for d in (few, many)]
+    assert sizes[0] <= sizes[1] <= 32 * 3 * 2
+    jobs = []
+    learner = models._estimator("random_forest", models.Facts("classification", 500, ("a", "b"), 2, 1.0, 1.0, depth=3, trees=4))
+    for sets in (1, 6):
+        group = f"forest-{sets}"
+        spark.sparkContext.setJobGroup(group, group)
+        learner.train(few, ["a", "b"], [f"a > {k / 100}" for k in range(sets)], 2)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
+def test_random_forest_of_degenerate_tables(spark):
+    s = forest.Settings(trees=3, depth=2)
+    one = spark.createDataFrame([(1.0, 0.0)] * 9 + [(1.0, 1.0)] * 30, "a double, label double")
+    flat = forest.train(one, ["a"], ["true", "label = 1"], 2, s)
+    assert [f.predict(np.array([[1.0], [9.0]])).tolist() for f in flat] == [[1.0, 1.0]] * 2
+    assert forest.train(one, ["a"], ["true"], 2, forest.Settings(trees=1, depth=0))[0].predict(np.array([[1.0]])).tolist() == [1.0]
+    with pytest.raises(ValueError, match="without rows"):
+        forest.train(one, ["a"], ["true", "false"], 2, s)
+
+
+@pytest.mark.parametrize("mean", [1, 2, 10, 11, 300, 20_000])
+def test_poisson_draws(mean):
+    k = np.arange(100_000)
+    got = forest.poisson(np.full(len(k), mean), 42, 7, k)
+    assert abs(got.mean() - mean) < 5 * (mean / len(k)) ** 0.5
+    assert abs(got.var() / mean - 1) < 0.03
+    want = np.random.default_rng(1).poisson(mean, len(k))
+    for q in (mean - mean**0.5, mean, mean + 2 * mean**0.5):
+        assert abs((got <= q).mean() - (want <= q).mean()) < 0.01
+    some = k[::7]
+    assert np.array_equal(got[::7], forest.poisson(np.full(len(some), mean), 42, 7, some))  # nothing depends on the place
+
+
+def test_random_forest_in_cross_validation(spark):
+    test_joint_learners_in_cross_validation(spark, "random_forest", "three")
