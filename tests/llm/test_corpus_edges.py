@@ -279,6 +279,51 @@ def test_bpe_like_the_library_on_odd_texts():
         assert np.frombuffer(e, "<u4").tolist() == want.ids
 
 
+def test_bpe_cuts_batches_like_the_library():
+    from tokenizers import Tokenizer
+
+    random.seed(5)
+    own, library = bpe.load(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    some = list(" '' strevmldS\n\t1!\x00\x01é\u3000\u00a0中\U0001f642") + ["'ll", "'re", "<|endoftext|>", "  ", "", "\U0001fae8"]
+    texts = ["".join(random.choices(some, k=random.randint(0, 14))) for _ in range(8000)]
+    at = 0
+    while at < len(texts):
+        part = texts[at : at + random.choice([1, 2, 7, 2000])]
+        packed = own.encode(part)
+        assert [np.frombuffer(e, "<u4").tolist() for e in packed] == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+        assert own.decode(packed) == part
+        at += len(part)
+    assert own.encode([]) == own.decode([]) == [] and own.decode(own.encode(["", ""])) == ["", ""]
+    long = " ".join(random.choices(["word", "don't", "a\n", " ", "né", "12"], k=300_000))
+    assert len(own.parts(long)) > 1 and np.frombuffer(own.encode([long])[0], "<u4").tolist() == library.encode(long, add_special_tokens=False).ids
+    halves = [np.array([i], "<u4").tobytes() for i in library.encode("\x80", add_special_tokens=False).ids]
+    assert own.decode([b"".join(halves)]) == ["\x80"]
+    if len(halves) > 1:
+        assert own.decode(halves) == ["\ufffd"] * len(halves)
+
+
+def test_bpe_needs_few_calls_for_new_words():
+    """Pre-tokens, cuts and merges of words not met before are found for a whole batch, not word by word."""
+    import sys
+
+    own, n, calls = bpe.ByteBPE(tokenizer_path()), 20_000, 0
+    digits = str.maketrans("0123456789", "abcdefghij")
+    text = " ".join(str(k * 7919 + 10**8).translate(digits) for k in range(n))
+    own.encode([text[:100]])
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        packed = own.encode([text])
+    finally:
+        sys.setprofile(None)
+    assert own.decode(packed) == [text]
+    assert calls < 2 * n
+
+
 def test_token_counts(docs, empty):
     from tokenizers import Tokenizer
 
