@@ -1,17 +1,20 @@
-"""Random forests for classes: bootstrapped trees that cut binned features, grown level by level for many training sets at once.
+"""Random forests for classes and numbers: bootstrapped trees that cut binned features, grown level by level for many training sets at once.
 
 1. Features are cut into 32 bins at most: between all values where there are few, else at quantiles of all rows.
-2. Rows with the same bins, class and training sets become one row with their number. Every row is in it, so nothing is
-   lost; with few features the table shrinks to what the bins can tell apart, and else stays as it is. The rows are
+2. Rows with the same bins, label and training sets become one row with their number. Every row is in it, so nothing is
+   lost; with few features and classes the table shrinks to what the bins can tell apart, and else stays as it is. The rows are
    dealt by hash into parts, each a file in the shared folder (see ``packed``).
-3. A pass for each level: a task takes one part and some trees, and adds up the classes of its rows for each open node,
-   candidate feature and bin. A tree's sums of all parts meet in one task, which finds the best cut of each node; where one part
+3. A pass for each level: a task takes one part and some trees, and adds up the classes of its rows (or their number and
+   their labels) for each open node, candidate feature and bin. A tree's sums of all parts meet in one task, which finds the best cut of each node; where one part
    holds all rows, its task does. The driver gets the chosen cuts.
 
+Labels that are numbers are all different as a rule, so rows of the same bins stay apart: each has its own draws. A task draws them
+once for a tree of all training sets and adds up rows of the same bins before they go down the trees, where that makes them fewer.
+
 Bootstrap: a row is in a tree as often as a Poisson draw of mean 1 says, so n equal rows are together in it as often as one of
 mean n says. Draws are a hash of (seed, tree, row), not of its place: a pass that runs again, or another
-number of tasks, draws the same. Candidates of a node are a random choice of features, the root of their number rounded up.
-Cuts have to lower the Gini impurity; equal decreases go to the candidate that was drawn first, then to the lowest
+number of tasks, draws the same. Candidates of a node are a random choice of features, the root of their number rounded up, a third
+of it for numbers. Cuts have to lower the Gini impurity or the variance; equal decreases go to the candidate that was drawn first, then to the lowest
 bin. A node is a leaf at ``depth`` or when it is pure; sibling leaves of the same class become one.
 """
 
@@ -27,12 +30,16 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.kinds import col
 from ..functions.missing import as_double
 from ..session import materialize, ship_package
-from .extra_trees import PARTIAL, SETS, Forest, Tree, draw, impurity
+from .extra_trees import PARTIAL, SETS, Forest, Tree, draw, impurity as impurity_of
 from .packed import add_arrays, new_folder, read_file, reduce_by_slot, write_file
 
 BINS = 32
 #: Merged rows in a part, and numbers in the sums of trees that meet in one task (a single tree may have more).
 PART_ROWS, SUMS = 1 << 17, 1 << 18
+#: Rows in a part where labels are numbers: the more, the more of them have the same bins.
+NUMBER_ROWS = 1 << 20
+#: Rows that go down a tree at once.
+SLICE = 1 << 15
 #: Means up to this are drawn from tables.
 SMALL = 10
 
@@ -100,8 +107,20 @@ def poisson(mean: np.ndarray, *keys) -> np.ndarray:
     return out
 
 
-def merged_rows(df: DataFrame, features: list[str], label: str, sets: list[str], cuts: list[np.ndarray]) -> DataFrame:
-    """(x, y, sets, n): bins as bytes, class, training sets as bits, and the number of such rows."""
+def impurity(sums: np.ndarray, classes: int) -> np.ndarray:
+    """Rows times Gini impurity; for (rows, sum of labels) the squares around the mean but for the sum of all squares, which no cut changes."""
+    return impurity_of(sums, classes) if classes else -(sums[..., 1] ** 2) / np.maximum(sums[..., 0], 1)
+
+
+def label_scale(df: DataFrame, label: str) -> tuple[float, float]:
+    """Centre and deviation of a number (1 where it has none): trees see it scaled, so that nothing is lost to rounding."""
+    row = df.select(F.avg(as_double(df, label)).alias("a"), F.stddev_pop(as_double(df, label)).alias("s")).first()
+    spread = row["s"] if row["s"] and math.isfinite(row["s"]) else 1.0
+    return (row["a"] if row["a"] is not None and math.isfinite(row["a"]) else 0.0), spread
+
+
+def merged_rows(df: DataFrame, features: list[str], label: str, sets: list[str], cuts: list[np.ndarray], scale: tuple[float, float] | None = None) -> DataFrame:
+    """(x, y, sets, n): bins as bytes, class (or number, scaled), training sets as bits, and the number of such rows."""
     ship_package(df.sparkSession)
     width = len(features)
 
@@ -112,19 +131,24 @@ def merged_rows(df: DataFrame, features: list[str], label: str, sets: list[str],
             yield pa.record_batch([packed, batch.column(width), batch.column(width + 1)], names=["x", "y", "sets"])
 
     bits = F.expr(" + ".join(f"IF({c}, {1 << i}L, 0L)" for i, c in enumerate(sets)))
-    rows = df.select(*[as_double(df, c).alias(c) for c in features], col(label).cast("long").alias(label), bits.alias(SETS))
-    binned = rows.mapInArrow(run, "x binary, y long, sets long").where("sets <> 0")
+    y = (as_double(df, label) - F.lit(scale[0])) / F.lit(scale[1]) if scale else col(label).cast("long")
+    rows = df.select(*[as_double(df, c).alias(c) for c in features], y.alias(label), bits.alias(SETS))
+    binned = rows.mapInArrow(run, f"x binary, y {'double' if scale else 'long'}, sets long").where("sets <> 0")
     return materialize(binned.groupBy("x", "y", "sets").agg(F.count(F.lit(1)).alias("n")), "merged")
 
 
-def write_parts(rows: DataFrame, folder: str) -> int:
-    """Write the merged rows in parts of bounded size; the number of parts."""
-    parts = max(1, -(-rows.count() // PART_ROWS))
+def write_parts(rows: DataFrame, folder: str, most: int | None = None) -> int:
+    """Write the merged rows in parts of bounded size; the number of parts. Labels that are numbers are kept by their bits."""
+    parts = max(1, -(-rows.count() // (most or PART_ROWS)))
 
     def write(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        arrays = [table.column(c).to_numpy().astype(np.int64) for c in ("key", "y", "sets", "n")]
-        write_file(folder, f"part-{part}", np.stack(arrays).tobytes() + b"".join(table.column("x").to_pylist()))
+        arrays = [a.view(np.int64) if a.dtype == np.float64 else a.astype(np.int64) for a in (table.column(c).to_numpy() for c in ("key", "y", "sets", "n"))]
+        arrays, x = np.stack(arrays), table.column("x").to_pylist()
+        if most and len(x[0]):  # rows of the same bins stand together
+            order = np.argsort(np.frombuffer(b"".join(x), np.dtype((np.void, len(x[0])))), kind="stable")
+            arrays, x = arrays[:, order], [x[i] for i in order.tolist()]
+        write_file(folder, f"part-{part}", arrays.tobytes() + b"".join(x))
         return pa.table({"part": [part]})
 
     key = F.xxhash64("x", "y", "sets")
@@ -141,6 +165,42 @@ def read_part(folder: str, part: int, width: int) -> tuple[np.ndarray, ...]:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=32 * n).reshape(n, width).T), key, y, own, count
 
 
+@dataclass
+class _Points:
+    """The rows of a part whose labels are numbers, in order of their bins, and the different bins among them if those are much fewer."""
+
+    x: np.ndarray
+    key: np.ndarray
+    y: np.ndarray
+    own: np.ndarray
+    count: np.ndarray
+    cell: np.ndarray | None = None
+    drawn: tuple[int, np.ndarray, np.ndarray] | None = None
+
+    @classmethod
+    def of(cls, x: np.ndarray, key: np.ndarray, y: np.ndarray, own: np.ndarray, count: np.ndarray) -> _Points:
+        y, kinds = y.view(np.float64), np.unique(own)
+        if len(key):
+            new = np.r_[True, (x[:, 1:] != x[:, :-1]).any(0)]
+            if 2 * new.sum() * len(kinds) <= len(key):
+                return cls(np.ascontiguousarray(x[:, new]), key, y, kinds, count, (np.cumsum(new) - 1) * len(kinds) + np.searchsorted(kinds, own))
+        return cls(x, key, y, own, count)
+
+    def sums(self, s: Settings, tree: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(x, how often, sum of labels) of what the m-th training set has drawn for a tree; the draws of all sets are the same."""
+        if self.drawn is None or self.drawn[0] != tree:
+            w = poisson(self.count, s.seed, tree, self.key)
+            drawn = [w, w * self.y]
+            if self.cell is not None:
+                drawn = [np.bincount(self.cell, d, self.x.shape[1] * len(self.own)).reshape(-1, len(self.own)) for d in drawn]
+            self.drawn = (tree, *drawn)
+        mine = (self.own >> m & 1).astype(np.float64)
+        _, w, wy = self.drawn
+        w, wy = (w @ mine, wy @ mine) if self.cell is not None else (w * mine, wy)
+        rows = np.flatnonzero(w)
+        return self.x[:, rows], w[rows], wy[rows]
+
+
 def candidates(seed: int, tree: int, nodes: np.ndarray, width: int, most: int) -> np.ndarray:
     """The features that each node may cut, in the order in which they were drawn."""
     return np.argsort(draw(seed, tree, nodes[:, None], np.arange(width)[None, :], 1), axis=1, kind="stable")[:, :most]
@@ -151,7 +211,9 @@ def best_cuts(hist: np.ndarray, features: np.ndarray, classes: int) -> np.ndarra
     left = hist.cumsum(2)
     whole = left[:, :1, -1:]
     gain = impurity(whole, classes) - impurity(left, classes) - impurity(whole - left, classes)
-    size = whole[:, 0, 0].sum(1)
+    if not classes:  # a side without rows is no cut, whatever rounding leaves of the sums
+        gain = np.where((left[..., 0] > 0) & (left[..., 0] < whole[..., 0]), gain, 0.0)
+    size = whole[:, 0, 0].sum(1) if classes else whole[:, 0, 0, 0]
     gain = gain.reshape(len(hist), -1)
     # Rounding must not decide between cuts of the same rows.
     at = (gain >= gain.max(1, keepdims=True) - 1e-9 * size[:, None]).argmax(1)
@@ -173,15 +235,19 @@ def pruned(t: Tree) -> Tree:
 def train(df: DataFrame, features: list[str], sets: list[str], classes: int, s: Settings, label: str = "label") -> list[Forest]:
     """A forest for each training set, given as SQL conditions on ``df`` (32 at most); all grow side by side.
 
-    Labels are 0 to ``classes`` - 1. Feature values must be present.
+    ``classes``: 0 for regression, else labels are 0 to classes - 1. Feature values must be present.
     """
     spark, names, width = df.sparkSession, tuple(features), len(features)
-    most = math.ceil(math.sqrt(width)) if s.trees > 1 else width
+    most = width if s.trees == 1 else math.ceil(math.sqrt(width)) if classes else math.ceil(width / 3)
+    width_sums = classes or 2
     cuts = bin_cuts(df, features)
     bins = max(len(c) for c in cuts) + 1
     folder = new_folder(spark, "forest")
-    parts = write_parts(merged_rows(df, features, label, sets, cuts), folder)
+    scale = None if classes else label_scale(df, label)
+    parts = write_parts(merged_rows(df, features, label, sets, cuts, scale), folder, None if classes else NUMBER_ROWS)
     total = len(sets) * s.trees
+    # Trees with the same draws stand side by side where they are drawn once.
+    order = range(total) if classes else sorted(range(total), key=lambda t: (t % s.trees, t))
     grown: list[Tree | None] = [None] * total
     opened = [np.array([0])] * total
 
@@ -189,8 +255,8 @@ def train(df: DataFrame, features: list[str], sets: list[str], classes: int, s:
         """The best cuts of all open nodes, by tree."""
         slots: list[list[int]] = []
         size = SUMS
-        for t in (t for t in range(total) if len(opened[t])):
-            if size + (more := len(opened[t]) * most * bins * classes) > SUMS:
+        for t in (t for t in order if len(opened[t])):
+            if size + (more := len(opened[t]) * most * bins * width_sums) > SUMS:
                 slots.append([])
                 size = 0
             slots[-1].append(t)
@@ -217,8 +283,28 @@ def train(df: DataFrame, features: list[str], sets: list[str], classes: int, s:
                 out[:, j] = np.bincount((place * bins + b) * classes + kind, w, n * bins * classes).reshape(n, bins, classes)
             return out
 
+        def add_numbers(t: int, x, w, wy) -> np.ndarray:
+            of, n = candidates(s.seed, t % s.trees, opened[t], width, most), len(opened[t])
+            out = np.zeros((2, most, n * bins))
+            if t in shape:
+                open_at = np.full(len(shape[t].feature), -1)
+                open_at[opened[t]] = np.arange(n)
+            for at in range(0, len(w), SLICE):
+                part, own, sums = np.ascontiguousarray(x[:, at : at + SLICE]), w[at : at + SLICE], wy[at : at + SLICE]
+                place, rows = np.zeros(len(own), np.intp), np.arange(len(own))
+                if t in shape:
+                    place = open_at.take(shape[t].leaf_of(part))
+                    if len(rows := np.flatnonzero(place >= 0)) < len(place):
+                        place, own, sums = place.take(rows), own.take(rows), sums.take(rows)
+                values = part.reshape(-1)
+                for j in range(most):
+                    b = place * bins + values.take((of[:, j] * part.shape[1]).take(place) + rows)
+                    out[0, j] += np.bincount(b, own, n * bins)
+                    out[1, j] += np.bincount(b, sums, n * bins)
+            return np.ascontiguousarray(out.reshape(2, most, n, bins).transpose(2, 1, 3, 0))
+
         def decide(slot: int, data: bytes) -> bytes:
-            every, at, out = np.frombuffer(data, np.float64).reshape(-1, most, bins, classes), 0, []
+            every, at, out = np.frombuffer(data, np.float64).reshape(-1, most, bins, width_sums), 0, []
             for t in slots[slot]:
                 n = len(opened[t])
                 out.append(best_cuts(every[at : at + n], candidates(s.seed, t % s.trees, opened[t], width, most), classes))
@@ -230,9 +316,13 @@ def train(df: DataFrame, features: list[str], sets: list[str], classes: int, s:
                 part, team = task % parts, task // parts
                 x, key, y, own, count = read_part(folder, part, width)
                 of_set: dict[int, tuple] = {}
+                points = None if classes else _Points.of(x, key, y, own, count)
                 for slot in range(team, len(slots), teams):
                     sums = []
                     for t in slots[slot]:
+                        if points:
+                            sums.append(add_numbers(t, *points.sums(s, t % s.trees, t // s.trees)).tobytes())
+                            continue
                         if (m := t // s.trees) not in of_set:
                             rows = np.flatnonzero(own >> m & 1)
                             of_set = {m: (np.ascontiguousarray(x[:, rows]), key[rows], y[rows], count[rows])}  # trees come set by set
@@ -244,7 +334,7 @@ def train(df: DataFrame, features: list[str], sets: list[str], classes: int, s:
         found = {r.slot: bytes(r.data) for r in tasks.collect()} if parts == 1 else reduce_by_slot(tasks, parts, add_arrays, decide)
         out = {}
         for slot, trees in enumerate(slots):
-            rows = np.frombuffer(found[slot], np.float64).reshape(-1, 3 + 2 * classes)
+            rows = np.frombuffer(found[slot], np.float64).reshape(-1, 3 + 2 * width_sums)
             out |= zip(trees, np.split(rows, np.cumsum([len(opened[t]) for t in trees])[:-1]))
         return out
 
@@ -253,15 +343,17 @@ def train(df: DataFrame, features: list[str], sets: list[str], classes: int, s:
             break
         for t, own in level().items():
             if grown[t] is None:
-                grown[t] = Tree(own[0, 3 + classes :])
+                grown[t] = Tree(own[0, 3 + width_sums :])
             good = (own[:, 0] > 0) & (s.depth > 0)
             own, nodes = own[good], opened[t][good]
-            new = grown[t].split(nodes, own[:, 1].astype(np.int64), own[:, 2], own[:, 3 : 3 + classes], own[:, 0]) if len(own) else np.zeros(0, np.int64)
-            opened[t] = new[impurity(grown[t].sums[new], classes) > 1e-9]
+            new = grown[t].split(nodes, own[:, 1].astype(np.int64), own[:, 2], own[:, 3 : 3 + width_sums], own[:, 0]) if len(own) else np.zeros(0, np.int64)
+            opened[t] = new[impurity(grown[t].sums[new], classes) > 1e-9] if classes else new[grown[t].sums[new, 0] > 1]
     for t in grown:
         inner = np.flatnonzero(t.feature >= 0)
         t.cut[inner] = [cuts[f][int(b)] for f, b in zip(t.feature[inner], t.cut[inner])]
-    out = [Forest(names, classes, [pruned(t) for t in grown[m * s.trees : (m + 1) * s.trees] if t.sums[0].any()]) for m in range(len(sets))]
+        if not classes:
+            t.sums = np.column_stack([t.sums[:, 0], t.sums[:, 1] * scale[1] + t.sums[:, 0] * scale[0]])
+    out = [Forest(names, classes, [pruned(t) if classes else t for t in grown[m * s.trees : (m + 1) * s.trees] if t.sums[0].any()]) for m in range(len(sets))]
     if not all(f.trees for f in out):
         raise ValueError("a training set without rows")
     return out

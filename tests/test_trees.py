@@ -312,3 +312,58 @@ def test_poisson_draws(mean):
 
 def test_random_forest_in_cross_validation(spark):
     test_joint_learners_in_cross_validation(spark, "random_forest", "three")
+
+
+@pytest.mark.parametrize("rows, sums, repeats", [(1 << 20, 1 << 18, 1), (60, 500, 1), (1 << 20, 1 << 18, 12)])  # one part; several parts; rows added up by bins
+def test_random_forest_for_numbers_equals_a_plain_version(spark, monkeypatch, rows, sums, repeats):
+    monkeypatch.setattr(forest, "NUMBER_ROWS", rows)
+    monkeypatch.setattr(forest, "SUMS", sums)
+    monkeypatch.setattr(forest, "SLICE", 50)
+    monkeypatch.setattr(packed, "FAN_IN", 2)
+    pdf = pd.concat([table(3, 150).assign(y=lambda d, k=k: d.y + k) for k in range(repeats)])
+    pdf = pd.concat([pdf, pdf[:40]])  # equal rows are drawn together
+    s, conditions = forest.Settings(trees=4, depth=4, seed=9), ["true", "fold <> 0"]
+    df = spark.createDataFrame(pdf)
+    cuts, scale = forest.bin_cuts(df, FEATURES), forest.label_scale(df, "y")
+    merged = forest.merged_rows(df, FEATURES, "y", conditions, cuts, scale).selectExpr("x", "y", "sets", "n", "xxhash64(x, y, sets) AS key").toPandas()
+    assert merged.n.sum() == len(pdf) > len(merged)
+    bins, y, key = np.array([list(x) for x in merged.x]), merged.y.to_numpy(), merged.key.to_numpy()
+    order = np.lexsort(bins.T[::-1])
+    points = forest._Points.of(np.ascontiguousarray(bins[order].T).astype(np.uint8), key[order], y[order].view(np.int64), merged.sets.to_numpy()[order], merged.n.to_numpy()[order])
+    assert (points.cell is not None) == (repeats > 1)
+    values = np.column_stack([np.r_[c, np.inf][bins[:, i]] for i, c in enumerate(cuts)])
+    fitted = forest.train(df, FEATURES, conditions, 0, s, "y")
+    for m, f in enumerate(fitted):
+        own = merged.sets.to_numpy() >> m & 1
+        for k, t in enumerate(f.trees):
+            w = forest.poisson(merged.n.to_numpy(), s.seed, k, key) * own
+            todo = [(0, np.flatnonzero(w), 0)]
+            while todo:
+                n, r, depth = todo.pop()
+                assert np.allclose(t.sums[n], [w[r].sum(), (w * (y * scale[1] + scale[0]))[r].sum()])
+                spread = lambda q: (w[q] * (y[q] - np.average(y[q], weights=w[q])) ** 2).sum() if len(q) else 0.0
+                tried = {}
+                for c in forest.candidates(s.seed, k, np.array([n]), 3, 1)[0]:
+                    for v in cuts[c]:
+                        left = values[r, c] <= v
+                        if left.any() and not left.all():
+                            tried[int(c), v] = spread(r) - spread(r[left]) - spread(r[~left])
+                best = max(tried.values(), default=0.0)
+                if depth == s.depth or best <= 1e-9 * w[r].sum():
+                    assert t.feature[n] < 0
+                    continue
+                cut = (int(t.feature[n]), t.cut[n])
+                assert tried[cut] == pytest.approx(best) == pytest.approx(t.gain[n])
+                left, a = values[r, cut[0]] <= cut[1], int(t.left[n])
+                todo += [(a, r[left], depth + 1), (a + 1, r[~left], depth + 1)]
+    x = pdf[FEATURES].to_numpy()
+    assert 1 - ((pdf.y - fitted[0].predict(x)) ** 2).sum() / ((pdf.y - pdf.y.mean()) ** 2).sum() > 0.5
+
+
+def test_random_forest_for_numbers_of_degenerate_tables(spark):
+    s = forest.Settings(trees=3, depth=2)
+    df = spark.createDataFrame([(1.0, 7.0)] * 9 + [(2.0, 7.0)] * 3, "a double, label double")
+    flat = forest.train(df, ["a"], ["true"], 0, s)[0]
+    assert np.allclose(flat.predict(np.array([[1.0], [9.0]])), 7.0) and not flat.importances().any()
+    with pytest.raises(ValueError, match="without rows"):
+        forest.train(df, ["a"], ["true", "false"], 0, s)
