@@ -367,3 +367,19 @@ def test_random_forest_for_numbers_of_degenerate_tables(spark):
     assert np.allclose(flat.predict(np.array([[1.0], [9.0]])), 7.0) and not flat.importances().any()
     with pytest.raises(ValueError, match="without rows"):
         forest.train(df, ["a"], ["true", "false"], 0, s)
+
+
+def test_forests_for_numbers_grow_all_folds_at_once_and_explain_in_the_same_passes(spark):
+    """The library's forest took its own passes for each fold, and kept all rows with a weight for each tree."""
+    df = spark.range(400).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS a", "rand(3) AS b", "id % 7 + rand(4) AS y")
+    learner = models._estimator("random_forest", models.Facts("regression", 400, ("a", "b"), 0, 1.0, 1.0, depth=3, trees=4))
+    jobs = []
+    for sets in (1, 6):
+        group = f"numbers-{sets}"
+        spark.sparkContext.setJobGroup(group, group)
+        forest.train(df, ["a", "b"], [f"id % 6 <> {k}" for k in range(sets)], 0, learner, "y")
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+    got = {r.feature: r.importance for r in models.explain_last_numeric(df.select("a", "b", "y"), trees=8).collect()}
+    assert got["a"] > got["b"] and sum(got.values()) == pytest.approx(1.0, abs=1e-3)
