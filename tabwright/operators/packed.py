@@ -105,6 +105,31 @@ def reduce_by_slot(partials: DataFrame, parts: int, merge: Callable[[list[bytes]
     return {r.slot: bytes(r.data) for r in partials.groupBy("slot").applyInArrow(last, "slot long, data binary").collect()}
 
 
+def totals(data: DataFrame, width: int, of: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[int, np.ndarray]], parts: int | None = None) -> dict[int, np.ndarray]:
+    """The sums by slot over all blocks of what ``of`` makes of (x, y, sets); a task sends one array for each slot."""
+    parts = data.rdd.getNumPartitions() if parts is None else parts
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for _, x, y, own in unpack(batch, width):
+                for slot, part in of(x, y, own).items():
+                    total[slot] = total[slot] + part if slot in total else part
+        if total:
+            at = TaskContext.get().partitionId()
+            yield pa.record_batch([pa.array(list(total)), pa.array([at] * len(total)), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["slot", "part", "data"])
+
+    partials = data.mapInArrow(run, "slot long, part long, data binary")
+    if parts <= FAN_IN:  # what the last step would add up in one task: a shuffle less for each pass
+        by_slot: dict[int, list[bytes]] = {}
+        for r in sorted(partials.collect(), key=lambda r: (r.slot, r.part)):
+            by_slot.setdefault(r.slot, []).append(bytes(r.data))
+        found = {k: add_arrays(d) for k, d in by_slot.items()}
+    else:
+        found = reduce_by_slot(partials, parts, add_arrays, lambda slot, d: d)
+    return {k: np.frombuffer(d, np.float64) for k, d in found.items()}
+
+
 def add_arrays(data: list[bytes]) -> bytes:
     """The sum of float64 arrays of one shape."""
     total = np.frombuffer(data[0], np.float64).copy()

@@ -16,8 +16,6 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import packed
@@ -156,27 +154,14 @@ def train(df: DataFrame, features: list[str], sets: list[str], s: Settings = Set
     def sums(of: dict[int, Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> dict[int, np.ndarray]:
         """For each model the sum of a function of its training rows."""
 
-        def run(batches):
-            total: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for _, x, y, own in packed.unpack(batch, width):
-                    for m, f in of.items():
-                        rows = (own >> np.uint32(m) & np.uint32(1)).astype(bool)
-                        part = f(x[rows], y[rows])
-                        total[m] = total[m] + part if m in total else part
-            if total:
-                at = TaskContext.get().partitionId()
-                yield pa.record_batch([pa.array(list(total)), pa.array([at] * len(total)), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["slot", "part", "data"])
-
-        partials = data.mapInArrow(run, "slot long, part long, data binary")
-        if parts <= packed.FAN_IN:  # what the last step would add up in one task: a shuffle less for each pass
-            by_model: dict[int, list[bytes]] = {}
-            for r in sorted(partials.collect(), key=lambda r: (r.slot, r.part)):
-                by_model.setdefault(r.slot, []).append(bytes(r.data))
-            found = {m: packed.add_arrays(d) for m, d in by_model.items()}
-        else:
-            found = packed.reduce_by_slot(partials, parts, packed.add_arrays, lambda slot, d: d)
-        return {m: np.frombuffer(d, np.float64) for m, d in found.items()}
+        def each(x, y, own) -> dict[int, np.ndarray]:
+            out = {}
+            for m, f in of.items():
+                rows = (own >> np.uint32(m) & np.uint32(1)).astype(bool)
+                out[m] = f(x[rows], y[rows])
+            return out
+
+        return packed.totals(data, width, each, parts)
 
     def moments(power: int, centre: np.ndarray):
         return lambda x, y: np.append(((np.column_stack([x, y]) - centre) ** power).sum(0), len(y))
