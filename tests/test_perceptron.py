@@ -86,3 +86,15 @@ def test_hidden_layer_stays_small_and_sums_equal_those_of_single_rows():
     single = sum(perceptron.loss_sums(theta, x[i : i + 1], y[i : i + 1], 100) for i in range(some.stop))
     assert np.allclose(perceptron.loss_sums(theta, x[some], y[some], 100), single)
     assert not perceptron.loss_sums(theta, x[:0], y[:0], 100).any()
+
+
+def test_models_share_rows_that_are_shifted_once(spark):
+    """The first training set gives centre and scale; here a feature is constant in it, and far off in the others."""
+    pdf = table(300)
+    pdf["a"] = np.where(pdf.fold == 0, 1e6, pdf.a)
+    df, s = spark.createDataFrame(pdf), perceptron.Settings(hidden=6, passes=8)
+    joint = perceptron.train(df, ["a", "b"], ["fold = 0", "true", "fold <> 0"], s, "y")
+    x = pdf[["a", "b"]].to_numpy()
+    for one, own in zip(joint, ("fold = 0", "true", "fold <> 0")):
+        alone = perceptron.train(df, ["a", "b"], [own], s, "y")[0]
+        np.testing.assert_allclose(one.predict(x[pdf.fold > 0]), alone.predict(x[pdf.fold > 0]), rtol=1e-6, atol=1e-6)
