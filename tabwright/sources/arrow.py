@@ -108,6 +108,9 @@ class FeatherWriter(DataSourceArrowWriter):
     def __init__(self, path: str, schema, overwrite: bool):
         self.path, self.schema, self.overwrite = path, schema, overwrite
         self.job = uuid.uuid4().hex
+        # Made here, not by tasks: one that still runs when the job is given up must not bring the folder back.
+        system, base = _filesystem(path)
+        system.create_dir(f"{base}/_{self.job}", recursive=True)
 
     def write(self, iterator):
         import pyarrow as pa
@@ -120,7 +123,6 @@ class FeatherWriter(DataSourceArrowWriter):
                 continue
             if writer is None:
                 name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.feather"
-                system.create_dir(f"{base}/_{self.job}", recursive=True)
                 sink = system.open_output_stream(f"{base}/_{self.job}/{name}")
                 writer = pa.ipc.new_file(sink, batch.schema)
             writer.write_batch(batch)
